@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from msgloom.functions.text import empty_to_null, trim_unicode
+from msgloom.functions.text import bind, first_match, trim_unicode
 
 # Signature of an object stream, and the tag before a string in it.
 STREAM_SIGNATURE = "\u0004\u000bstreamtyped"
@@ -33,55 +33,58 @@ JUNK_PREFIXES = ("+2", "iI", "+ ", "+\n", "+!", "+(", "+*", "+<")
 # prefix without a nested repetition that could exhaust the stack.
 _JUNK = r"\G(?:" + "|".join(re.escape(p) for p in JUNK_PREFIXES) + r")[ \n\t]*+"
 _MARKED = f"(?s){START_MARKER}(.*?){END_MARKER}"
+_BODY = f"(?s)^(?!{NOT_BODY_PREFIX}).+(?<!{NOT_BODY_SUFFIX})\\z"
 
 
-def _byte(latin: Column, position: Column) -> Column:
-    return F.ascii(F.substr(latin, position, F.lit(1)))
+def structured_text(blob: Column) -> Column:
+    """The first string of an object stream; NULL if there is none, if its bytes are
+    cut short or not UTF-8, or if it cannot be a message body."""
+    return bind(blob, _first_string)
 
 
-def structured_text(df: DataFrame, blob: str, out: str) -> DataFrame:
-    """Add the first string of an object stream; NULL if there is none, if its
-    bytes are cut short or not UTF-8, or if it cannot be a message body."""
-    latin = F.decode(F.col(blob), "ISO-8859-1")
-    step1 = df.withColumn("_latin", F.when(F.startswith(latin, F.lit(STREAM_SIGNATURE)), latin))
-    step2 = step1.withColumn("_tag", F.instr("_latin", STRING_TAG))
-    at = F.col("_tag") + len(STRING_TAG)
-    step3 = step2.withColumn("_mark", F.when(F.col("_tag") > 0, _byte(F.col("_latin"), at)))
+def _first_string(blob: Column) -> Column:
+    latin = F.decode(blob, "ISO-8859-1")
+    is_stream = F.startswith(latin, F.lit(STREAM_SIGNATURE))
+    # Position of the length, and what follows the tag.
+    after = F.when(is_stream, F.nullif(F.instr(latin, F.lit(STRING_TAG)), F.lit(0))) + len(STRING_TAG)
+    payload = bind(after, lambda at: bind(_span(blob, at), lambda span: _cut(blob, span)))
+    return first_match(trim_unicode(F.try_validate_utf8(payload)), _BODY)
 
-    def little_endian(count: int) -> Column:
-        total = _byte(F.col("_latin"), at + 1).cast("long")
-        for i in range(1, count):
-            total = total + _byte(F.col("_latin"), at + 1 + i).cast("long") * F.lit(256**i)
+
+def _span(blob: Column, at: Column) -> Column:
+    """Start and size of the string whose length stands at a position."""
+
+    def little_endian(skip: int, width: int) -> Column:
+        total = F.lit(0).cast("long")
+        for i in range(width):
+            byte = F.ascii(F.decode(F.substr(blob, at + skip + i, F.lit(1)), "ISO-8859-1"))
+            total = total + byte.cast("long") * F.lit(256**i)
         return total
 
-    mark = F.col("_mark")
-    step4 = step3.withColumn(
-        "_span",
-        F.when(mark < 0x80, F.struct((at + 1).alias("start"), mark.cast("long").alias("size")))
-        .when(mark == LENGTH_2_BYTES, F.struct((at + 3).alias("start"), little_endian(2).alias("size")))
-        .when(mark == LENGTH_4_BYTES, F.struct((at + 5).alias("start"), little_endian(4).alias("size"))),
+    def span(skip: int, width: int) -> Column:
+        return F.struct((at + skip + width).alias("start"), little_endian(skip, width).alias("size"))
+
+    return bind(
+        little_endian(0, 1),
+        lambda mark: F.when(mark < 0x80, span(0, 1))
+        .when(mark == LENGTH_2_BYTES, span(1, 2))
+        .when(mark == LENGTH_4_BYTES, span(1, 4)),
     )
-    start, size = F.col("_span.start"), F.col("_span.size")
+
+
+def _cut(blob: Column, span: Column) -> Column:
+    start, size = span["start"], span["size"]
     whole = (start + size - 1) <= F.octet_length(blob)
-    payload = F.when(whole, F.substr(F.col(blob), start, size.cast("int")).cast("string"))
-    step5 = step4.withColumn("_string", trim_unicode(F.try_validate_utf8(payload)))
-    found = F.col("_string")
-    is_body = (
-        (found != "")
-        & ~F.startswith(found, F.lit(NOT_BODY_PREFIX))
-        & ~F.endswith(found, F.lit(NOT_BODY_SUFFIX))
-    )
-    return step5.withColumn(out, F.when(is_body, found)).drop("_latin", "_tag", "_mark", "_span", "_string")
+    return F.when(whole, F.substr(blob, start, size.cast("int")).cast("string"))
 
 
 def marked_text(blob: Column) -> Column:
     """Readable text between the two markers, without leading junk; NULL if empty."""
     readable = F.regexp_replace(F.decode(blob, "ISO-8859-1"), r"[^\x20-\x7E\n\t]", " ")
-    between = F.btrim(F.regexp_extract(readable, _MARKED, 1), F.lit(" \n\t"))
-    return empty_to_null(F.regexp_replace(between, _JUNK, ""))
+    between = F.btrim(first_match(readable, _MARKED, 1), F.lit(" \n\t"))
+    return first_match(F.regexp_replace(between, _JUNK, ""), r"(?s)^.+\z")
 
 
-def with_inferred_text(df: DataFrame, blob: str, out: str = "inferred_text") -> DataFrame:
-    """Add the text of a blob column: structured if possible, else marked."""
-    structured = structured_text(df, blob, "_structured")
-    return structured.withColumn(out, F.coalesce(F.col("_structured"), marked_text(F.col(blob)))).drop("_structured")
+def inferred_text(blob: Column) -> Column:
+    """The text of a blob: structured if possible, else marked."""
+    return F.coalesce(structured_text(blob), marked_text(blob))

@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from msgloom.functions.text import empty_to_null
+from msgloom.functions.text import first_match
 
 # Reaction codes.
 REACTIONS = {
@@ -37,7 +37,7 @@ def reaction_label(code: Column) -> Column:
 
 def effect_label(style: Column) -> Column:
     """Last dotted part of the style id without its affixes."""
-    last = empty_to_null(F.substring_index(style, ".", -1))
+    last = first_match(style, r"(?s)[^.]+\z")
     for affix in EFFECT_AFFIXES:
         last = F.replace(last, F.lit(affix), F.lit(""))
     return F.coalesce(last, F.lit(NO_EFFECT))

@@ -5,35 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from msgloom.functions.text import empty_to_null
+from msgloom.functions.text import first_match
 
 # A secure link is preferred, wherever it stands.
-SCHEMES = ("https://", "http://")
-# What ends a link, and what is not part of it at its end.
-_LINK = r"(?U)^[^\s)>,;]*"
+SECURE, PLAIN = "https://", "http://"
+# What ends a link (besides white space), and what is not part of it at its end.
+LINK_END = ")>,;"
 LINK_TAIL = ".!?"
 
-_AUTHORITY = r"^https?:[/\\]*([^/\\?#]*)"
-_FORBIDDEN_IN_HOST = r"[\x00-\x20\x7F<>^|%\[\]:@]"
+_LINK = rf"(?sU)^(?:.*?(?={SECURE})|.*?(?={PLAIN}))(https?://[^\s{LINK_END}]*)"
+_USER = r"(?:[^/\\?#]*@)?"
+_HOST = r"(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20\x7F<>^|%\[\]:@/\\?#]+)"
+_PORT = r"(?::0*(?:[0-9]{0,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5]))?"
+_AUTHORITY = rf"^https?:[/\\]*{_USER}{_HOST}{_PORT}(?=[/\\?#]|\z)"
 
 
 def link_token(text: Column) -> Column:
     """The first https link, else the first http link; NULL if there is none."""
-    start = F.coalesce(*[F.nullif(F.position(F.lit(s), text), F.lit(0)) for s in SCHEMES])
-    return F.rtrim(F.regexp_extract(F.substr(text, start), _LINK, 0), F.lit(LINK_TAIL))
+    return F.rtrim(first_match(text, _LINK, 1), F.lit(LINK_TAIL))
 
 
 def link_domain(text: Column) -> Column:
-    """Lower-case host of the link without user, port and one leading `www.`.
+    """Lower-case host of the link without user, port and one leading `www.`; NULL
+    for a link without a valid host or port.
 
     Hosts stay as written: Unicode names are not turned into their ASCII form
     and numeric addresses are not rewritten.
     """
-    authority = F.regexp_extract(link_token(text), _AUTHORITY, 1)
-    host_port = F.substring_index(authority, "@", -1)
-    port = F.regexp_extract(host_port, r":([0-9]*)$", 1)
-    host = F.lower(F.regexp_replace(host_port, r":[0-9]*$", ""))
-    bracketed = F.rlike(host, F.lit(r"^\[[0-9a-f:.]+\]$"))
-    port_ok = (port == "") | F.coalesce(port.try_cast("long") <= 65535, F.lit(False))
-    valid = port_ok & (bracketed | ~F.rlike(host, F.lit(_FORBIDDEN_IN_HOST)))
-    return F.when(valid, F.regexp_replace(empty_to_null(host), r"^www\.", ""))
+    host = F.lower(first_match(link_token(text), _AUTHORITY, 1))
+    return F.regexp_replace(host, r"^www\.", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +19,18 @@ def trim_unicode(value: Column) -> Column:
     return F.btrim(value, F.lit(UNICODE_WHITESPACE))
 
 
-def empty_to_null(value: Column) -> Column:
-    return F.nullif(value, F.lit(""))
+def first_match(value: Column, pattern: str, group: int = 0) -> Column:
+    """First match of a pattern, NULL if there is none.
+
+    Names its input once. Expressions built from it stay small when the optimizer
+    copies them, for instance into a filter.
+    """
+    return F.get(F.regexp_extract_all(value, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use a value several times in an expression while naming it once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def whole_div(value: Column, by: int) -> Column:

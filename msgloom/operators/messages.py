@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from msgloom.functions.body_text import with_inferred_text
+from msgloom.functions.body_text import inferred_text
 from msgloom.functions.keys import contact_key
 from msgloom.functions.labels import effect_label, reaction_label
 from msgloom.functions.links import link_domain
@@ -76,20 +76,19 @@ def _with_name(rows: DataFrame, contacts: DataFrame, key: str, out: str, normali
 
 def _own_columns(message: DataFrame) -> DataFrame:
     """Everything that needs no other table; the binary column ends here."""
-    texts = with_inferred_text(message, "attributedBody")
-    combined = F.coalesce("text", "inferred_text")
+    inferred = inferred_text(F.col("attributedBody"))
     unix = known(unix_seconds(F.col("date")))
-    return texts.select(
+    return message.select(
         F.col("ROWID").alias("message_id"),
         F.col("handle_id").alias("_handle"),
         F.coalesce("is_from_me", F.lit(0)).cast("byte").alias("is_from_me"),
         F.coalesce("is_audio_message", F.lit(0)).cast("byte").alias("is_audio_message"),
         "text",
-        "inferred_text",
+        inferred.alias("inferred_text"),
         F.col("thread_originator_guid").isNotNull().cast("byte").alias("is_thread_reply"),
         reaction_label(F.col("associated_message_type")).alias("reaction"),
         effect_label(F.col("expressive_send_style_id")).alias("message_effect"),
-        F.when(F.col("balloon_bundle_id").isNotNull(), link_domain(combined)).alias("link_domain"),
+        F.when(F.col("balloon_bundle_id").isNotNull(), link_domain(F.coalesce(F.col("text"), inferred))).alias("link_domain"),
         unix.alias("_unix"),
     )
 
