@@ -132,8 +132,8 @@ def _display_name_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _body_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blob = derived.stream_blob(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", structured_text(blob).alias("inferred_text"))
+    blobs = _table(spark, sf_dir, "documents").selectExpr("doc_id", f"{derived.stream_blob('text')} AS blob")
+    return blobs.select("doc_id", structured_text("blob").alias("inferred_text"))
 
 
 def _body_text_marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from msgloom.functions.text import bind, first_match, trim_unicode
+from msgloom.functions.text import first_match, trim_unicode
 
 # Signature of an object stream, and the tag before a string in it.
 STREAM_SIGNATURE = "\u0004\u000bstreamtyped"
@@ -36,46 +36,37 @@ _MARKED = f"(?s){START_MARKER}(.*?){END_MARKER}"
 _BODY = f"(?s)^(?!{NOT_BODY_PREFIX}).+(?<!{NOT_BODY_SUFFIX})\\z"
 
 
-def structured_text(blob: Column) -> Column:
-    """The first string of an object stream; NULL if there is none, if its bytes are
-    cut short or not UTF-8, or if it cannot be a message body."""
-    return bind(blob, _first_string)
-
+def _byte(at: str) -> str:
+    return f"CAST(ascii(decode(substr(blob, {at}, 1), 'ISO-8859-1')) AS BIGINT)"
 
-def _first_string(blob: Column) -> Column:
-    latin = F.decode(blob, "ISO-8859-1")
-    is_stream = F.startswith(latin, F.lit(STREAM_SIGNATURE))
-    # Position of the length, and what follows the tag.
-    after = F.when(is_stream, F.nullif(F.instr(latin, F.lit(STRING_TAG)), F.lit(0))) + len(STRING_TAG)
-    payload = bind(after, lambda at: bind(_span(blob, at), lambda span: _cut(blob, span)))
-    return first_match(trim_unicode(F.try_validate_utf8(payload)), _BODY)
 
+def _little_endian(width: int) -> str:
+    """SQL for the number in the bytes after the length mark."""
+    return " + ".join(f"{_byte(f'at + {i + 1}')} * {256**i}L" for i in range(width))
 
-def _span(blob: Column, at: Column) -> Column:
-    """Start and size of the string whose length stands at a position."""
 
-    def little_endian(skip: int, width: int) -> Column:
-        total = F.lit(0).cast("long")
-        for i in range(width):
-            byte = F.ascii(F.decode(F.substr(blob, at + skip + i, F.lit(1)), "ISO-8859-1"))
-            total = total + byte.cast("long") * F.lit(256**i)
-        return total
+# SQL for the string whose length stands at position `at` of `blob`: its start and
+# size, then its bytes if they are all there.
+_SPAN = f"""CASE WHEN {_byte('at')} < 128 THEN struct(at + 1 AS start, {_byte('at')} AS size)
+    WHEN {_byte('at')} = {LENGTH_2_BYTES} THEN struct(at + 3 AS start, {_little_endian(2)} AS size)
+    WHEN {_byte('at')} = {LENGTH_4_BYTES} THEN struct(at + 5 AS start, {_little_endian(4)} AS size) END"""
+_CUT = """CASE WHEN span.start + span.size - 1 <= octet_length(blob)
+    THEN substr(blob, span.start, CAST(span.size AS INT)) END"""
 
-    def span(skip: int, width: int) -> Column:
-        return F.struct((at + skip + width).alias("start"), little_endian(skip, width).alias("size"))
-
-    return bind(
-        little_endian(0, 1),
-        lambda mark: F.when(mark < 0x80, span(0, 1))
-        .when(mark == LENGTH_2_BYTES, span(1, 2))
-        .when(mark == LENGTH_4_BYTES, span(1, 4)),
-    )
 
+def structured_text(blob: str) -> Column:
+    """The first string of an object stream; NULL if there is none, if its bytes are
+    cut short or not UTF-8, or if it cannot be a message body.
 
-def _cut(blob: Column, span: Column) -> Column:
-    start, size = span["start"], span["size"]
-    whole = (start + size - 1) <= F.octet_length(blob)
-    return F.when(whole, F.substr(blob, start, size.cast("int")).cast("string"))
+    Lambdas bind each intermediate value, so it is written and computed once.
+    """
+    payload = F.expr(f"""
+        transform(array({blob}), blob ->
+          transform(array(
+            if(startswith(decode(blob, 'ISO-8859-1'), '{STREAM_SIGNATURE}'),
+               nullif(instr(decode(blob, 'ISO-8859-1'), '{STRING_TAG}'), 0) + {len(STRING_TAG)}, NULL)), at ->
+            transform(array({_SPAN}), span -> {_CUT})[0])[0])[0]""")
+    return first_match(trim_unicode(F.try_validate_utf8(payload.cast("string"))), _BODY)
 
 
 def marked_text(blob: Column) -> Column:
@@ -85,6 +76,6 @@ def marked_text(blob: Column) -> Column:
     return first_match(F.regexp_replace(between, _JUNK, ""), r"(?s)^.+\z")
 
 
-def inferred_text(blob: Column) -> Column:
-    """The text of a blob: structured if possible, else marked."""
-    return F.coalesce(structured_text(blob), marked_text(blob))
+def inferred_text(blob: str) -> Column:
+    """The text of a blob column: structured if possible, else marked."""
+    return F.coalesce(structured_text(blob), marked_text(F.col(blob)))

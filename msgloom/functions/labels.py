@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,8 +29,8 @@ EFFECT_AFFIXES = ("CK", "Effect")
 
 
 def reaction_label(code: Column) -> Column:
-    labels = F.create_map(*[F.lit(x) for x in chain.from_iterable(REACTIONS.items())])
-    return F.coalesce(F.try_element_at(labels, code.try_cast("int")), F.lit(NO_REACTION))
+    labels = F.expr("map(" + ", ".join(f"{number}L, '{label}'" for number, label in REACTIONS.items()) + ")")
+    return F.coalesce(F.try_element_at(labels, code), F.lit(NO_REACTION))
 
 
 def effect_label(style: Column) -> Column:

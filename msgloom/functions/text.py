@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,11 +26,6 @@ def first_match(value: Column, pattern: str, group: int = 0) -> Column:
     return F.get(F.regexp_extract_all(value, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Use a value several times in an expression while naming it once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def whole_div(value: Column, by: int) -> Column:
     """Integer division."""
     return F.call_function("div", value, F.lit(by))

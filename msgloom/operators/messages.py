@@ -76,7 +76,7 @@ def _with_name(rows: DataFrame, contacts: DataFrame, key: str, out: str, normali
 
 def _own_columns(message: DataFrame) -> DataFrame:
     """Everything that needs no other table; the binary column ends here."""
-    inferred = inferred_text(F.col("attributedBody"))
+    inferred = inferred_text("attributedBody")
     unix = known(unix_seconds(F.col("date")))
     return message.select(
         F.col("ROWID").alias("message_id"),
@@ -104,23 +104,35 @@ def _placement(raw: RawTables, contacts: DataFrame, normalize: bool, with_member
 
 
 def _output(name: str) -> Column:
-    combined = F.coalesce("text", "inferred_text")
-    sent = F.col("is_from_me") == 1
-    date = utc_date(F.col("_unix"))
-    derived = {
-        "handle_id": lambda: F.coalesce("_handle", F.lit(0)),
-        "text_combined": lambda: combined,
-        "body_text": lambda: combined,
-        "chat_size": lambda: F.coalesce("chat_size", F.lit(0)),
-        "updated_contact_info": lambda: F.when(sent, _recipient("only_member")).otherwise(F.col("contact_info")),
-        COUNTERPARTY: lambda: F.when(sent, _recipient("only_member_name")).otherwise(F.col("name")),
-        "timestamp": lambda: F.timestamp_seconds("_unix"),
-        "date": lambda: date,
-        "month": lambda: F.month(date).cast("byte"),
-        "year": lambda: F.year(date).try_cast("short"),
-    }
-    return derived[name]() if name in derived else F.col(name)
+    derive = _DERIVED.get(name)
+    return derive() if derive else F.col(name)
+
+
+def _combined() -> Column:
+    return F.coalesce("text", "inferred_text")
+
+
+def _date() -> Column:
+    return utc_date(F.col("_unix"))
+
+
+def _by_direction(sent: str, received: str) -> Column:
+    return F.when(F.col("is_from_me") == 1, _recipient(sent)).otherwise(F.col(received))
 
 
 def _recipient(only: str) -> Column:
     return F.when(F.col("chat_size") == 1, F.col(only)).when(F.col("chat_size") > 1, F.lit(GROUP_CHAT))
+
+
+_DERIVED = {
+    "handle_id": lambda: F.coalesce("_handle", F.lit(0)),
+    "text_combined": _combined,
+    "body_text": _combined,
+    "chat_size": lambda: F.coalesce("chat_size", F.lit(0)),
+    "updated_contact_info": lambda: _by_direction("only_member", "contact_info"),
+    COUNTERPARTY: lambda: _by_direction("only_member_name", "name"),
+    "timestamp": lambda: F.timestamp_seconds("_unix"),
+    "date": _date,
+    "month": lambda: F.month(_date()).cast("byte"),
+    "year": lambda: F.year(_date()).try_cast("short"),
+}

@@ -7,11 +7,9 @@ ones. FIXTURES.md states the rules.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from msgloom.functions.text import whole_div
-from msgloom.functions.times import EPOCH_2001, NANOSECONDS
+from msgloom.functions.times import EPOCH_2001
 from msgloom.schemas import RawTables
 
 GROUP_BASE = 1_000_000_000
@@ -19,128 +17,100 @@ MEMBERLESS_BASE = 2_000_000_000
 GROUP_SIZE = 15
 
 
-def handle_key(user: Column) -> Column:
-    email = F.concat(F.lit("user_"), user.cast("string"), F.lit("@example.com"))
-    phone = F.concat(F.lit("+1415"), F.lpad(user.cast("string"), 10, "0"))
-    return F.when(user % 3 == 0, email).otherwise(phone)
+def handle_key(user: str) -> str:
+    """SQL for the contact key of a user number."""
+    return f"""if({user} % 3 = 0, concat('user_', {user}, '@example.com'), concat('+1415', lpad({user}, 10, '0')))"""
 
 
-def stream_blob(text: Column) -> Column:
-    """An object stream that holds the text as its first string."""
-    size = F.octet_length(text)
+def stream_blob(text: str) -> str:
+    """SQL for an object stream that holds a text as its first string."""
+    head = b"\x04\x0bstreamtyped\x81\xe8\x03\x84\x01@\x84\x84\x84\x08NSString\x01\x95\x84\x01+".hex()
+    tail = b"\x86\x84\x02iI\x01\x0a\x92\x84\x84\x84\x0cNSDictionary\x00\x95\x84\x01i\x01\x92".hex()
+    size = f"octet_length({text})"
+    # Sizes are little-endian: one byte, or a mark and two or four bytes.
+    low, high = f"hex(mod({size}, 256))", f"hex(mod({size} div 256, 256))"
+    two = f"lpad({low}, 2, '0') || lpad({high}, 2, '0')"
+    third, fourth = f"hex(mod({size} div 65536, 256))", f"hex({size} div 16777216)"
+    four = f"{two} || lpad({third}, 2, '0') || lpad({fourth}, 2, '0')"
+    length = f"""CASE WHEN {size} < 128 THEN lpad({low}, 2, '0') WHEN {size} < 65536 THEN '81' || {two}
+        ELSE '82' || {four} END"""
+    return f"X'{head}' || unhex({length}) || CAST({text} AS BINARY) || X'{tail}'"
 
-    def little_endian(width: int) -> Column:
-        digits = F.lpad(F.hex(size), 2 * width, "0")
-        return F.concat(*[F.unhex(F.substring(digits, 2 * i + 1, 2)) for i in reversed(range(width))])
 
-    length = (
-        F.when(size < 0x80, little_endian(1))
-        .when(size < 0x10000, F.concat(F.lit(b"\x81"), little_endian(2)))
-        .otherwise(F.concat(F.lit(b"\x82"), little_endian(4)))
-    )
-    head = F.lit(b"\x04\x0bstreamtyped\x81\xe8\x03\x84\x01@\x84\x84\x84\x08NSString\x01\x95\x84\x01+")
-    tail = F.lit(b"\x86\x84\x02iI\x01\x0a\x92\x84\x84\x84\x0cNSDictionary\x00\x95\x84\x01i\x01\x92")
-    return F.concat(head, length, text.cast("binary"), tail)
-
-
-def marker_blob(text: Column) -> Column:
-    """The older form: the text between two class names, after some junk."""
-    return F.concat(F.lit("xxNSString+2"), text, F.lit("NSDictionaryyy")).cast("binary")
+def marker_blob(text: str) -> str:
+    """SQL for the older form: the text between two class names, after some junk."""
+    return f"CAST('xxNSString+2' || {text} || 'NSDictionaryyy' AS BINARY)"
 
 
 def raw_from_events(events: DataFrame) -> RawTables:
-    number = F.get_json_object("props", "$.k").cast("int")
-    base = events.withColumn("k", number)
-    event, user, k, kind = F.col("event_id"), F.col("user_id"), F.col("k"), F.col("event_type")
-    words = F.concat_ws(" ", kind, k)
-    path = F.concat(F.lit(".example.com/p/"), event.cast("string"))
-    link = (
-        F.when(k % 5 == 0, F.concat(F.lit(" see https://www.site"), (k % 10).cast("string"), path, F.lit(".")))
-        .when(k % 5 == 1, F.lit(" (http://Shop.example.org:8080/a?b=c) ok"))
-        .when(k % 5 == 2, F.concat(F.lit(" https://me:pw@cdn_"), k.cast("string"), F.lit(".example.net/x, y")))
-        .when(k % 5 == 3, F.lit(" http://first.example/ and https://second.example.com!"))
-        .otherwise(F.lit(" https:// nothing"))
-    )
-    text = F.when(event % 11 == 0, None).when(event % 7 == 0, F.concat(words, link)).otherwise(words)
-    blob = F.when(event % 11 == 0, marker_blob(F.concat_ws(" ", kind, F.lit("hidden"), k))).when(
-        event % 13 == 0, stream_blob(F.concat_ws(" ", kind, F.lit("café"), k))
-    )
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    second = F.timestamp_diff("SECOND", epoch, F.col("ts").cast("timestamp_ntz")) - F.lit(EPOCH_2001)
-    date = (
-        F.when(k == 98, None)
-        .when(k == 97, F.lit(0))
-        .when(k == 96, F.lit(-2_000_000_000))
-        .when(event % 5 == 0, second)
-        .otherwise(second * F.lit(NANOSECONDS))
+    base = events.selectExpr(
+        "event_id", "user_id", "event_type", "value",
+        "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01', CAST(ts AS TIMESTAMP_NTZ)) - {EPOCH_2001} AS sec",
     )
-    effect = (
-        F.when(k == 12, F.lit("com.apple.MobileSMS.expressivesend.impact"))
-        .when(k.between(13, 16), F.concat(F.lit("com.apple.messages.effect.CK"), F.initcap(kind), F.lit("Effect")))
-        .when(k == 17, F.lit("trailing."))
+    message = base.selectExpr(
+        "event_id + 1 AS ROWID",
+        """CASE WHEN event_id % 11 = 0 THEN NULL
+             WHEN event_id % 7 <> 0 THEN concat(event_type, ' ', k)
+             WHEN k % 5 = 0
+               THEN concat(event_type, ' ', k, ' see https://www.site', k % 10, '.example.com/p/', event_id, '.')
+             WHEN k % 5 = 1 THEN concat(event_type, ' ', k, ' (http://Shop.example.org:8080/a?b=c) ok')
+             WHEN k % 5 = 2 THEN concat(event_type, ' ', k, ' https://me:pw@cdn_', k, '.example.net/x, y')
+             WHEN k % 5 = 3
+               THEN concat(event_type, ' ', k, ' http://first.example/ and https://second.example.com!')
+             ELSE concat(event_type, ' ', k, ' https:// nothing') END AS text""",
+        f"""CASE WHEN event_id % 11 = 0 THEN {marker_blob("concat(event_type, ' hidden ', k)")}
+             WHEN event_id % 13 = 0 THEN {stream_blob("concat(event_type, ' café ', k)")} END AS attributedBody""",
+        "CASE WHEN k = 94 THEN NULL WHEN event_id % 2 = 1 THEN 0L ELSE user_id + 1 END AS handle_id",
+        "CASE WHEN k <> 95 THEN event_id % 2 END AS is_from_me",
+        """CASE WHEN k = 98 THEN NULL WHEN k = 97 THEN 0L WHEN k = 96 THEN -2000000000L
+             WHEN event_id % 5 = 0 THEN sec ELSE sec * 1000000000L END AS date""",
+        """CAST(CASE WHEN k < 6 THEN k + 2000 WHEN k < 12 THEN k + 2994 ELSE 0 END AS BIGINT)
+             AS associated_message_type""",
+        """CASE WHEN k = 12 THEN 'com.apple.MobileSMS.expressivesend.impact'
+             WHEN k BETWEEN 13 AND 16 THEN concat('com.apple.messages.effect.CK', initcap(event_type), 'Effect')
+             WHEN k = 17 THEN 'trailing.' END AS expressive_send_style_id""",
+        "CASE WHEN k BETWEEN 20 AND 29 THEN concat('guid-', event_id) END AS thread_originator_guid",
+        "CASE WHEN event_id % 7 = 0 THEN 'URLBalloon' END AS balloon_bundle_id",
+        "if(k = 30, 1L, 0L) AS is_audio_message",
     )
-    message = base.select(
-        (event + 1).alias("ROWID"),
-        text.alias("text"),
-        blob.alias("attributedBody"),
-        F.when(k == 94, None).when(event % 2 == 1, F.lit(0)).otherwise(user + 1).cast("long").alias("handle_id"),
-        F.when(k == 95, None).otherwise(event % 2).cast("long").alias("is_from_me"),
-        date.cast("long").alias("date"),
-        F.when(k < 6, k + 2000).when(k < 12, k + 2994).otherwise(0).cast("long").alias("associated_message_type"),
-        effect.alias("expressive_send_style_id"),
-        F.when(k.between(20, 29), F.concat(F.lit("guid-"), event.cast("string"))).alias("thread_originator_guid"),
-        F.when(event % 7 == 0, F.lit("URLBalloon")).alias("balloon_bundle_id"),
-        F.when(k == 30, 1).otherwise(0).cast("long").alias("is_audio_message"),
+    group = f"user_id div {GROUP_SIZE} + {GROUP_BASE}"
+    chat_message_join = base.selectExpr(
+        f"""explode(CASE WHEN k = 99 THEN array()
+             WHEN event_type = 'purchase' THEN array({group})
+             WHEN event_type = 'signup' AND k = 93 THEN array(user_id + {MEMBERLESS_BASE})
+             WHEN value > 150 THEN array({group}, user_id + 1)
+             ELSE array(user_id + 1) END) AS chat_id""",
+        "event_id + 1 AS message_id",
     )
-
-    direct, group = user + 1, whole_div(user, GROUP_SIZE) + GROUP_BASE
-    chats = (
-        F.when(k == 99, F.array().cast("array<bigint>"))
-        .when(kind == "purchase", F.array(group))
-        .when((kind == "signup") & (k == 93), F.array(user + MEMBERLESS_BASE))
-        .when(F.col("value") > 150, F.array(group, direct))
-        .otherwise(F.array(direct))
-    )
-    chat_message_join = base.select(F.explode(chats).alias("chat_id"), (event + 1).alias("message_id"))
-
     users = events.select("user_id").distinct()
-    seats = F.array(
-        F.struct(direct.alias("chat_id"), (user + 1).alias("handle_id")),
-        F.struct(group.alias("chat_id"), (user + 1).alias("handle_id")),
-        F.struct(group.alias("chat_id"), (-user - 1).alias("handle_id")),
+    chat_handle_join = users.selectExpr(
+        f"""stack(3, user_id + 1, user_id + 1, {group}, user_id + 1, {group}, -user_id - 1) AS (chat_id, handle_id)"""
     )
-    chat_handle_join = users.select(F.inline(seats))
-    handle = users.select((user + 1).alias("ROWID"), handle_key(user).alias("id"))
+    handle = users.selectExpr("user_id + 1 AS ROWID", f"{handle_key('user_id')} AS id")
     return RawTables(message, handle, chat_message_join, chat_handle_join)
 
 
 def contacts_from_customers(customer: DataFrame) -> DataFrame:
     """Contact names; some handles stay unnamed."""
-    named = customer.where(F.col("c_mktsegment") != "MACHINERY")
-    return named.select(handle_key(F.col("c_custkey")).alias("contact_key"), F.col("c_name").alias("name"))
+    named = customer.where("c_mktsegment <> 'MACHINERY'")
+    return named.selectExpr(f"{handle_key('c_custkey')} AS contact_key", "c_name AS name")
 
 
 def overrides_from_customers(customer: DataFrame) -> DataFrame:
     """Names set by hand, for customers in debt."""
-    owing = customer.where(F.col("c_acctbal") < 0)
-    return owing.select(
-        handle_key(F.col("c_custkey")).alias("contact_key"), F.concat(F.lit("VIP "), "c_name").alias("name")
-    )
+    owing = customer.where("c_acctbal < 0")
+    return owing.selectExpr(f"{handle_key('c_custkey')} AS contact_key", "concat('VIP ', c_name) AS name")
 
 
 def address_book_from_customers(customer: DataFrame) -> DataFrame:
     """An address book with formatted keys; everybody in a nation shares its switchboard."""
-    key, digits = F.col("c_custkey"), F.lpad(F.col("c_custkey").cast("string"), 10, "0")
-    own = F.concat(
-        F.lit("+1 (415) "), F.substring(digits, 1, 3), F.lit("-"), F.substring(digits, 4, 3), F.lit("+"),
-        F.substring(digits, 7, 4),
-    )
-    board = F.concat(F.lit(" +1-800-"), F.col("c_nationkey").cast("string"))
-    nameless = F.col("c_mktsegment") == "MACHINERY"
-    return customer.select(
-        key.alias("contact_id"),
-        F.when(nameless, F.lit(" ")).otherwise(F.substring_index("c_name", "#", 1)).alias("given_name"),
-        F.when(nameless, None).otherwise(F.substring_index("c_name", "#", -1)).alias("family_name"),
-        F.array(own, board).alias("phones"),
-        F.array(F.concat(F.lit("User_"), key.cast("string"), F.lit("@Example.COM"))).alias("emails"),
+    digits = customer.selectExpr("*", "lpad(c_custkey, 10, '0') AS digits")
+    return digits.selectExpr(
+        "c_custkey AS contact_id",
+        "if(c_mktsegment = 'MACHINERY', ' ', substring_index(c_name, '#', 1)) AS given_name",
+        "if(c_mktsegment = 'MACHINERY', NULL, substring_index(c_name, '#', -1)) AS family_name",
+        """array(concat('+1 (415) ', substr(digits, 1, 3), '-', substr(digits, 4, 3), '+', substr(digits, 7, 4)),
+             concat(' +1-800-', c_nationkey)) AS phones""",
+        "array(concat('User_', c_custkey, '@Example.COM')) AS emails",
     )
