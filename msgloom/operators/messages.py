@@ -23,6 +23,7 @@ from msgloom.functions.links import link_domain
 from msgloom.functions.times import known, unix_seconds, utc_date
 from msgloom.operators.chats import chat_members, first_chat, participants
 from msgloom.operators.contacts import one_name_per_key
+from msgloom.operators.salted import salted_left_join
 from msgloom.schemas import MESSAGES, RawTables
 from msgloom.sources.raw import rows_above
 
@@ -100,7 +101,9 @@ def _placement(raw: RawTables, contacts: DataFrame, normalize: bool, with_member
         return pairs
     members = chat_members(participants(raw.chat_handle_join, raw.handle))
     named = _with_name(members, contacts, "only_member", "only_member_name", normalize)
-    return pairs.join(named, "chat_id", "left")
+    # A chat may hold a third of all messages, and its member row comes straight from
+    # an aggregate, which keeps adaptive execution from splitting the chat; so salt.
+    return salted_left_join(pairs, named, "chat_id", F.col("message_id"))
 
 
 def _output(name: str) -> Column:
