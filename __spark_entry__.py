@@ -110,7 +110,7 @@ def _chat_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _address_book_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir).select(
-        "contact_key", "name", "ord.contact_id", F.col("ord._place").cast("long").alias("place")
+        "contact_key", "name", "ord.contact_id", F.col("ord.place").cast("long").alias("place")
     )
 
 
@@ -133,16 +133,16 @@ def _display_name_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _body_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     blobs = _table(spark, sf_dir, "documents").selectExpr("doc_id", f"{derived.stream_blob('text')} AS blob")
-    return blobs.select("doc_id", structured_text("blob").alias("inferred_text"))
+    return blobs.select("doc_id", F.expr(structured_text("blob")).alias("inferred_text"))
 
 
 def _body_text_marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blob = F.concat(F.lit("..NSString"), "text", F.lit("NSDictionary..")).cast("binary")
-    return _table(spark, sf_dir, "documents").select("doc_id", marked_text(blob).alias("inferred_text"))
+    blob = "CAST('..NSString' || text || 'NSDictionary..' AS BINARY)"
+    return _table(spark, sf_dir, "documents").selectExpr("doc_id", f"{marked_text(blob)} AS inferred_text")
 
 
 def _link_domain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", link_domain(F.col("url")).alias("link_domain"))
+    return _table(spark, sf_dir, "pages").selectExpr("page_id", f"{link_domain('url')} AS link_domain")
 
 
 def _label_counts(column: str) -> Query:

@@ -10,10 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from msgloom.functions.text import first_match, trim_unicode
+from msgloom.functions.text import first_match, literal, trim_unicode
 
 # Signature of an object stream, and the tag before a string in it.
 STREAM_SIGNATURE = "\u0004\u000bstreamtyped"
@@ -54,28 +51,28 @@ _CUT = """CASE WHEN span.start + span.size - 1 <= octet_length(blob)
     THEN substr(blob, span.start, CAST(span.size AS INT)) END"""
 
 
-def structured_text(blob: str) -> Column:
+def structured_text(blob: str) -> str:
     """The first string of an object stream; NULL if there is none, if its bytes are
     cut short or not UTF-8, or if it cannot be a message body.
 
     Lambdas bind each intermediate value, so it is written and computed once.
     """
-    payload = F.expr(f"""
+    payload = f"""
         transform(array({blob}), blob ->
           transform(array(
-            if(startswith(decode(blob, 'ISO-8859-1'), '{STREAM_SIGNATURE}'),
-               nullif(instr(decode(blob, 'ISO-8859-1'), '{STRING_TAG}'), 0) + {len(STRING_TAG)}, NULL)), at ->
-            transform(array({_SPAN}), span -> {_CUT})[0])[0])[0]""")
-    return first_match(trim_unicode(F.try_validate_utf8(payload.cast("string"))), _BODY)
+            if(startswith(decode(blob, 'ISO-8859-1'), {literal(STREAM_SIGNATURE)}),
+               nullif(instr(decode(blob, 'ISO-8859-1'), {literal(STRING_TAG)}), 0) + {len(STRING_TAG)}, NULL)), at ->
+            transform(array({_SPAN}), span -> {_CUT})[0])[0])[0]"""
+    return first_match(trim_unicode(f"try_validate_utf8(CAST({payload} AS STRING))"), _BODY)
 
 
-def marked_text(blob: Column) -> Column:
+def marked_text(blob: str) -> str:
     """Readable text between the two markers, without leading junk; NULL if empty."""
-    readable = F.regexp_replace(F.decode(blob, "ISO-8859-1"), r"[^\x20-\x7E\n\t]", " ")
-    between = F.btrim(first_match(readable, _MARKED, 1), F.lit(" \n\t"))
-    return first_match(F.regexp_replace(between, _JUNK, ""), r"(?s)^.+\z")
+    readable = rf"regexp_replace(decode({blob}, 'ISO-8859-1'), r'[^\x20-\x7E\n\t]', ' ')"
+    between = f"btrim({first_match(readable, _MARKED, 1)}, ' \n\t')"
+    return first_match(f"regexp_replace({between}, {literal(_JUNK)}, '')", r"(?s)^.+\z")
 
 
-def inferred_text(blob: str) -> Column:
-    """The text of a blob column: structured if possible, else marked."""
-    return F.coalesce(structured_text(blob), marked_text(F.col(blob)))
+def inferred_text(blob: str) -> str:
+    """The text of a blob: structured if possible, else marked."""
+    return f"coalesce({structured_text(blob)}, {marked_text(blob)})"

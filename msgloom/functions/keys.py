@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def phone_key(phone: Column) -> Column:
+def phone_key(phone: str) -> str:
     """Keep ASCII digits, and a plus sign in first place."""
-    return F.regexp_replace(phone, r"(?!^)\+|[^0-9+]", "")
+    return rf"regexp_replace({phone}, r'(?!^)\+|[^0-9+]', '')"
 
 
-def email_key(email: Column) -> Column:
-    return F.lower(email)
+def email_key(email: str) -> str:
+    return f"lower({email})"
 
 
-def contact_key(value: Column) -> Column:
+def contact_key(value: str) -> str:
     """Either kind: whatever has an @ is an e-mail address."""
-    return F.when(F.contains(value, F.lit("@")), email_key(value)).otherwise(phone_key(value))
+    return f"if(contains({value}, '@'), {email_key(value)}, {phone_key(value)})"

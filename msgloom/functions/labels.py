@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from msgloom.functions.text import first_match
 
 # Reaction codes.
@@ -28,14 +25,16 @@ NO_EFFECT = "no-effect"
 EFFECT_AFFIXES = ("CK", "Effect")
 
 
-def reaction_label(code: Column) -> Column:
-    labels = F.expr("map(" + ", ".join(f"{number}L, '{label}'" for number, label in REACTIONS.items()) + ")")
-    return F.coalesce(F.try_element_at(labels, code), F.lit(NO_REACTION))
+_LABELS = "map(" + ", ".join(f"{number}L, '{label}'" for number, label in REACTIONS.items()) + ")"
+
+
+def reaction_label(code: str) -> str:
+    return f"coalesce(try_element_at({_LABELS}, {code}), '{NO_REACTION}')"
 
 
-def effect_label(style: Column) -> Column:
+def effect_label(style: str) -> str:
     """Last dotted part of the style id without its affixes."""
     last = first_match(style, r"(?s)[^.]+\z")
     for affix in EFFECT_AFFIXES:
-        last = F.replace(last, F.lit(affix), F.lit(""))
-    return F.coalesce(last, F.lit(NO_EFFECT))
+        last = f"replace({last}, '{affix}', '')"
+    return f"coalesce({last}, '{NO_EFFECT}')"

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from msgloom.functions.text import first_match
+from msgloom.functions.text import first_match, literal
 
 # A secure link is preferred, wherever it stands.
 SECURE, PLAIN = "https://", "http://"
@@ -20,17 +17,17 @@ _PORT = r"(?::0*(?:[0-9]{0,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0
 _AUTHORITY = rf"^https?:[/\\]*{_USER}{_HOST}{_PORT}(?=[/\\?#]|\z)"
 
 
-def link_token(text: Column) -> Column:
+def link_token(text: str) -> str:
     """The first https link, else the first http link; NULL if there is none."""
-    return F.rtrim(first_match(text, _LINK, 1), F.lit(LINK_TAIL))
+    return f"rtrim({literal(LINK_TAIL)}, {first_match(text, _LINK, 1)})"
 
 
-def link_domain(text: Column) -> Column:
+def link_domain(text: str) -> str:
     """Lower-case host of the link without user, port and one leading `www.`; NULL
     for a link without a valid host or port.
 
     Hosts stay as written: Unicode names are not turned into their ASCII form
     and numeric addresses are not rewritten.
     """
-    host = F.lower(first_match(link_token(text), _AUTHORITY, 1))
-    return F.regexp_replace(host, r"^www\.", "")
+    host = f"lower({first_match(link_token(text), _AUTHORITY, 1)})"
+    return rf"regexp_replace({host}, r'^www\.', '')"

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The code points with the Unicode White_Space property.
 _WHITE_SPACE = (
     *range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
@@ -12,20 +9,22 @@ _WHITE_SPACE = (
 UNICODE_WHITESPACE = "".join(map(chr, _WHITE_SPACE))
 
 
-def trim_unicode(value: Column) -> Column:
+def literal(text: str) -> str:
+    """A string literal without escapes."""
+    if "'" in text:
+        raise ValueError("quotes are not needed in fixed texts")
+    return f"r'{text}'"
+
+
+def trim_unicode(value: str) -> str:
     """Drop Unicode white space at both ends (Spark's own trim drops only U+0020)."""
-    return F.btrim(value, F.lit(UNICODE_WHITESPACE))
+    return f"btrim({value}, {literal(UNICODE_WHITESPACE)})"
 
 
-def first_match(value: Column, pattern: str, group: int = 0) -> Column:
+def first_match(value: str, pattern: str, group: int = 0) -> str:
     """First match of a pattern, NULL if there is none.
 
     Names its input once. Expressions built from it stay small when the optimizer
     copies them, for instance into a filter.
     """
-    return F.get(F.regexp_extract_all(value, F.lit(pattern), F.lit(group)), F.lit(0))
-
-
-def whole_div(value: Column, by: int) -> Column:
-    """Integer division."""
-    return F.call_function("div", value, F.lit(by))
+    return f"get(regexp_extract_all({value}, {literal(pattern)}, {group}), 0)"

@@ -6,34 +6,24 @@ whatever the session time zone is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from msgloom.functions.text import whole_div
-
 # Unix time of 2001-01-01, and the border between seconds and nanoseconds.
 EPOCH_2001 = 978307200
 NANOSECOND_BORDER = 1_000_000_000_000
 NANOSECONDS = 1_000_000_000
 
-_DAY = 86_400
-
-
-def unix_seconds(raw: Column) -> Column:
-    """Raw date (nanoseconds, or seconds in old rows) to Unix seconds."""
-    return F.when(raw > NANOSECOND_BORDER, whole_div(raw, NANOSECONDS)).otherwise(raw) + F.lit(EPOCH_2001)
-
 
-def known(unix: Column) -> Column:
-    """Times at or before 1970-01-01 count as unknown."""
-    return F.when(unix > 0, unix)
+def unix_seconds(raw: str) -> str:
+    """Raw date (nanoseconds, or seconds in old rows) to Unix seconds; times at or
+    before 1970-01-01 count as unknown."""
+    unix = f"(if({raw} > {NANOSECOND_BORDER}, {raw} div {NANOSECONDS}, {raw}) + {EPOCH_2001})"
+    return f"CASE WHEN {unix} > 0 THEN {unix} END"
 
 
-def utc_date(unix: Column) -> Column:
+def utc_date(unix: str) -> str:
     """Day of a known Unix time."""
-    return F.date_from_unix_date(whole_div(unix, _DAY).cast("int"))
+    return f"date_from_unix_date(CAST({unix} div 86400 AS INT))"
 
 
-def utc_hour(timestamp: Column) -> Column:
+def utc_hour(timestamp: str) -> str:
     """Hour of the UTC day of a timestamp."""
-    return whole_div(F.pmod(F.unix_seconds(timestamp), F.lit(_DAY)), 3600).cast("int")
+    return f"CAST(pmod(unix_seconds({timestamp}), 86400) div 3600 AS INT)"

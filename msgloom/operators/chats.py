@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,7 +13,7 @@ def first_chat(chat_message_join: DataFrame) -> DataFrame:
 
 def participants(chat_handle_join: DataFrame, handle: DataFrame) -> DataFrame:
     """Chat, handle and contact of every participant whose handle is known."""
-    known = handle.select(F.col("ROWID").alias("handle_id"), F.col("id").alias("contact_info"))
+    known = handle.selectExpr("ROWID AS handle_id", "id AS contact_info")
     return chat_handle_join.join(known, "handle_id").select("chat_id", "handle_id", "contact_info")
 
 
@@ -25,20 +25,15 @@ def chat_members(members: DataFrame) -> DataFrame:
     every participant, since they are cells of the result; the size and the only
     participant are partial aggregates and do not depend on them.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("handle_id", "contact_info")))
     grouped = members.groupBy("chat_id").agg(
         F.count(F.lit(1)).alias("chat_size"),
-        F.min("contact_info").alias("_any"),
-        ordered.alias("_members"),
+        F.min("contact_info").alias("smallest"),
+        F.expr("array_sort(collect_list(struct(handle_id, contact_info)))").alias("members"),
     )
-    return grouped.select(
+    return grouped.selectExpr(
         "chat_id",
         "chat_size",
-        F.when(F.col("chat_size") == 1, F.col("_any")).alias("only_member"),
-        _json_list("handle_id").alias("chat_members_handles"),
-        _json_list("contact_info").alias("chat_members_contact_info"),
+        "CASE WHEN chat_size = 1 THEN smallest END AS only_member",
+        "to_json(members.handle_id) AS chat_members_handles",
+        "to_json(members.contact_info) AS chat_members_contact_info",
     )
-
-
-def _json_list(field: str) -> Column:
-    return F.to_json(F.transform("_members", lambda m: m[field]))

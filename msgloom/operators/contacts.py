@@ -34,6 +34,6 @@ def resolve(automatic: DataFrame, overrides: DataFrame) -> DataFrame:
 def one_name_per_key(contacts: DataFrame, normalize: bool = False) -> DataFrame:
     """The map with every key once, so that a lookup never multiplies rows; keys as
     written or in normalised spelling. If keys fall together the smallest name stays."""
-    key = F.col("contact_key")
-    spelled = contact_key(key) if normalize else key
-    return contacts.groupBy(spelled.alias("contact_key")).agg(F.min("name").alias("name"))
+    key = contact_key("contact_key") if normalize else "contact_key"
+    spelled = contacts.selectExpr(f"{key} AS contact_key", "name")
+    return spelled.groupBy("contact_key").agg(F.min("name").alias("name"))

@@ -13,14 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from msgloom.functions.body_text import inferred_text
 from msgloom.functions.keys import contact_key
 from msgloom.functions.labels import effect_label, reaction_label
 from msgloom.functions.links import link_domain
-from msgloom.functions.times import known, unix_seconds, utc_date
+from msgloom.functions.times import unix_seconds, utc_date
 from msgloom.operators.chats import chat_members, first_chat, participants
 from msgloom.operators.contacts import one_name_per_key
 from msgloom.operators.salted import salted_left_join
@@ -57,40 +56,38 @@ def build_messages(
     if _CHAT & set(wanted):
         with_members = bool(_MEMBERS & set(wanted))
         rows = rows.join(_placement(raw, contacts, normalize, with_members), "message_id", "left")
-    return rows.select(*[_output(name).alias(name) for name in wanted])
+    return rows.selectExpr(*[f"{_DERIVED.get(name, name)} AS {name}" for name in wanted])
 
 
 def senders(handle: DataFrame, contacts: DataFrame, normalize: bool = False) -> DataFrame:
     """Handle, its contact key as written, and the name to show for it."""
-    keyed = handle.select(F.col("ROWID").alias("_handle"), F.col("id").alias("contact_info"))
+    keyed = handle.selectExpr("ROWID AS _handle", "id AS contact_info")
     return _with_name(keyed, contacts, "contact_info", "name", normalize)
 
 
 def _with_name(rows: DataFrame, contacts: DataFrame, key: str, out: str, normalize: bool) -> DataFrame:
-    names = one_name_per_key(contacts, normalize).select(
-        F.col("contact_key").alias("_key"), F.col("name").alias("_name")
-    )
-    lookup = contact_key(F.col(key)) if normalize else F.col(key)
-    joined = rows.withColumn("_key", lookup).join(names, "_key", "left")
-    return joined.withColumn(out, F.coalesce("_name", key)).drop("_key", "_name")
+    names = one_name_per_key(contacts, normalize).selectExpr("contact_key AS _key", "name AS _name")
+    lookup = contact_key(key) if normalize else key
+    joined = rows.selectExpr("*", f"{lookup} AS _key").join(names, "_key", "left")
+    return joined.selectExpr(*rows.columns, f"coalesce(_name, {key}) AS {out}")
 
 
 def _own_columns(message: DataFrame) -> DataFrame:
     """Everything that needs no other table; the binary column ends here."""
     inferred = inferred_text("attributedBody")
-    unix = known(unix_seconds(F.col("date")))
-    return message.select(
-        F.col("ROWID").alias("message_id"),
-        F.col("handle_id").alias("_handle"),
-        F.coalesce("is_from_me", F.lit(0)).cast("byte").alias("is_from_me"),
-        F.coalesce("is_audio_message", F.lit(0)).cast("byte").alias("is_audio_message"),
+    return message.selectExpr(
+        "ROWID AS message_id",
+        "handle_id AS _handle",
+        "CAST(coalesce(is_from_me, 0) AS BYTE) AS is_from_me",
+        "CAST(coalesce(is_audio_message, 0) AS BYTE) AS is_audio_message",
         "text",
-        inferred.alias("inferred_text"),
-        F.col("thread_originator_guid").isNotNull().cast("byte").alias("is_thread_reply"),
-        reaction_label(F.col("associated_message_type")).alias("reaction"),
-        effect_label(F.col("expressive_send_style_id")).alias("message_effect"),
-        F.when(F.col("balloon_bundle_id").isNotNull(), link_domain(F.coalesce(F.col("text"), inferred))).alias("link_domain"),
-        unix.alias("_unix"),
+        f"{inferred} AS inferred_text",
+        "CAST(thread_originator_guid IS NOT NULL AS BYTE) AS is_thread_reply",
+        f"{reaction_label('associated_message_type')} AS reaction",
+        f"{effect_label('expressive_send_style_id')} AS message_effect",
+        f"""CASE WHEN balloon_bundle_id IS NOT NULL
+              THEN {link_domain(f'coalesce(text, {inferred})')} END AS link_domain""",
+        f"{unix_seconds('date')} AS _unix",
     )
 
 
@@ -103,39 +100,23 @@ def _placement(raw: RawTables, contacts: DataFrame, normalize: bool, with_member
     named = _with_name(members, contacts, "only_member", "only_member_name", normalize)
     # A chat may hold a third of all messages, and its member row comes straight from
     # an aggregate, which keeps adaptive execution from splitting the chat; so salt.
-    return salted_left_join(pairs, named, "chat_id", F.col("message_id"))
-
-
-def _output(name: str) -> Column:
-    derive = _DERIVED.get(name)
-    return derive() if derive else F.col(name)
-
-
-def _combined() -> Column:
-    return F.coalesce("text", "inferred_text")
-
-
-def _date() -> Column:
-    return utc_date(F.col("_unix"))
-
-
-def _by_direction(sent: str, received: str) -> Column:
-    return F.when(F.col("is_from_me") == 1, _recipient(sent)).otherwise(F.col(received))
+    return salted_left_join(pairs, named, "chat_id", "message_id")
 
 
-def _recipient(only: str) -> Column:
-    return F.when(F.col("chat_size") == 1, F.col(only)).when(F.col("chat_size") > 1, F.lit(GROUP_CHAT))
+def _by_direction(sent: str, received: str) -> str:
+    return f"""CASE WHEN is_from_me <> 1 THEN {received}
+        WHEN chat_size = 1 THEN {sent} WHEN chat_size > 1 THEN '{GROUP_CHAT}' END"""
 
 
 _DERIVED = {
-    "handle_id": lambda: F.coalesce("_handle", F.lit(0)),
-    "text_combined": _combined,
-    "body_text": _combined,
-    "chat_size": lambda: F.coalesce("chat_size", F.lit(0)),
-    "updated_contact_info": lambda: _by_direction("only_member", "contact_info"),
-    COUNTERPARTY: lambda: _by_direction("only_member_name", "name"),
-    "timestamp": lambda: F.timestamp_seconds("_unix"),
-    "date": _date,
-    "month": lambda: F.month(_date()).cast("byte"),
-    "year": lambda: F.year(_date()).try_cast("short"),
+    "handle_id": "coalesce(_handle, 0L)",
+    "text_combined": "coalesce(text, inferred_text)",
+    "body_text": "coalesce(text, inferred_text)",
+    "chat_size": "coalesce(chat_size, 0L)",
+    "updated_contact_info": _by_direction("only_member", "contact_info"),
+    COUNTERPARTY: _by_direction("only_member_name", "name"),
+    "timestamp": "timestamp_seconds(_unix)",
+    "date": utc_date("_unix"),
+    "month": f"CAST(month({utc_date('_unix')}) AS BYTE)",
+    "year": f"try_cast(year({utc_date('_unix')}) AS SMALLINT)",
 }

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 SALTS = 8
 
 
-def salted_left_join(rows: DataFrame, lookup: DataFrame, key: str, spread_by: Column, salts: int = SALTS) -> DataFrame:
+def salted_left_join(rows: DataFrame, lookup: DataFrame, key: str, spread_by: str, salts: int = SALTS) -> DataFrame:
     """Left join to a table with one row per key.
 
     Rows of a key are divided by a hash of `spread_by`; the lookup side, which is
@@ -16,6 +15,6 @@ def salted_left_join(rows: DataFrame, lookup: DataFrame, key: str, spread_by: Co
     both sides, which also lets adaptive execution split what is still too large.
     No broadcast is forced: Spark uses one only if the measured size permits.
     """
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = rows.selectExpr("*", f"CAST(pmod(xxhash64({spread_by}), {salts}) AS INT) AS _salt")
+    right = lookup.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS _salt")
     return left.join(right, [key, "_salt"], "left").drop("_salt")

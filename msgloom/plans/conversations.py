@@ -27,41 +27,42 @@ def compare_contacts(messages: DataFrame, contacts: Sequence[str], party: str =
     Counted per contact and day, then per contact. Both steps combine before their
     shuffle, and hours and week days are a fixed number of counters.
     """
-    direct = F.col("chat_size") == 1
-    hour = utc_hour(F.col("timestamp"))
-    sums = {
-        "sent_direct": direct & (F.col("is_from_me") == 1),
-        "received_direct": direct & (F.col("is_from_me") == 0),
-        "reactions": F.col("reaction") != NO_REACTION,
-        "links": F.col("link_domain").isNotNull(),
-        "audio_messages": F.col("is_audio_message") == 1,
+    hour = utc_hour("timestamp")
+    tests = {
+        "sent_direct": "chat_size = 1 AND is_from_me = 1",
+        "received_direct": "chat_size = 1 AND is_from_me = 0",
+        "reactions": f"reaction <> '{NO_REACTION}'",
+        "links": "link_domain IS NOT NULL",
+        "audio_messages": "is_audio_message = 1",
     }
-    sums |= {f"_hour{h}": hour == h for h in _HOURS}
-    mine = messages.where(F.col(party).isin(list(contacts))).withColumn("name", F.col(party))
-    days = mine.groupBy("name", "date").agg(
-        F.count(F.lit(1)).alias("messages"), *[F.count_if(test).alias(out) for out, test in sums.items()]
+    tests |= {f"_hour{h}": f"hour = {h}" for h in _HOURS}
+    mine = messages.where(F.col(party).isin(list(contacts)))
+    kept = mine.selectExpr(
+        f"{party} AS name", "date", "chat_size", "is_from_me", "reaction", "link_domain", "is_audio_message",
+        f"{hour} AS hour",
+    )
+    days = kept.groupBy("name", "date").agg(
+        F.count(F.lit(1)).alias("messages"), *[F.expr(f"count_if({test}) AS {out}") for out, test in tests.items()]
     )
-    dow = F.dayofweek("date") - 1
     totals = days.groupBy("name").agg(
         *contact_totals(),
-        *[F.sum(out).alias(out) for out in sums],
-        *[F.coalesce(F.sum(F.when(dow == d, F.col("messages"))), F.lit(0)).alias(f"_dow{d}") for d in _DAYS],
+        *[F.expr(f"sum({out}) AS {out}") for out in tests],
+        *[F.expr(f"coalesce(sum(messages) FILTER (WHERE dayofweek(date) = {d + 1}), 0L) AS _dow{d}") for d in _DAYS],
     )
-    dated = F.col("active_days") > 0
-    names = F.array(*map(F.lit, DAY_NAMES))
-    return totals.select(
+    names = ", ".join(f"'{name}'" for name in DAY_NAMES)
+    return totals.selectExpr(
         "name", "total_messages", "first_date", "last_date", "active_days", "avg_per_day",
         "sent_direct", "received_direct",
-        F.when(dated, F.get(names, _busiest([f"_dow{d}" for d in _DAYS]))).alias("busiest_day"),
-        F.when(dated, _busiest([f"_hour{h}" for h in _HOURS])).alias("busiest_hour"),
+        f"if(active_days > 0, get(array({names}), {_busiest('_dow', _DAYS)}), NULL) AS busiest_day",
+        f"if(active_days > 0, {_busiest('_hour', _HOURS)}, NULL) AS busiest_hour",
         "reactions", "links", "audio_messages",
     ).orderBy("name")
 
 
-def _busiest(counters: list[str]) -> Column:
-    """Index of the largest counter, the first one among equals."""
-    ranked = F.array(*[F.struct(F.col(c).alias("n"), F.lit(-i).alias("i")) for i, c in enumerate(counters)])
-    return -F.array_max(ranked)["i"]
+def _busiest(prefix: str, numbers: range) -> str:
+    """Number of the largest counter, the first one among equals."""
+    ranked = ", ".join(f"struct({prefix}{i} AS n, {-i} AS i)" for i in numbers)
+    return f"-array_max(array({ranked})).i"
 
 
 def contact_deep_dive(messages: DataFrame, contact: str, party: str = COUNTERPARTY) -> DataFrame:

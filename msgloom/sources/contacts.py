@@ -32,16 +32,10 @@ def address_book_entries(book: DataFrame) -> DataFrame:
     Contacts without a name are left out. `ord` follows the contact id, then
     phones before e-mails, then the place in the list.
     """
-    blank = F.lit("")
-    name = trim_unicode(
-        F.concat(F.coalesce("given_name", blank), F.lit(" "), F.coalesce("family_name", blank))
-    )
-    none = F.array().cast("array<string>")
-    keys = F.concat(
-        F.transform(F.coalesce("phones", none), phone_key),
-        F.transform(F.coalesce("emails", none), email_key),
-    )
-    named = book.select("contact_id", name.alias("name"), keys.alias("_keys")).where(F.col("name") != "")
-    return named.select(
-        "name", "contact_id", F.posexplode("_keys").alias("_place", "contact_key")
-    ).select("contact_key", "name", F.struct("contact_id", "_place").alias("ord"))
+    name = trim_unicode("concat(coalesce(given_name, ''), ' ', coalesce(family_name, ''))")
+    none = "CAST(array() AS ARRAY<STRING>)"
+    keys = f"""concat(transform(coalesce(phones, {none}), x -> {phone_key('x')}),
+        transform(coalesce(emails, {none}), x -> {email_key('x')}))"""
+    named = book.selectExpr("contact_id", f"{name} AS name", f"{keys} AS keys").where("name <> ''")
+    placed = named.selectExpr("name", "contact_id", "posexplode(keys) AS (place, contact_key)")
+    return placed.selectExpr("contact_key", "name", "struct(contact_id, place) AS ord")
