@@ -27,7 +27,7 @@ from msgloom.functions.body_text import inferred_text  # noqa: E402
 from msgloom.plans import analyses as A  # noqa: E402
 from msgloom.plans import conversations as K  # noqa: E402
 from msgloom.plans import ingest, sqlview  # noqa: E402
-from msgloom.session import configure, path_bytes, scratch_dir, size_shuffles  # noqa: E402
+from msgloom.session import configure, scratch_dir  # noqa: E402
 from msgloom.sources import derived, stored  # noqa: E402
 from msgloom.sources.raw import high_watermark, read_raw  # noqa: E402
 
@@ -85,13 +85,12 @@ def main() -> None:
 
     raw = read_raw(spark, f"{folder}/raw")
     contacts = spark.read.parquet(f"{folder}/contacts")
-    size_shuffles(spark, path_bytes(spark, f"{folder}/raw").first()["size_bytes"])
     newest = high_watermark(raw.message, id_column="ROWID").first()["watermark"]
     early = newest - newest // 100
     older = raw._replace(message=raw.message.where(F.col("ROWID") <= early))
 
     timings = {
-        "ingest_warm_up": seconds(lambda: ingest.sync(spark, raw, contacts, f"{folder}/warm")),
+        "ingest_warm_up": seconds(lambda: ingest.sync_files(spark, f"{folder}/raw", contacts, f"{folder}/warm")),
         "ingest_full": seconds(lambda: ingest.sync(spark, older, contacts, f"{folder}/dataset")),
         "ingest_refresh": seconds(lambda: ingest.sync(spark, raw, contacts, f"{folder}/dataset")),
     }

@@ -1 +1,46 @@
-"""Message-history analytics as PySpark DataFrame jobs."""
+"""Message-history analytics as PySpark DataFrame jobs.
+
+    from msgloom import configure, read_contacts, read_messages, sync_files, top_contacts
+
+    configure(spark)
+    sync_files(spark, "/data/raw", read_contacts(spark, "/data/contacts.csv"), "/data/messages")
+    top_contacts(read_messages(spark, "/data/messages"), limit=10).show()
+"""
+
+from msgloom.errors import DatasetNotFound, SchemaMismatch, SourceNotFound
+from msgloom.operators.messages import build_messages
+from msgloom.operators.sinks import json_rows, write_csv, write_json
+from msgloom.plans.analyses import (
+    contact_stats,
+    effects,
+    group_message_count,
+    links,
+    reactions,
+    search_contacts,
+    seasonality,
+    time_series,
+    top_contacts,
+)
+from msgloom.plans.conversations import (
+    compare_contacts,
+    compare_periods,
+    contact_deep_dive,
+    group_chats,
+    needs_reply,
+    period_in_review,
+)
+from msgloom.plans.ingest import full_build, refresh, sync, sync_files
+from msgloom.plans.sqlview import query, register
+from msgloom.session import configure
+from msgloom.sources.contacts import read_contacts
+from msgloom.sources.raw import read_raw, read_raw_jdbc
+from msgloom.sources.stored import read_messages, status
+from msgloom.streaming.ingest import start_ingest
+
+__all__ = [
+    "DatasetNotFound", "SchemaMismatch", "SourceNotFound", "build_messages", "compare_contacts", "compare_periods",
+    "configure", "contact_deep_dive", "contact_stats", "effects", "full_build", "group_chats", "group_message_count",
+    "json_rows", "links", "needs_reply", "period_in_review", "query", "reactions", "read_contacts", "read_messages",
+    "read_raw", "read_raw_jdbc", "refresh", "register", "search_contacts", "seasonality", "start_ingest", "status",
+    "sync", "sync_files", "time_series", "top_contacts", "write_csv", "write_json",
+]

@@ -120,20 +120,22 @@ def group_chats(messages: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def _period_totals(labelled: DataFrame) -> DataFrame:
-    """Totals per label. Contacts and days are first reduced to one row per
-    (label, contact, day), then counted without repetition."""
-    cells = labelled.groupBy("period", "name", "date").agg(
+    """Totals per label. Days and contacts are each counted on their own narrow
+    aggregate: rows combine to one per day, or one per contact, before any shuffle."""
+    days = labelled.groupBy("period", "date").agg(
         F.count(F.lit(1)).alias("messages"),
         F.count_if(F.col("is_from_me") == 1).alias("sent"),
         F.count_if(F.col("is_from_me") == 0).alias("received"),
     )
-    return cells.groupBy("period").agg(
+    contacts = labelled.where(F.col("name").isNotNull()).select("period", "name").distinct()
+    per_period = days.groupBy("period").agg(
         F.sum("messages").alias("messages"),
         F.sum("sent").alias("sent"),
         F.sum("received").alias("received"),
-        F.count_distinct("name").alias("active_contacts"),
-        F.count_distinct("date").alias("active_days"),
+        F.count("date").alias("active_days"),
     )
+    active = contacts.groupBy("period").agg(F.count(F.lit(1)).alias("active_contacts"))
+    return per_period.unionByName(active, allowMissingColumns=True)
 
 
 METRICS = ("messages", "sent", "received", "active_contacts", "active_days")

@@ -12,7 +12,8 @@ from msgloom.errors import DatasetNotFound
 from msgloom.operators.messages import build_messages
 from msgloom.operators.sinks import write_load
 from msgloom.schemas import INGEST_RUNS, SCHEMA_VERSION, RawTables
-from msgloom.sources.raw import high_watermark
+from msgloom.session import one_row, path_bytes, size_shuffles
+from msgloom.sources.raw import high_watermark, read_raw
 from msgloom.sources.stored import generation_path, latest_run, read_generation, read_runs, runs_path
 
 
@@ -52,6 +53,21 @@ def sync(
     return step(spark, raw, contacts, dataset, normalize)
 
 
+def sync_files(
+    spark: SparkSession,
+    source: str,
+    contacts: DataFrame,
+    dataset: str,
+    fmt: str = "parquet",
+    force: bool = False,
+    normalize: bool = False,
+) -> DataFrame:
+    """Sync from a folder of raw tables, with shuffles sized by what lies in it."""
+    raw = read_raw(spark, source, fmt)
+    size_shuffles(spark, path_bytes(spark, source).first()["size_bytes"])
+    return sync(spark, raw, contacts, dataset, force, normalize)
+
+
 def current_run(spark: SparkSession, dataset: str):
     """The row of the run log readers follow, or None for a new dataset."""
     try:
@@ -91,15 +107,14 @@ def _log_run(
 ) -> DataFrame:
     """Append the run to the log. Counts come from what is stored, not from the job."""
     stored = read_generation(spark, dataset, generation)
-    total = stored.agg(F.count(F.lit(1)).alias("total_messages"), F.lit(1).alias("_one"))
+    total = stored.agg(F.count(F.lit(1)).alias("total_messages"))
     loaded = stored.where(F.col("message_id") > since).agg(
         F.count(F.lit(1)).alias("rows_written"),
         F.coalesce(F.max("message_id"), F.lit(since)).cast("long").alias("last_message_id"),
-        F.lit(1).alias("_one"),
     )
-    known = contacts.agg(F.count_distinct("contact_key").alias("contacts_resolved"), F.lit(1).alias("_one"))
+    known = contacts.agg(F.count_distinct("contact_key").alias("contacts_resolved"))
     run_id = uuid.uuid4().hex
-    row = total.join(loaded, "_one").join(known, "_one").select(
+    row = one_row(total, loaded, known).select(
         F.lit(run_id).alias("run_id"),
         F.lit(generation).cast("long").alias("generation"),
         F.lit(mode).alias("mode"),

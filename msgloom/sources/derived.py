@@ -61,7 +61,7 @@ def raw_from_events(events: DataFrame) -> RawTables:
              ELSE concat(event_type, ' ', k, ' https:// nothing') END AS text""",
         f"""CASE WHEN event_id % 11 = 0 THEN {marker_blob("concat(event_type, ' hidden ', k)")}
              WHEN event_id % 13 = 0 THEN {stream_blob("concat(event_type, ' café ', k)")} END AS attributedBody""",
-        "CASE WHEN k = 94 THEN NULL WHEN event_id % 2 = 1 THEN 0L ELSE user_id + 1 END AS handle_id",
+        "CASE WHEN k = 94 THEN NULL WHEN event_id % 2 = 1 AND k >= 20 THEN 0L ELSE user_id + 1 END AS handle_id",
         "CASE WHEN k <> 95 THEN event_id % 2 END AS is_from_me",
         """CASE WHEN k = 98 THEN NULL WHEN k = 97 THEN 0L WHEN k = 96 THEN -2000000000L
              WHEN event_id % 5 = 0 THEN sec ELSE sec * 1000000000L END AS date""",

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from msgloom.errors import DatasetNotFound, SchemaMismatch
 from msgloom.schemas import INGEST_RUNS, MESSAGES, SCHEMA_VERSION
-from msgloom.session import is_missing_path, path_bytes
+from msgloom.session import is_missing_path, one_row, path_bytes
 
 _STORED = T.StructType([*MESSAGES.fields, T.StructField("load", T.StringType(), True)])
 
@@ -82,14 +82,7 @@ def status(spark: SparkSession, dataset: str) -> DataFrame:
         F.count(F.lit(1)).alias("total_messages"), F.max("timestamp").alias("last_message_at")
     )
     size = path_bytes(spark, f"{dataset}/messages")
-    # Three one-row tables side by side.
-    one = F.lit(1).alias("_one")
-    row = (
-        run.drop("total_messages")
-        .select("*", one)
-        .join(stored.select("*", one), "_one")
-        .join(size.select("*", one), "_one")
-    )
+    row = one_row(run.drop("total_messages"), stored, size)
     warning = F.when(F.col("contacts_resolved") == 0, F.lit("contact names were not resolved"))
     return row.select(
         "total_messages",

@@ -47,7 +47,7 @@ message AS (
          CASE WHEN event_id % 11 = 0 THEN 'xxNSString+2' || event_type || ' hidden ' || k || 'NSDictionaryyy' END
            AS marked,
          CASE WHEN event_id % 11 <> 0 AND event_id % 13 = 0 THEN event_type || ' café ' || k END AS structured,
-         CASE WHEN k = 94 THEN NULL WHEN event_id % 2 = 1 THEN 0 ELSE user_id + 1 END AS raw_handle,
+         CASE WHEN k = 94 THEN NULL WHEN event_id % 2 = 1 AND k >= 20 THEN 0 ELSE user_id + 1 END AS raw_handle,
          CASE WHEN k = 95 THEN NULL ELSE event_id % 2 END AS raw_from_me,
          CASE WHEN k = 98 THEN NULL WHEN k = 97 THEN 0 WHEN k = 96 THEN -2000000000
               WHEN event_id % 5 = 0 THEN sec ELSE sec * 1000000000 END AS raw_date,

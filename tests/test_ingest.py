@@ -191,3 +191,15 @@ def test_results_as_json_and_csv(spark, small_raw, small_contacts, tmp_path):
     sinks.write_csv(odd, str(tmp_path / "one"), limit=1)
     files = list((tmp_path / "one").glob("*.csv"))
     assert "".join(f.read_text() for f in files) == 'i,t\n1,"a ""quoted"", text\nand more"\n'
+
+
+def test_sync_from_files_in_steps(spark, small_raw, small_contacts, dataset, expected, tmp_path):
+    source = str(tmp_path)
+    for name, table in small_raw._asdict().items():
+        kept = table.where("ROWID <= 6") if name == "message" else table
+        kept.write.parquet(f"{source}/{name}")
+    ingest.sync_files(spark, source, small_contacts, dataset)
+    small_raw.message.where("ROWID > 6").write.mode("append").parquet(f"{source}/message")
+    run = ingest.sync_files(spark, source, small_contacts, dataset).first()
+    assert (run["mode"], run["rows_written"]) == ("incremental", 4)
+    assert content(stored.read_messages(spark, dataset)) == expected

@@ -29,9 +29,14 @@ def files(spark, small_raw, small_contacts, tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def table(spark, small_raw, small_contacts):
-    dataset = scratch_dir(spark, "plans")
-    ingest.sync(spark, small_raw, small_contacts, dataset)
+def dataset(spark, small_raw, small_contacts):
+    path = scratch_dir(spark, "plans")
+    ingest.sync(spark, small_raw, small_contacts, path)
+    return path
+
+
+@pytest.fixture(scope="module")
+def table(spark, dataset):
     return stored.read_messages(spark, dataset)
 
 
@@ -70,13 +75,14 @@ def test_message_rows_are_shuffled_once_without_the_blob(spark, files, small_con
     assert before and all("attributedBody" not in block for block in before)
 
 
-def test_no_python_and_no_cross_joins(spark, files, table, small_contacts):
+def test_no_python_and_no_cross_joins(spark, files, dataset, table, small_contacts):
     built = build_messages(read_raw(spark, files), small_contacts)
     for df in (
         built, A.contact_stats(table), A.time_series(table, fill_gaps=True), A.search_contacts(table, "a"),
         K.group_chats(table), K.needs_reply(table, dt.date(2024, 2, 1), party="name"),
         K.compare_contacts(table, ["Alice"], party="name"),
         K.compare_periods(table, *[(dt.date(2024, 1, 1), dt.date(2024, 1, 9))] * 2),
+        stored.status(spark, dataset),
     ):
         plan = plan_of(df)
         for node in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
