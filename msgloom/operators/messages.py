@@ -55,7 +55,7 @@ def build_messages(
         rows = rows.join(senders(raw.handle, contacts, normalize), "_handle", "left")
     if _CHAT & set(wanted):
         with_members = bool(_MEMBERS & set(wanted))
-        rows = rows.join(_placement(raw, contacts, normalize, with_members), "message_id", "left")
+        rows = rows.join(_placement(raw, contacts, normalize, with_members, since), "message_id", "left")
     return rows.selectExpr(*[f"{_DERIVED.get(name, name)} AS {name}" for name in wanted])
 
 
@@ -91,12 +91,16 @@ def _own_columns(message: DataFrame) -> DataFrame:
     )
 
 
-def _placement(raw: RawTables, contacts: DataFrame, normalize: bool, with_members: bool) -> DataFrame:
+def _placement(raw: RawTables, contacts: DataFrame, normalize: bool, with_members: bool, since: int) -> DataFrame:
     """Message id to chat, with the chat's members joined while rows are narrow."""
     pairs = first_chat(raw.chat_message_join)
     if not with_members:
         return pairs
-    members = chat_members(participants(raw.chat_handle_join, raw.handle))
+    seats = raw.chat_handle_join
+    if since > 0:
+        # A small load needs few chats: leave the others out before lists are built.
+        seats = seats.join(pairs.select("chat_id").distinct(), "chat_id", "left_semi")
+    members = chat_members(participants(seats, raw.handle))
     named = _with_name(members, contacts, "only_member", "only_member_name", normalize)
     # A chat may hold a third of all messages, and its member row comes straight from
     # an aggregate, which keeps adaptive execution from splitting the chat; so salt.

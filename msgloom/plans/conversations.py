@@ -16,6 +16,7 @@ from msgloom.functions.labels import NO_REACTION
 from msgloom.functions.times import utc_hour
 from msgloom.operators.messages import COUNTERPARTY
 from msgloom.plans.analyses import DAY_NAMES, contact_totals
+from msgloom.session import one_row
 
 _HOURS = range(24)
 _DAYS = range(7)
@@ -119,70 +120,51 @@ def group_chats(messages: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked if limit is None else ranked.limit(limit)
 
 
-def _period_totals(labelled: DataFrame) -> DataFrame:
-    """Totals per label. Days and contacts are each counted on their own narrow
-    aggregate: rows combine to one per day, or one per contact, before any shuffle."""
-    days = labelled.groupBy("period", "date").agg(
+METRICS = ("messages", "sent", "received", "active_contacts", "active_days")
+Period = tuple[dt.date, dt.date]
+
+
+def _period_totals(messages: DataFrame, **periods: Period) -> DataFrame:
+    """One row with a column `<metric>_<label>` per metric and period.
+
+    Messages are combined to one row per day, and to one row per contact with a
+    mark for every period it is active in. Periods are applied to those.
+    """
+    inside = {label: F.col("date").between(F.lit(start), F.lit(end)) for label, (start, end) in periods.items()}
+    reach = F.col("date").between(F.lit(min(p[0] for p in periods.values())), F.lit(max(p[1] for p in periods.values())))
+    rows = messages.where(reach)
+    days = rows.groupBy("date").agg(
         F.count(F.lit(1)).alias("messages"),
         F.count_if(F.col("is_from_me") == 1).alias("sent"),
         F.count_if(F.col("is_from_me") == 0).alias("received"),
     )
-    contacts = labelled.where(F.col("name").isNotNull()).select("period", "name").distinct()
-    per_period = days.groupBy("period").agg(
-        F.sum("messages").alias("messages"),
-        F.sum("sent").alias("sent"),
-        F.sum("received").alias("received"),
-        F.count("date").alias("active_days"),
+    contacts = rows.where(F.col("name").isNotNull()).groupBy("name").agg(
+        *[F.max(test).alias(label) for label, test in inside.items()]
     )
-    active = contacts.groupBy("period").agg(F.count(F.lit(1)).alias("active_contacts"))
-    return per_period.unionByName(active, allowMissingColumns=True)
-
-
-METRICS = ("messages", "sent", "received", "active_contacts", "active_days")
+    per_day = days.agg(*[
+        F.coalesce(F.sum(F.when(test, F.col(metric))), F.lit(0)).alias(f"{metric}_{label}")
+        for label, test in inside.items() for metric in ("messages", "sent", "received")
+    ], *[F.count_if(test).alias(f"active_days_{label}") for label, test in inside.items()])
+    per_contact = contacts.agg(*[F.count_if(label).alias(f"active_contacts_{label}") for label in periods])
+    return one_row(per_day, per_contact)
 
 
 def period_in_review(messages: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """One row of totals for the days from start to end, both included."""
-    inside = messages.where(F.col("date").between(F.lit(start), F.lit(end)))
-    period = F.lit(f"{start} to {end}")
-    totals = _period_totals(inside.select("name", "date", "is_from_me", F.lit(1).alias("period")))
-    # A global aggregate gives a row of zeros for a period without messages.
-    return totals.agg(*[F.coalesce(F.max(m), F.lit(0)).alias(m) for m in METRICS]).select(
-        period.alias("period"), *METRICS
+    totals = _period_totals(messages, only=(start, end))
+    return totals.select(
+        F.lit(f"{start} to {end}").alias("period"), *[F.col(f"{metric}_only").alias(metric) for metric in METRICS]
     )
 
 
-def compare_periods(
-    messages: DataFrame, first: tuple[dt.date, dt.date], second: tuple[dt.date, dt.date]
-) -> DataFrame:
+def compare_periods(messages: DataFrame, first: Period, second: Period) -> DataFrame:
     """The totals of two periods side by side, with change and change in percent.
-
-    One scan: a message is labelled with each period it lies in.
-    """
-    dates = F.col("date")
-    labels = F.array_compact(
-        F.array(*[
-            F.when(dates.between(F.lit(start), F.lit(end)), F.lit(label))
-            for label, (start, end) in (("first", first), ("second", second))
-        ])
-    )
-    reach = dates.between(F.lit(min(first[0], second[0])), F.lit(max(first[1], second[1])))
-    labelled = messages.where(reach).select("name", "date", "is_from_me", F.explode(labels).alias("period"))
-    totals = _period_totals(labelled)
-
-    def value(label: str, metric: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("period") == label, F.col(metric))), F.lit(0))
-
-    sides = totals.agg(
-        F.array(*[
-            F.struct(
-                F.lit(m).alias("metric"), value("first", m).alias("first_period"),
-                value("second", m).alias("second_period"),
-            )
-            for m in METRICS
-        ]).alias("_rows")
-    ).select(F.inline("_rows"))
-    change = F.col("second_period") - F.col("first_period")
-    return sides.select(
-        "*", change.alias("change"), F.try_divide(change * 100.0, F.col("first_period")).alias("change_percent")
+    Periods may overlap."""
+    totals = _period_totals(messages, first=first, second=second)
+    rows = ", ".join(f"'{metric}', {metric}_first, {metric}_second" for metric in METRICS)
+    sides = totals.selectExpr(f"stack({len(METRICS)}, {rows}) AS (metric, first_period, second_period)")
+    return sides.selectExpr(
+        "*",
+        "second_period - first_period AS change",
+        "try_divide((second_period - first_period) * 100D, first_period) AS change_percent",
     )
