@@ -24,7 +24,7 @@ from msgloom.functions.links import link_domain  # noqa: E402
 from msgloom.operators import contacts as C  # noqa: E402
 from msgloom.operators import sinks  # noqa: E402
 from msgloom.operators.chats import chat_members, first_chat, participants  # noqa: E402
-from msgloom.operators.messages import COUNTERPARTY, build_messages  # noqa: E402
+from msgloom.operators.messages import COUNTERPARTY, build_messages, with_counterparty  # noqa: E402
 from msgloom.plans import analyses as A  # noqa: E402
 from msgloom.plans import conversations as K  # noqa: E402
 from msgloom.plans import ingest, sqlview  # noqa: E402
@@ -128,6 +128,16 @@ def _display_name_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_messages(_raw(spark, sf_dir), book, columns=["message_id", "name"], normalize=True)
 
 
+def _display_counterparty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _messages(spark, sf_dir, "message_id", "is_from_me", "name", "updated_contact_info")
+    return with_counterparty(kept, _contacts(spark, sf_dir)).select("message_id", COUNTERPARTY)
+
+
+def _conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = derived.raw_from_conversations(_table(spark, sf_dir, "conversations"))
+    return _comparable(build_messages(raw, _contacts(spark, sf_dir)))
+
+
 # --- text -------------------------------------------------------------------
 
 
@@ -264,8 +274,10 @@ _QUERIES: dict[str, Query] = {
     "flags": _columns("message_id", "is_from_me", "is_audio_message", "is_thread_reply"),
     "recipient": _columns("message_id", "chat_size", "updated_contact_info"),
     "display_name": _columns("message_id", "contact_info", "name", COUNTERPARTY),
+    "display_counterparty": _display_counterparty,
     "display_name_normalized": _display_name_normalized,
     "messages_full": _columns(),
+    "conversation_messages": _conversation_messages,
     "top_contacts": _analysis(A.top_contacts, "name"),
     "top_contacts_year": _analysis(A.top_contacts, "name", "year", year=2024),
     "top_contacts_direct": _analysis(A.top_contacts, "name", "chat_size", direct_only=True),

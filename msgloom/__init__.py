@@ -8,7 +8,7 @@
 """
 
 from msgloom.errors import DatasetNotFound, SchemaMismatch, SourceNotFound
-from msgloom.operators.messages import build_messages
+from msgloom.operators.messages import build_messages, with_counterparty
 from msgloom.operators.sinks import json_rows, write_csv, write_json
 from msgloom.plans.analyses import (
     contact_stats,
@@ -42,5 +42,5 @@ __all__ = [
     "configure", "contact_deep_dive", "contact_stats", "effects", "full_build", "group_chats", "group_message_count",
     "json_rows", "links", "needs_reply", "period_in_review", "query", "reactions", "read_contacts", "read_messages",
     "read_raw", "read_raw_jdbc", "refresh", "register", "search_contacts", "seasonality", "start_ingest", "status",
-    "sync", "sync_files", "time_series", "top_contacts", "write_csv", "write_json",
+    "sync", "sync_files", "time_series", "top_contacts", "with_counterparty", "write_csv", "write_json",
 ]

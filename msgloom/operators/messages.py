@@ -72,6 +72,21 @@ def _with_name(rows: DataFrame, contacts: DataFrame, key: str, out: str, normali
     return joined.selectExpr(*rows.columns, f"coalesce(_name, {key}) AS {out}")
 
 
+def with_counterparty(messages: DataFrame, contacts: DataFrame, normalize: bool = False) -> DataFrame:
+    """Add `counterparty_name` to a stored table, by a lookup of the recipient's name.
+
+    One recipient, or the common value of group chats, may stand on a third of all
+    rows; the lookup is salted.
+    """
+    names = one_name_per_key(contacts, normalize).selectExpr("contact_key AS _key", "name AS _name")
+    lookup = contact_key("updated_contact_info") if normalize else "updated_contact_info"
+    keyed = messages.selectExpr("*", f"CASE WHEN is_from_me = 1 THEN {lookup} END AS _key")
+    joined = salted_left_join(keyed, names, "_key", "message_id")
+    party = f"""CASE WHEN is_from_me <> 1 THEN name WHEN updated_contact_info = '{GROUP_CHAT}' THEN '{GROUP_CHAT}'
+        ELSE coalesce(_name, updated_contact_info) END AS {COUNTERPARTY}"""
+    return joined.selectExpr(*messages.columns, party)
+
+
 def _own_columns(message: DataFrame) -> DataFrame:
     """Everything that needs no other table; the binary column ends here."""
     inferred = inferred_text("attributedBody")

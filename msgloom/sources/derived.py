@@ -91,6 +91,28 @@ def raw_from_events(events: DataFrame) -> RawTables:
     return RawTables(message, handle, chat_message_join, chat_handle_join)
 
 
+def raw_from_conversations(conversations: DataFrame) -> RawTables:
+    """Each conversation is a direct chat, a turn a minute long; what the user said is
+    sent, as text, and the rest is received, as an object stream with the whole text."""
+    message = conversations.selectExpr(
+        "conv_id * 100000 + turn + 1 AS ROWID",
+        "CASE WHEN role = 'user' THEN text END AS text",
+        f"CASE WHEN role <> 'user' THEN {stream_blob('text')} END AS attributedBody",
+        "if(role = 'user', 0L, conv_id + 1) AS handle_id",
+        "if(role = 'user', 1L, 0L) AS is_from_me",
+        "conv_id * 3600 + turn * 60 AS date",
+        "0L AS associated_message_type",
+        "CAST(NULL AS STRING) AS expressive_send_style_id",
+        "CASE WHEN turn > 1 THEN concat('conv-', conv_id) END AS thread_originator_guid",
+        "CAST(NULL AS STRING) AS balloon_bundle_id",
+        "0L AS is_audio_message",
+    )
+    chats = conversations.selectExpr("conv_id + 1 AS chat_id", "conv_id * 100000 + turn + 1 AS message_id")
+    people = conversations.select("conv_id").distinct()
+    handle = people.selectExpr("conv_id + 1 AS ROWID", f"{handle_key('conv_id')} AS id")
+    return RawTables(message, handle, chats, people.selectExpr("conv_id + 1 AS chat_id", "conv_id + 1 AS handle_id"))
+
+
 def contacts_from_customers(customer: DataFrame) -> DataFrame:
     """Contact names; some handles stay unnamed."""
     named = customer.where("c_mktsegment <> 'MACHINERY'")

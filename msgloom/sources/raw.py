@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from msgloom.errors import SourceNotFound
 from msgloom.schemas import RAW, RawTables
@@ -15,18 +16,33 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", since: int =
     """Read `<path>/message`, `handle`, `chat_message_join` and `chat_handle_join`.
 
     Any file format Spark reads will do; the schemas are explicit, so nothing is
-    inferred. `since` keeps messages above that row id, see `rows_above`.
+    inferred. Formats of plain text carry the binary column in base 64. `since` keeps
+    messages above that row id, see `rows_above`.
     """
     reader = spark.read.options(**options)
     try:
-        tables = {name: reader.schema(schema).format(fmt).load(f"{path}/{name}") for name, schema in RAW.items()}
+        tables = {
+            name: reader.schema(_text_schema(schema) if fmt == "csv" else schema).format(fmt).load(f"{path}/{name}")
+            for name, schema in RAW.items()
+        }
     except AnalysisException as error:
         if is_missing_path(error):
             raise SourceNotFound(f"a raw table is missing below {path}: {error}") from error
         raise
+    if fmt == "csv":
+        message = tables["message"]
+        tables["message"] = message.withColumn("attributedBody", F.unbase64("attributedBody"))
     return rows_above(RawTables(**tables), since)
 
 
+def _text_schema(schema: T.StructType) -> T.StructType:
+    """The schema with text in place of bytes."""
+    binary = T.BinaryType()
+    return T.StructType([
+        T.StructField(f.name, T.StringType() if f.dataType == binary else f.dataType, f.nullable) for f in schema.fields
+    ])
+
+
 def read_raw_jdbc(
     spark: SparkSession, url: str, lower: int, upper: int, partitions: int, since: int = 0, **options
 ) -> RawTables:

@@ -270,7 +270,26 @@ ORACLE = {
     "display_name_normalized": f"""WITH {_MESSAGES}, {_BOOK}
         SELECT message_id, COALESCE(f.name, contact_info) AS name FROM messages
         LEFT JOIN firsts f ON f.contact_key = lower(contact_info)""",
+    "display_counterparty": _m("SELECT message_id, counterparty_name FROM messages"),
     "messages_full": _FULL,
+    "conversation_messages": f"""WITH contacts AS (SELECT {_KEY.format(u='c_custkey')} AS contact_key, c_name
+        FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+        turns AS (SELECT *, {_KEY.format(u='conv_id')} AS key, conv_id * 3600 + turn * 60 + 978307200 AS unix_ts,
+          make_timestamp((conv_id * 3600 + turn * 60 + 978307200) * 1000000) AS moment,
+          CASE WHEN role <> 'user' THEN NULLIF(regexp_replace(regexp_replace(text,
+            '^[\\s\\v\\x{{85}}\\p{{Z}}]+', ''), '[\\s\\v\\x{{85}}\\p{{Z}}]+$', ''), '') END AS decoded FROM conversations)
+        SELECT conv_id * 100000 + turn + 1 AS message_id, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS is_from_me,
+          CASE WHEN role = 'user' THEN text END AS text, decoded AS inferred_text,
+          CASE WHEN role = 'user' THEN text ELSE decoded END AS text_combined,
+          CASE WHEN role = 'user' THEN text ELSE decoded END AS body_text,
+          CASE WHEN role = 'user' THEN 0 ELSE conv_id + 1 END AS handle_id,
+          CASE WHEN role <> 'user' THEN key END AS contact_info, key AS updated_contact_info, conv_id + 1 AS chat_id,
+          '[' || (conv_id + 1) || ']' AS chat_members_handles, '["' || key || '"]' AS chat_members_contact_info,
+          1 AS chat_size, 0 AS is_audio_message, 'no-effect' AS message_effect, 'no-reaction' AS reaction,
+          CASE WHEN turn > 1 THEN 1 ELSE 0 END AS is_thread_reply, CAST(NULL AS VARCHAR) AS link_domain,
+          CASE WHEN role <> 'user' THEN COALESCE(c_name, key) END AS name, unix_ts AS timestamp,
+          CAST(moment AS DATE) AS date, month(moment) AS month, year(moment) AS year
+        FROM turns LEFT JOIN contacts ON contact_key = key""",
     "top_contacts": _top(),
     "top_contacts_year": _top("AND year = 2024"),
     "top_contacts_direct": _top("AND chat_size = 1"),

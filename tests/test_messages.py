@@ -4,7 +4,7 @@ import datetime as dt
 
 from conftest import contact_table, message, raw_tables
 
-from msgloom.operators.messages import COUNTERPARTY, build_messages
+from msgloom.operators.messages import COUNTERPARTY, build_messages, with_counterparty
 from msgloom.schemas import MESSAGES, SCHEMA_VERSION
 from msgloom.sources.raw import high_watermark, rows_above
 
@@ -128,3 +128,12 @@ def test_results_do_not_depend_on_the_session_time_zone(spark, small_raw, small_
         assert by_id(build_messages(small_raw, small_contacts, columns=columns)) == before
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_counterparty_of_a_stored_table(spark, small_raw, small_contacts):
+    stored = build_messages(small_raw, small_contacts)
+    added = with_counterparty(stored, small_contacts)
+    assert added.columns == [*stored.columns, COUNTERPARTY]
+    rows = by_id(added)
+    built = by_id(build_messages(small_raw, small_contacts, columns=["message_id", COUNTERPARTY]))
+    assert {i: r[COUNTERPARTY] for i, r in rows.items()} == {i: r[COUNTERPARTY] for i, r in built.items()}
