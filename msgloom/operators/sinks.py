@@ -9,18 +9,19 @@ from pyspark.sql import types as T
 from msgloom.plans.analyses import DISPLAY_LIMITS
 
 
-def write_load(messages: DataFrame, path: str, load: str) -> None:
+def write_load(messages: DataFrame, path: str, load: str, alone: bool = False) -> None:
     """Write one load of messages as its own partition `load=<name>`.
 
     Only that partition is replaced, at job commit: repeating a load after a
-    failure never duplicates rows and never touches other loads. Rows are sorted
-    by id inside each file, so row groups have narrow id and date statistics.
+    failure never duplicates rows and never touches other loads. `alone` drops
+    whatever else lies at the path, such as the rest of an unfinished build. Rows are
+    sorted by id inside each file, so row groups have narrow id and date statistics.
     """
     (
         messages.withColumn("load", F.lit(load))
         .sortWithinPartitions("message_id")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if alone else "dynamic")
         .option("compression", "snappy")
         .partitionBy("load")
         .parquet(path)

@@ -98,7 +98,7 @@ def load_above(
     """Enrich and write the messages above `since` as one load, then log the run."""
     path = generation_path(dataset, generation)
     name = load or f"above-{since:019d}"
-    write_load(build_messages(raw, contacts, since, normalize=normalize), path, name)
+    write_load(build_messages(raw, contacts, since, normalize=normalize), path, name, alone=mode == "full")
     return _log_run(spark, contacts, dataset, generation, since, mode, name)
 
 

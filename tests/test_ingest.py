@@ -78,7 +78,8 @@ def test_a_repeated_load_replaces_itself(spark, small_raw, small_contacts, datas
 def test_an_unfinished_rebuild_is_not_seen(spark, small_raw, small_contacts, dataset, expected):
     ingest.sync(spark, small_raw, small_contacts, dataset)
     half = build_messages(upto(small_raw, 5), small_contacts)
-    sinks.write_load(half, stored.generation_path(dataset, 2), f"above-{0:019d}")
+    for load in (f"above-{0:019d}", "left-over"):
+        sinks.write_load(half, stored.generation_path(dataset, 2), load)
     assert content(stored.read_messages(spark, dataset)) == expected
     ingest.sync(spark, small_raw, small_contacts, dataset, force=True)
     assert content(stored.read_messages(spark, dataset)) == expected
