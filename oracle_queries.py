@@ -211,7 +211,7 @@ people AS (
          regexp_extract(c_name, '^[^#]*') || ' ' || regexp_extract(c_name, '[^#]*$') AS name
   FROM customer WHERE c_mktsegment <> 'MACHINERY'),
 listed AS (
-  SELECT contact_id, 0 AS place, name,
+  SELECT contact_id, CAST(0 AS BIGINT) AS place, name,
     '+1 (415) ' || digits[1:3] || '-' || digits[4:6] || '+' || digits[7:10] AS phone, NULL AS email FROM people
   UNION ALL SELECT contact_id, 1, name, ' +1-800-' || c_nationkey, NULL FROM people
   UNION ALL SELECT contact_id, 2, name, NULL, 'User_' || contact_id || '@Example.COM' FROM people),
@@ -278,15 +278,15 @@ ORACLE = {
           make_timestamp((conv_id * 3600 + turn * 60 + 978307200) * 1000000) AS moment,
           CASE WHEN role <> 'user' THEN NULLIF(regexp_replace(regexp_replace(text,
             '^[\\s\\v\\x{{85}}\\p{{Z}}]+', ''), '[\\s\\v\\x{{85}}\\p{{Z}}]+$', ''), '') END AS decoded FROM conversations)
-        SELECT conv_id * 100000 + turn + 1 AS message_id, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS is_from_me,
+        SELECT conv_id * 100000 + turn + 1 AS message_id, CAST(role = 'user' AS BIGINT) AS is_from_me,
           CASE WHEN role = 'user' THEN text END AS text, decoded AS inferred_text,
           CASE WHEN role = 'user' THEN text ELSE decoded END AS text_combined,
           CASE WHEN role = 'user' THEN text ELSE decoded END AS body_text,
           CASE WHEN role = 'user' THEN 0 ELSE conv_id + 1 END AS handle_id,
           CASE WHEN role <> 'user' THEN key END AS contact_info, key AS updated_contact_info, conv_id + 1 AS chat_id,
           '[' || (conv_id + 1) || ']' AS chat_members_handles, '["' || key || '"]' AS chat_members_contact_info,
-          1 AS chat_size, 0 AS is_audio_message, 'no-effect' AS message_effect, 'no-reaction' AS reaction,
-          CASE WHEN turn > 1 THEN 1 ELSE 0 END AS is_thread_reply, CAST(NULL AS VARCHAR) AS link_domain,
+          CAST(1 AS BIGINT) AS chat_size, CAST(0 AS BIGINT) AS is_audio_message, 'no-effect' AS message_effect, 'no-reaction' AS reaction,
+          CAST(turn > 1 AS BIGINT) AS is_thread_reply, CAST(NULL AS VARCHAR) AS link_domain,
           CASE WHEN role <> 'user' THEN COALESCE(c_name, key) END AS name, unix_ts AS timestamp,
           CAST(moment AS DATE) AS date, month(moment) AS month, year(moment) AS year
         FROM turns LEFT JOIN contacts ON contact_key = key""",
@@ -349,7 +349,7 @@ ORACLE = {
     "ingest_stream": _FULL,
     "status": _m(
         """SELECT COUNT(*) AS total_messages, format('{:,}', COUNT(*)) AS messages_text,
-        MAX(message_id) AS last_message_id, 2 AS schema_version,
+        MAX(message_id) AS last_message_id, CAST(2 AS BIGINT) AS schema_version,
         (SELECT COUNT(*) FROM contacts) AS contacts_resolved, CAST(NULL AS VARCHAR) AS warning FROM messages"""
     ),
     "result_json": _m(
