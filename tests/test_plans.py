@@ -155,7 +155,7 @@ def test_shuffles_grow_with_the_input(spark):
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     try:
         assert size_shuffles(spark, 10) == 4
-        assert size_shuffles(spark, 128 * 2**20 * 1000) == 1000 and spark.conf.get(key) == "1000"
+        assert size_shuffles(spark, 16 * 2**20 * 1000) == 1000 and spark.conf.get(key) == "1000"
         assert size_shuffles(spark, 10) == 1000
         assert size_shuffles(spark, 10**14) == 200_000 or int(spark.conf.get(key)) > 100_000
     finally:
