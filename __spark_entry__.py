@@ -330,16 +330,31 @@ _QUERIES: dict[str, Query] = {
 }
 
 
+def _llm():
+    """The queries and SQL of the training-data subpackage, where it is installed."""
+    from importlib.util import find_spec
+
+    if find_spec("msgloom.llm") is None or find_spec("corpus_pipeline") is None:
+        return {}, {}
+    import corpus_pipeline
+    from msgloom.llm import queries as llm
+
+    found, expected = {**llm.QUERIES, "pipeline": corpus_pipeline.run}, dict(llm.ORACLE)
+    if corpus_pipeline.ORACLE_SQL:
+        expected["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, expected
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Top contacts at the smallest scale."""
     return _QUERIES["top_contacts"](spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_llm()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_queries import ORACLE
 
-    return dict(ORACLE)
+    return {**ORACLE, **_llm()[1]}

@@ -6,6 +6,7 @@ from conftest import SF
 
 import __spark_entry__ as entry
 from check_oracle import compare, oracle
+from oracle_queries import ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -15,10 +16,10 @@ def connection():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry._QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry._QUERIES))
 def test_query(spark, connection: duckdb.DuckDBPyConnection, name):
     assert compare(spark, connection, name, SF) == ""
 
