@@ -160,8 +160,8 @@ ORACLE: dict[str, str] = {
         JOIN documents_n m ON m.doc_id = a.doc_id JOIN documents_n n ON n.doc_id = b.doc_id
         WHERE a.doc_id <> b.doc_id AND 100 * m.n >= 80 * n.n AND 100 * n.n >= 80 * m.n
         GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))),
-    reach(doc_id, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT doc_id, v FROM reach JOIN link ON u = at)
-    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(at) AS component_id, d.doc_id = min(at) AS kept
+    reach(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT doc_id, v FROM reach JOIN link ON u = node)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(node) AS component_id, d.doc_id = min(node) AS kept
     FROM documents d JOIN reach USING (doc_id) LEFT JOIN documents_n USING (doc_id) GROUP BY d.doc_id, n""",
     "op4_chat_format": f"""
     WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -179,7 +179,7 @@ ORACLE: dict[str, str] = {
     q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last,
         regexp_replace(regexp_extract(u, '^[^/?]*'), '^.*@|^www[0-9]*\.|:[0-9]*$', '', 'g') AS host FROM p)
     SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
-        list_aggregate(list_transform(range(32), k -> substr('{warc.BASE32}',
+        list_aggregate(list_transform(range(32), lambda k: substr('{warc.BASE32}',
             1 + CAST((('0x' || substr(x, CAST(1 + 10 * (k // 8) AS INT), 10))::BIGINT >> CAST(35 - 5 * (k % 8) AS INT)) & 31
             AS INT), 1)), 'string_agg', '') AS payload_digest,
         CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
@@ -192,8 +192,8 @@ ORACLE: dict[str, str] = {
     g AS (SELECT doc_id, i, w[i : i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
     r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM
         (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g), range(3) t(k) WHERE n > 1 GROUP BY doc_id),
-    l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), l -> regexp_matches(l, '{_WORD}')) AS l FROM w),
-    m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS word_chars,
+    l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM w),
+    m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
         length(text) - length(translate(text, '{rules.SIGNS}', '')) AS n_symbols, len(l) AS n_lines,
         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
         length(text) - length(translate(text, '{rules.CAPITALS}', '')) AS n_capitals
