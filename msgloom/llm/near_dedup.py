@@ -9,10 +9,12 @@
    with the smallest class of that band are pairs, thinned by the Jaccard estimate from the
    registers, corrected for chance collisions.
 4. The texts of the remaining pairs are fetched and the link is confirmed on full sets.
-5. Where a band still holds several components, its members are compared in blocks by
-   their registers, across components only; what passes is confirmed as in 4. No link
-   between components can then be missing but one that shares no band (at the threshold
-   of 0.8 a chance of 5e-8) or whose estimate is off by four standard deviations.
+5. Where a band still holds several components, its members may have links that no
+   representative saw. Members that such bands connect are clumps; the texts of a clump are
+   compared in blocks, by registers and then on full sets, across components only, and only
+   links that join components come out. No link between components can then be missing
+   but one that shares no band (at the threshold of 0.8 a chance of 5e-8) or whose
+   estimate is off by four standard deviations.
 6. Components are found by star steps.
 
 Rows: a group of copies is one class, joins on hot keys have plain shuffles that adaptive
@@ -44,8 +46,8 @@ BANDS = REGISTERS // BAND_WIDTH
 SLACK = 4.0
 #: Shares in which the partners of one representative are met.
 SHARES = 64
-#: Members of a band compared with each other in one group.
-BLOCK = 1024
+#: Members of a clump in one block.
+BLOCK = 512
 
 _REST_BITS = 64 - BUCKET_BITS
 _WORK_BITS = 52  # of the rest, what a double holds exactly
@@ -186,52 +188,63 @@ def _verified(width: int, percent: int):
     return run
 
 
-def _compared(threshold: float):
-    """Groups come sorted by key and block pair; yields pairs of different components."""
+def _compared(width: int, percent: int):
+    """Groups come sorted by clump and block pair; yields confirmed links that join
+    components which nothing in the group has joined before."""
+    threshold = percent / 100
 
-    def pairs_of(rows) -> tuple[np.ndarray, np.ndarray]:
-        cls, comp, rep, n, block, regs = rows
-        found = [], []
-        for i in range(len(cls) - 1):
-            other = slice(i + 1, len(cls))
-            wanted = (comp[other] != comp[i]) & (cls[i] != rep[i]) & (cls[other] != rep[i])
+    def links_of(rows: list[tuple[int, int, int, np.ndarray]]) -> tuple[list[int], list[int]]:
+        cls, comp, block = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        sets = [r[3] for r in rows]
+        n, regs = np.array([len(s) for s in sets]), registers(sets)
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        u, v = [], []
+        for i in range(len(rows) - 1):
+            other = slice(i + 1, len(rows))
+            wanted = (comp[other] != comp[i]) & (percent * np.maximum(n[other], n[i]) <= 100 * np.minimum(n[other], n[i]))
             if block[0] != block[-1]:  # blocks were sorted: meet across them only
                 wanted &= block[other] != block[i]
             at = np.flatnonzero(wanted) + i + 1
-            if len(at):
-                mine = np.broadcast_to(regs[i], (len(at), REGISTERS))
-                ok = at[passes(*jaccard_estimate(mine, regs[at], np.broadcast_to(n[i], len(at)), n[at]), threshold)]
-                found[0].append(np.minimum(cls[i], cls[ok]))
-                found[1].append(np.maximum(cls[i], cls[ok]))
-        return tuple(np.concatenate(f) if f else np.empty(0, np.int64) for f in found)
+            if not len(at):
+                continue
+            mine = np.broadcast_to(regs[i], (len(at), REGISTERS))
+            for j in at[passes(*jaccard_estimate(mine, regs[at], np.broadcast_to(n[i], len(at)), n[at]), threshold)]:
+                a, b = find(int(comp[i])), find(int(comp[j]))
+                if a != b:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        root[max(a, b)] = min(a, b)
+                        u.append(int(cls[i]))
+                        v.append(int(cls[j]))
+        return u, v
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if rest is not None:
-                batch = pa.concat_batches([rest, batch])
-            names = ("key", "low", "high")
-            ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            change = np.flatnonzero(np.any([np.diff(x) != 0 for x in ids], axis=0)) + 1
-            starts = [0, *change]
-            for start, end in zip(starts, change):
-                yield from made(batch.slice(start, end - start))
-            rest = batch.slice(starts[-1])
-        if rest is not None:
-            yield from made(rest)
-
-    def made(group):
-        if group.num_rows > 1:
-            rows = [group.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "comp", "rep", "n", "block")]
-            a, b = pairs_of([*rows, _matrix(group.column("registers"))])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        group, rows = None, []
+        for part in text_slices(batches, "text"):
+            sets = shingle_sets(part.column("text"), width)
+            columns = (part.column(c).to_pylist() for c in ("clump", "low", "high", "cls", "comp", "block"))
+            for clump, low, high, cls, comp, block, own in zip(*columns, sets):
+                if (clump, low, high) != group:
+                    if len(rows) > 1 and (found := links_of(rows))[0]:
+                        yield _links(*found)
+                    group, rows = (clump, low, high), []
+                rows.append((cls, comp, block, own))
+        if len(rows) > 1 and (found := links_of(rows))[0]:
+            yield _links(*found)
 
     return run
 
 
+def _links(u: list[int], v: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
 # --- the plan -------------------------------------------------------------------
 
 
@@ -287,32 +300,34 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     placed = placed.selectExpr("key", "size", "rep", "cls", "coalesce(component, cls) AS comp").where("size > 2")
     open_bands = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     open_bands = scratch.table(open_bands.select("key"), "open")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = (
-        placed.join(open_bands, "key", "left_semi")
-        .join(side, "cls")
-        .withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .selectExpr(
-            "key", "least(block, other) AS low", "greatest(block, other) AS high",
-            "block", "cls", "comp", "rep", "n", "registers",
+    members = scratch.table(placed.join(open_bands, "key", "left_semi").select("cls", "rep", "comp").distinct(), "members")
+    if not members.isEmpty():
+        # Members that such bands connect are a clump; each text goes there once per block pair.
+        clumps = components(members.selectExpr("cls AS u", "rep AS v"), scratch, "clump").toDF("cls", "clump")
+        clumps = scratch.table(clumps.join(members.select("cls", "comp").distinct(), "cls"), "clumps")
+        sizes = clumps.groupBy("clump").agg(F.count("*").alias("size"))
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        dealt = (
+            clumps.join(sizes, "clump")
+            .withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .selectExpr("cls AS doc_id", "clump", "least(block, other) AS low", "greatest(block, other) AS high",
+                        "block", "cls", "comp")
         )
-    )
-    grouped = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "block", "cls")
-    more = grouped.mapInArrow(_compared(threshold), "a long, b long").distinct()
-    more = scratch.table(more, "more")
-    if not more.isEmpty():
-        extra = scratch.table(_confirm(docs, more, width, percent), "extra")
-        joined = found.selectExpr("node AS u", "component AS v").union(
-            extra.join(found.toDF("u", "cu"), "u", "left").join(found.toDF("v", "cv"), "v", "left")
-            .selectExpr("coalesce(cu, u) AS u", "coalesce(cv, v) AS v")
-        )
-        found = scratch.table(components(joined, scratch, "second"), "all")
+        grouped = docs.join(scratch.table(dealt, "dealt"), "doc_id").drop("doc_id")
+        grouped = grouped.repartition("clump", "low", "high").sortWithinPartitions("clump", "low", "high", "block", "cls")
+        extra = scratch.table(grouped.mapInArrow(_compared(width, percent), "u long, v long"), "extra")
+        if not extra.isEmpty():
+            joined = found.selectExpr("node AS u", "component AS v").union(
+                extra.join(found.toDF("u", "cu"), "u", "left").join(found.toDF("v", "cv"), "v", "left")
+                .selectExpr("coalesce(cu, u) AS u", "coalesce(cv, v) AS v")
+            )
+            found = scratch.table(components(joined, scratch, "second"), "all")
 
     named = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.selectExpr("fingerprint", "coalesce(component, cls) AS component")
     rows = signed.select("doc_id", "n_shingles", "fingerprint").join(named, "fingerprint", "left")
-    scratch.drop("met", "shared", "likely", "links", "open", "more")
+    scratch.drop("met", "shared", "likely", "links", "open")
     own = "CASE WHEN n_shingles > 0 AND doc_id IS NOT NULL THEN component ELSE doc_id END"
     return rows.selectExpr("doc_id", "n_shingles", f"{own} AS component_id").selectExpr(
         "*", "coalesce(doc_id = component_id, true) AS kept"
