@@ -15,8 +15,8 @@ thirty-second part of an executor's memory for one of two tasks, so it fits what
 number of records; only a record of that size itself makes a larger one.
 
 Records with equal keys share a bucket: where keys may repeat for a large part of the
-rows, give more columns as key. NULL keys are a key, NULL texts are empty. A column named
-like one of the results (shard, slot) is an error.
+rows, give more columns as key. NULL keys are a key, NULL texts are empty. Columns named
+like one of the results (shard, slot) are kept with `_in` behind their names.
 """
 
 from __future__ import annotations
@@ -41,6 +41,18 @@ def bucket_bytes(spark: SparkSession) -> int:
     return max(LEAST_BUCKET, size // MEMORY_SHARE)
 
 
+def renamed(docs: DataFrame) -> DataFrame:
+    """The table with `_in` behind names that the results take."""
+    taken, names = {"shard", "slot", *(c.lower() for c in docs.columns)}, []
+    for name in docs.columns:
+        if name.lower() in ("shard", "slot"):
+            while name.lower() in taken:
+                name += "_in"
+            taken.add(name.lower())
+        names.append(name)
+    return docs.toDF(*names)
+
+
 def external_shuffle(
     docs: DataFrame,
     scratch: Scratch,
@@ -51,9 +63,7 @@ def external_shuffle(
 ) -> str:
     """Write all rows in random order below `shard=<k>/`, each with its `slot` in the shard,
     gapless from 0. Returns the path. `size` is that of a bucket."""
-    if {"shard", "slot"} & {c.lower() for c in docs.columns}:
-        raise ValueError("columns named shard or slot: rename them first")
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, renamed(docs)
     # One row: rows, and bytes of the records' texts and a few more for the rest.
     weight = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in docs.dtypes if kind == "string"), F.lit(32))
     rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
@@ -84,6 +94,6 @@ def external_shuffle(
 
 
 def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The rows written for a table of `schema`, with shard and slot."""
+    """The rows written for a table of `schema` (after `renamed`), with shard and slot."""
     whole = T.StructType([*schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
     return spark.read.schema(whole).parquet(path)
