@@ -31,8 +31,8 @@ from msgloom.plans import ingest, sqlview  # noqa: E402
 from msgloom.schemas import MESSAGES, RawTables  # noqa: E402
 from msgloom.session import configure, scratch_dir  # noqa: E402
 from msgloom.sources import derived, stored  # noqa: E402
-from msgloom.sources.contacts import address_book_entries  # noqa: E402
-from msgloom.sources.raw import high_watermark, rows_above  # noqa: E402
+from msgloom.sources.contacts import address_book_entries, read_contacts  # noqa: E402
+from msgloom.sources.raw import high_watermark, read_raw, rows_above  # noqa: E402
 from msgloom.streaming.ingest import start_ingest  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,7 +192,13 @@ def _ingest_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     dataset = _synced_twice(spark, sf_dir)
     raw, contacts = _raw(spark, sf_dir), _contacts(spark, sf_dir)
     ingest.sync(spark, raw, contacts, dataset)
-    ingest.sync(spark, raw, contacts, dataset, force=True)
+    ingest.sync(spark, raw, contacts, dataset)
+    return _comparable(stored.read_messages(spark, dataset))
+
+
+def _ingest_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dataset = _synced_twice(spark, sf_dir)
+    ingest.sync(spark, _raw(spark, sf_dir), _contacts(spark, sf_dir), dataset, force=True)
     return _comparable(stored.read_messages(spark, dataset))
 
 
@@ -244,8 +250,57 @@ def _result_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
 
 
-def _needs_reply(messages: DataFrame) -> DataFrame:
-    return K.needs_reply(messages, as_of=dt.date(2024, 2, 1))
+def _roundtrip(rows: DataFrame, fmt: str, label: str) -> DataFrame:
+    """Rows written by a sink and read back."""
+    path = scratch_dir(configure(rows.sparkSession), label)
+    (sinks.write_csv if fmt == "csv" else sinks.write_json)(rows, path)
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST"} if fmt == "csv" else {}
+    return rows.sparkSession.read.schema(rows.schema).format(fmt).options(**options).load(path)
+
+
+def _documents_roundtrip(fmt: str) -> Query:
+    """Whole texts, with blanks put around some, through a sink."""
+    text = "CASE doc_id % 3 WHEN 0 THEN concat(' \t', text, ' \n') ELSE text END AS text"
+    return lambda spark, sf_dir: _roundtrip(_table(spark, sf_dir, "documents").selectExpr("doc_id", text), fmt, f"doc-{fmt}")
+
+
+def _raw_files(fmt: str) -> Query:
+    """All raw tables written as files and read back through `read_raw`."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, raw = scratch_dir(configure(spark), f"raw-{fmt}"), _raw(spark, sf_dir)
+        for name, rows in raw._asdict().items():
+            if fmt == "csv" and name == "message":
+                rows = rows.withColumn("attributedBody", F.base64("attributedBody"))
+            (sinks.write_csv if fmt == "csv" else sinks.write_json)(rows, f"{path}/{name}")
+        return _comparable(build_messages(read_raw(spark, path, fmt), _contacts(spark, sf_dir)))
+
+    return run
+
+
+def _contact_overrides_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(configure(spark), "overrides")
+    sinks.write_csv(derived.overrides_from_customers(_table(spark, sf_dir, "customer")), path)
+    return C.resolve(C.first_per_key(_entries(spark, sf_dir)), read_contacts(spark, path))
+
+
+def _stored_analysis(function: Callable[[DataFrame], DataFrame]) -> Query:
+    """An analysis over a stored table, as a reader calls it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        dataset = scratch_dir(configure(spark), "stored")
+        ingest.sync(spark, _raw(spark, sf_dir), _contacts(spark, sf_dir), dataset)
+        return _comparable(function(stored.read_messages(spark, dataset)))
+
+    return run
+
+
+def _needs_reply(messages: DataFrame, as_of: dt.date = dt.date(2024, 2, 1)) -> DataFrame:
+    return K.needs_reply(messages, as_of=as_of)
+
+
+def _needs_reply_past(messages: DataFrame) -> DataFrame:
+    return _needs_reply(messages, dt.date(2024, 1, 15))
 
 
 _PARTY = (
@@ -324,6 +379,18 @@ _QUERIES: dict[str, Query] = {
     "needs_reply": _analysis(
         _needs_reply, COUNTERPARTY, "message_id", "chat_id", "chat_size", "is_from_me", "timestamp", "date", "reaction"
     ),
+    "needs_reply_past": _analysis(
+        _needs_reply_past,
+        COUNTERPARTY, "message_id", "chat_id", "chat_size", "is_from_me", "timestamp", "date", "reaction",
+    ),
+    "needs_reply_stored": _stored_analysis(_needs_reply),
+    "contact_deep_dive_stored": _stored_analysis(lambda m: K.contact_deep_dive(m, _ONE)),
+    "raw_files_csv": _raw_files("csv"),
+    "raw_files_json": _raw_files("json"),
+    "contact_overrides_file": _contact_overrides_file,
+    "documents_csv_roundtrip": _documents_roundtrip("csv"),
+    "documents_json_lines": _documents_roundtrip("json"),
+    "ingest_forced": _ingest_forced,
     "period_in_review": _analysis(K.period_in_review, "name", "date", "is_from_me", start=_WEEK[0], end=_WEEK[1]),
     "group_chats": _analysis(K.group_chats, "chat_id", "chat_size", "handle_id", "is_from_me", "date"),
     "compare_periods": _analysis(K.compare_periods, "name", "date", "is_from_me", first=_WEEK, second=_NEXT),

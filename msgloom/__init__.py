@@ -8,10 +8,13 @@
 """
 
 from msgloom.errors import DatasetNotFound, SchemaMismatch, SourceNotFound
+from msgloom.operators.contacts import conflicts, first_per_key, resolve
 from msgloom.operators.messages import build_messages, with_counterparty
 from msgloom.operators.sinks import json_rows, write_csv, write_json
 from msgloom.plans.analyses import (
     contact_stats,
+    direction,
+    display,
     effects,
     group_message_count,
     links,
@@ -32,15 +35,15 @@ from msgloom.plans.conversations import (
 from msgloom.plans.ingest import full_build, refresh, sync, sync_files
 from msgloom.plans.sqlview import query, register
 from msgloom.session import configure
-from msgloom.sources.contacts import read_contacts
+from msgloom.sources.contacts import address_book_entries, read_contacts
 from msgloom.sources.raw import read_raw, read_raw_jdbc
 from msgloom.sources.stored import read_messages, status
 from msgloom.streaming.ingest import start_ingest
 
 __all__ = [
-    "DatasetNotFound", "SchemaMismatch", "SourceNotFound", "build_messages", "compare_contacts", "compare_periods",
-    "configure", "contact_deep_dive", "contact_stats", "effects", "full_build", "group_chats", "group_message_count",
+    "DatasetNotFound", "SchemaMismatch", "SourceNotFound", "address_book_entries", "build_messages", "compare_contacts", "compare_periods",
+    "configure", "conflicts", "contact_deep_dive", "contact_stats", "direction", "display", "effects", "first_per_key", "full_build", "group_chats", "group_message_count",
     "json_rows", "links", "needs_reply", "period_in_review", "query", "reactions", "read_contacts", "read_messages",
-    "read_raw", "read_raw_jdbc", "refresh", "register", "search_contacts", "seasonality", "start_ingest", "status",
+    "read_raw", "read_raw_jdbc", "refresh", "register", "resolve", "search_contacts", "seasonality", "start_ingest", "status",
     "sync", "sync_files", "time_series", "top_contacts", "with_counterparty", "write_csv", "write_json",
 ]

@@ -15,6 +15,9 @@ from msgloom.functions.text import first_match, literal, trim_unicode
 # Signature of an object stream, and the tag before a string in it.
 STREAM_SIGNATURE = "\u0004\u000bstreamtyped"
 STRING_TAG = "\u0084\u0001+"
+# Fixed value: either tag of a string, as a pattern of three characters. Later strings refer
+# back to the class and the type of the first.
+ANY_STRING_TAG = r"\x84(?:\x01\+|[\x92-\xFF]{2})"
 # Length bytes that announce a longer little-endian length.
 LENGTH_2_BYTES = 0x81
 LENGTH_4_BYTES = 0x82
@@ -52,18 +55,24 @@ _CUT = """CASE WHEN span.start + span.size - 1 <= octet_length(blob)
 
 
 def structured_text(blob: str) -> str:
-    """The first string of an object stream; NULL if there is none, if its bytes are
-    cut short or not UTF-8, or if it cannot be a message body.
+    """The first string of an object stream that can be a message body; NULL if there is none.
+    Strings cut short or not UTF-8 are passed over.
 
-    Lambdas bind each intermediate value, so it is written and computed once.
+    Lambdas bind each intermediate value, so it is written and computed once. Later strings
+    are only looked at where the first will not do: one step per tag, each from the
+    end of the string before, with a position and the text found as state.
     """
-    payload = f"""
-        transform(array({blob}), blob ->
-          transform(array(
-            if(startswith(decode(blob, 'ISO-8859-1'), {literal(STREAM_SIGNATURE)}),
-               nullif(instr(decode(blob, 'ISO-8859-1'), {literal(STRING_TAG)}), 0) + {len(STRING_TAG)}, NULL)), at ->
-            transform(array({_SPAN}), span -> {_CUT})[0])[0])[0]"""
-    return first_match(trim_unicode(f"try_validate_utf8(CAST({payload} AS STRING))"), _BODY)
+    plain = "decode(blob, 'ISO-8859-1')"
+    tagged = f"if(startswith({plain}, {literal(STREAM_SIGNATURE)}), nullif(instr({plain}, {literal(STRING_TAG)}), 0), NULL)"
+    body = first_match(trim_unicode(f"try_validate_utf8(CAST({_CUT} AS STRING))"), _BODY)
+    first = f"transform(array({tagged} + {len(STRING_TAG)}), at -> transform(array({_SPAN}), span -> {body})[0])[0]"
+    end = "if(span.start + span.size - 1 <= octet_length(blob), CAST(span.start + span.size AS INT), at)"
+    step = f"""transform(array(nullif(regexp_instr(substr(l, s.at), {literal(ANY_STRING_TAG)}), 0) + s.at + {len(STRING_TAG) - 1}),
+        at -> transform(array({_SPAN}), span -> struct(coalesce({end}, at) AS at, {body} AS found))[0])[0]"""
+    later = f"""transform(array({plain}), l -> transform(array({tagged}), first -> if(first IS NULL, NULL,
+        aggregate(sequence(1, regexp_count(l, {literal(ANY_STRING_TAG)})), struct(first AS at, CAST(NULL AS STRING) AS found),
+          (s, i) -> if(s.found IS NOT NULL OR s.at IS NULL, s, {step}), s -> s.found)))[0])[0]"""
+    return f"transform(array({blob}), blob -> coalesce({first}, {later}))[0]"
 
 
 def marked_text(blob: str) -> str:

@@ -1,12 +1,12 @@
 """The `messages` table: raw rows joined with senders and chats, and enriched.
 
-Shuffle design. Message rows are the large side and are shuffled once, by message
-id, to meet their chat. Before that the binary text column is replaced by the text
-found in it. Everything else is joined where it is small: contact names to handles,
-and chat members to the (message id, chat id) pairs. The message id is unique, so
-that last join has no hot key, and its output is already in message id order for
-the writer. Handles are joined without a broadcast hint: Spark broadcasts them
-when they are small enough and else splits hot handles (adaptive skew join).
+Shuffle design. Message rows with their texts are the large side and are shuffled once, by
+message id, to meet their chat and their sender. Before that the binary text column is
+replaced by the text found in it. Everything else is joined where it is small: contact
+names to handles, handles to (message id, handle id) pairs, and chat members to
+(message id, chat id) pairs. The message id is unique, so that the last joins have no hot
+key, and their output is already in message id order for the writer. No broadcast is forced:
+Spark broadcasts handles when they are small enough and else splits hot ones.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ COUNTERPARTY = "counterparty_name"
 _SENDER = {"contact_info", "updated_contact_info", "name", COUNTERPARTY}
 _MEMBERS = {"chat_size", "chat_members_handles", "chat_members_contact_info", "updated_contact_info", COUNTERPARTY}
 _CHAT = _MEMBERS | {"chat_id"}
+_TEXTS = {"text", "inferred_text", "text_combined", "body_text"}
 
 
 def build_messages(
@@ -52,7 +53,14 @@ def build_messages(
     raw = rows_above(raw, since)
     rows = _own_columns(raw.message)
     if _SENDER & set(wanted):
-        rows = rows.join(senders(raw.handle, contacts, normalize), "_handle", "left")
+        looked_up = senders(raw.handle, contacts, normalize)
+        if _TEXTS & set(wanted) and _CHAT & set(wanted):
+            # Texts are shuffled anyway, by message id: look senders up on narrow rows and
+            # meet them there. Messages without a handle never enter the lookup.
+            ids = raw.message.where("handle_id <> 0").selectExpr("ROWID AS message_id", "handle_id AS _handle")
+            rows = rows.join(ids.join(looked_up, "_handle").drop("_handle"), "message_id", "left")
+        else:
+            rows = rows.join(looked_up, "_handle", "left")
     if _CHAT & set(wanted):
         with_members = bool(_MEMBERS & set(wanted))
         rows = rows.join(_placement(raw, contacts, normalize, with_members, since), "message_id", "left")

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from msgloom.plans.analyses import DISPLAY_LIMITS
-
 
 def write_load(messages: DataFrame, path: str, load: str, alone: bool = False) -> None:
     """Write one load of messages as its own partition `load=<name>`.
@@ -40,7 +38,7 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[text(field) for field in df.schema.fields])
 
 
-def json_rows(df: DataFrame, limit: int | None = DISPLAY_LIMITS["json_rows"], stringify: bool = False) -> DataFrame:
+def json_rows(df: DataFrame, limit: int | None = None, stringify: bool = False) -> DataFrame:
     """One JSON object per row, in a column `json`. Values keep their types unless
     `stringify`; NULL fields are written as null."""
     capped = df if limit is None else df.limit(limit)
@@ -54,6 +52,9 @@ def write_json(df: DataFrame, path: str, limit: int | None = None, stringify: bo
 
 
 def write_csv(df: DataFrame, path: str, limit: int | None = None) -> None:
-    """CSV with header; quotes where needed, doubled inside."""
+    """CSV with header; quotes where needed, doubled inside. Values are kept whole, with blanks
+    and line breaks at their borders. NULL is an empty field and '' a quoted one."""
     rows = df if limit is None else df.limit(limit)
-    rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    rows.write.mode("overwrite").csv(
+        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )

@@ -1,12 +1,15 @@
 """Analyses of conversations: one contact, several contacts, chats and periods.
 
 Contacts are matched on a column of names, by default `counterparty_name`, which
-unlike `name` is also set on messages sent in direct chats.
+unlike `name` is also set on messages sent in direct chats. A stored table lacks it; it is
+then derived from the names that the table's received messages show for each key.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from msgloom.functions.labels import NO_REACTION
 from msgloom.functions.times import utc_hour
-from msgloom.operators.messages import COUNTERPARTY
+from msgloom.operators.messages import COUNTERPARTY, with_counterparty
 from msgloom.plans.analyses import DAY_NAMES, contact_totals
 from msgloom.session import one_row
 
@@ -22,7 +25,24 @@ _HOURS = range(24)
 _DAYS = range(7)
 
 
-def compare_contacts(messages: DataFrame, contacts: Sequence[str], party: str = COUNTERPARTY) -> DataFrame:
+def known_names(messages: DataFrame) -> DataFrame:
+    """Contact keys of received messages and the name shown with each, as a contact table."""
+    received = messages.where("is_from_me <> 1 AND contact_info IS NOT NULL AND name IS NOT NULL")
+    return received.groupBy(F.col("contact_info").alias("contact_key")).agg(F.max("name").alias("name"))
+
+
+def _with_party(
+    messages: DataFrame, party: str | None, wanted: Sequence[str] | None = None
+) -> tuple[DataFrame, str]:
+    """The table with a column of names to match. Where names are wanted, only their keys are
+    looked up, a table small enough for a join without a shuffle of the messages."""
+    if party or COUNTERPARTY in messages.columns:
+        return messages, party or COUNTERPARTY
+    names = known_names(messages)
+    return with_counterparty(messages, names if wanted is None else names.where(F.col("name").isin(list(wanted)))), COUNTERPARTY
+
+
+def compare_contacts(messages: DataFrame, contacts: Sequence[str], party: str | None = None) -> DataFrame:
     """One row per contact: totals, direction in direct chats, habits, kinds of message.
 
     Counted per contact and day, then per contact. Both steps combine before their
@@ -37,6 +57,7 @@ def compare_contacts(messages: DataFrame, contacts: Sequence[str], party: str =
         "audio_messages": "is_audio_message = 1",
     }
     tests |= {f"_hour{h}": f"hour = {h}" for h in _HOURS}
+    messages, party = _with_party(messages, party, contacts)
     mine = messages.where(F.col(party).isin(list(contacts)))
     kept = mine.selectExpr(
         f"{party} AS name", "date", "chat_size", "is_from_me", "reaction", "link_domain", "is_audio_message",
@@ -66,20 +87,23 @@ def _busiest(prefix: str, numbers: range) -> str:
     return f"-array_max(array({ranked})).i"
 
 
-def contact_deep_dive(messages: DataFrame, contact: str, party: str = COUNTERPARTY) -> DataFrame:
+def contact_deep_dive(messages: DataFrame, contact: str, party: str | None = None) -> DataFrame:
     """The comparison row of a single contact."""
     return compare_contacts(messages, [contact], party)
 
 
-def needs_reply(messages: DataFrame, as_of: dt.date, party: str = COUNTERPARTY) -> DataFrame:
-    """Direct chats whose last message, reactions aside, was received; oldest first.
+def needs_reply(messages: DataFrame, as_of: dt.date, party: str | None = None) -> DataFrame:
+    """Direct chats whose last message up to a day, reactions aside, was received; oldest first.
 
     The last message is a maximum per chat, combined before the shuffle, rather
     than a window over all messages of the chat.
     """
     relevant = messages.where(
         (F.col("chat_size") == 1) & (F.col("reaction") == NO_REACTION) & F.col("timestamp").isNotNull()
+        & (F.col("date") <= F.lit(as_of))
     )
+    # The last message was received, so its own name is the other party's.
+    party = party or (COUNTERPARTY if COUNTERPARTY in messages.columns else "name")
     last = relevant.groupBy("chat_id").agg(
         F.max(F.struct("timestamp", "message_id", "is_from_me", "date", F.col(party).alias("name"))).alias("last")
     )
@@ -131,8 +155,8 @@ def _period_totals(messages: DataFrame, **periods: Period) -> DataFrame:
     mark for every period it is active in. Periods are applied to those.
     """
     inside = {label: F.col("date").between(F.lit(start), F.lit(end)) for label, (start, end) in periods.items()}
-    reach = F.col("date").between(F.lit(min(p[0] for p in periods.values())), F.lit(max(p[1] for p in periods.values())))
-    rows = messages.where(reach)
+    # Only the periods are read, not what lies between them.
+    rows = messages.where(functools.reduce(operator.or_, inside.values()))
     days = rows.groupBy("date").agg(
         F.count(F.lit(1)).alias("messages"),
         F.count_if(F.col("is_from_me") == 1).alias("sent"),

@@ -14,7 +14,9 @@ from msgloom.operators.sinks import write_load
 from msgloom.schemas import INGEST_RUNS, SCHEMA_VERSION, RawTables
 from msgloom.session import one_row, path_bytes, size_shuffles
 from msgloom.sources.raw import high_watermark, read_raw
-from msgloom.sources.stored import generation_path, latest_run, read_generation, read_runs, runs_path
+from msgloom.sources.stored import (
+    check_schema, generation_path, latest_run, read_generation, read_load, read_runs, runs_path,
+)
 
 
 def full_build(
@@ -36,6 +38,7 @@ def refresh(
     run = current_run(spark, dataset)
     if run is None:
         return full_build(spark, raw, contacts, dataset, normalize)
+    check_schema(spark, dataset, run)
     since = stored_watermark(spark, dataset, run)
     return load_above(spark, raw, contacts, dataset, run["generation"], since, "incremental", normalize)
 
@@ -105,10 +108,11 @@ def load_above(
 def _log_run(
     spark: SparkSession, contacts: DataFrame, dataset: str, generation: int, since: int, mode: str, load: str
 ) -> DataFrame:
-    """Append the run to the log. Counts come from what is stored, not from the job."""
+    """Append the run to the log. Counts come from what is stored, not from the job; those of
+    the load from its own partition."""
     stored = read_generation(spark, dataset, generation)
     total = stored.agg(F.count(F.lit(1)).alias("total_messages"))
-    loaded = stored.where(F.col("message_id") > since).agg(
+    loaded = read_load(spark, dataset, generation, load).agg(
         F.count(F.lit(1)).alias("rows_written"),
         F.coalesce(F.max("message_id"), F.lit(since)).cast("long").alias("last_message_id"),
     )

@@ -14,7 +14,8 @@ from msgloom.session import is_missing_path
 
 
 def read_contacts(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
-    """Override table of contact key and name. Malformed rows and NULL keys are errors."""
+    """Override table of contact key and name, set by hand. Malformed rows, NULL keys or names
+    and repeated keys are errors."""
     defaults = {"mode": "FAILFAST", "header": "true"} if fmt in ("csv", "json") else {}
     try:
         table = spark.read.schema(CONTACTS).format(fmt).options(**{**defaults, **options}).load(path)
@@ -22,8 +23,15 @@ def read_contacts(spark: SparkSession, path: str, fmt: str = "csv", **options) -
         if is_missing_path(error):
             raise SourceNotFound(f"no contact table at {path}") from error
         raise
-    key = F.when(F.col("contact_key").isNull(), F.raise_error(F.lit("contact table has a NULL key")))
-    return table.withColumn("contact_key", key.otherwise(F.col("contact_key")))
+    checked = table.withColumns({
+        name: F.when(F.col(name).isNull(), F.raise_error(F.lit(f"contact table has a NULL {name}"))).otherwise(F.col(name))
+        for name in ("contact_key", "name")
+    })
+    # At most one row.
+    twice = checked.groupBy("contact_key").agg(F.count("name").alias("n")).where("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"contact key {twice['contact_key']} stands {twice['n']} times")
+    return checked
 
 
 def address_book_entries(book: DataFrame) -> DataFrame:

@@ -16,10 +16,11 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", since: int =
     """Read `<path>/message`, `handle`, `chat_message_join` and `chat_handle_join`.
 
     Any file format Spark reads will do; the schemas are explicit, so nothing is
-    inferred. Formats of plain text carry the binary column in base 64. `since` keeps
-    messages above that row id, see `rows_above`.
+    inferred. Formats of plain text carry the binary column in base 64. CSV has a header and
+    quoted fields as `write_csv` makes them. A malformed row, or a NULL id in any format,
+    is an error. `since` keeps messages above that row id, see `rows_above`.
     """
-    reader = spark.read.options(**options)
+    reader = spark.read.options(**{**_STRICT.get(fmt, {}), **options})
     try:
         tables = {
             name: reader.schema(_text_schema(schema) if fmt == "csv" else schema).format(fmt).load(f"{path}/{name}")
@@ -32,9 +33,35 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", since: int =
     if fmt == "csv":
         message = tables["message"]
         tables["message"] = message.withColumn("attributedBody", F.unbase64("attributedBody"))
+    tables = {name: _with_ids(table, RAW[name], fmt) for name, table in tables.items()}
     return rows_above(RawTables(**tables), since)
 
 
+# Text formats fail on a malformed row rather than drop or cut it.
+_STRICT = {
+    "csv": {"mode": "FAILFAST", "header": "true", "multiLine": "true", "quote": '"', "escape": '"'},
+    "json": {"mode": "FAILFAST"},
+}
+
+
+def _with_ids(table: DataFrame, schema: T.StructType, fmt: str) -> DataFrame:
+    """The table, or an error where a column that must be set is NULL.
+
+    Columnar files are asked beforehand, which their statistics answer, so that later
+    filters still reach the scan. Rows of text are checked as they are read.
+    """
+    required = [f.name for f in schema.fields if not f.nullable]
+    if fmt in _STRICT:
+        checks = {
+            name: F.when(F.col(name).isNull(), F.raise_error(F.lit(f"NULL in {name}"))).otherwise(F.col(name))
+            for name in required
+        }
+        return table.withColumns(checks)
+    if not table.where(" OR ".join(f"{name} IS NULL" for name in required)).isEmpty():
+        raise ValueError(f"NULL in one of {', '.join(required)}")
+    return table
+
+
 def _text_schema(schema: T.StructType) -> T.StructType:
     """The schema with text in place of bytes."""
     binary = T.BinaryType()

@@ -52,15 +52,22 @@ def read_generation(spark: SparkSession, dataset: str, generation: int) -> DataF
     return stored.select(*MESSAGES.fieldNames())
 
 
+def read_load(spark: SparkSession, dataset: str, generation: int, load: str) -> DataFrame:
+    """Stored rows of one load: its partition alone is listed and read."""
+    stored = spark.read.schema(_STORED).parquet(generation_path(dataset, generation))
+    return stored.where(F.col("load") == load).select(*MESSAGES.fieldNames())
+
+
 def read_messages(spark: SparkSession, dataset: str) -> DataFrame:
     """The current `messages` table. A dataset of another schema is refused."""
     # One row of the run log: the generation to follow.
     run = latest_run(read_runs(spark, dataset)).first()
-    _check_schema(spark, dataset, run)
+    check_schema(spark, dataset, run)
     return read_generation(spark, dataset, run["generation"])
 
 
-def _check_schema(spark: SparkSession, dataset: str, run) -> None:
+def check_schema(spark: SparkSession, dataset: str, run) -> None:
+    """Refuse a dataset of another schema, for readers and for writers that add to it."""
     if run["schema_version"] != SCHEMA_VERSION:
         raise SchemaMismatch(
             f"dataset has schema version {run['schema_version']}, expected {SCHEMA_VERSION}: sync with force=True"
@@ -75,14 +82,16 @@ def _check_schema(spark: SparkSession, dataset: str, run) -> None:
 
 
 def status(spark: SparkSession, dataset: str) -> DataFrame:
-    """One row about the dataset: rows, last sync, size, schema, contacts."""
-    runs = read_runs(spark, dataset)
-    run = latest_run(runs)
+    """One row about the dataset: rows, last sync, size, schema, contacts. `size_bytes` is what
+    readers read, `superseded_bytes` what older generations still take."""
+    run = latest_run(read_runs(spark, dataset))
+    current = generation_path(dataset, run.first()["generation"])
     stored = read_messages(spark, dataset).agg(
         F.count(F.lit(1)).alias("total_messages"), F.max("timestamp").alias("last_message_at")
     )
-    size = path_bytes(spark, f"{dataset}/messages")
-    row = one_row(run.drop("total_messages"), stored, size)
+    size = path_bytes(spark, current)
+    every = path_bytes(spark, f"{dataset}/messages").withColumnRenamed("size_bytes", "every_byte")
+    row = one_row(run.drop("total_messages"), stored, size, every)
     warning = F.when(F.col("contacts_resolved") == 0, F.lit("contact names were not resolved"))
     return row.select(
         "total_messages",
@@ -92,6 +101,7 @@ def status(spark: SparkSession, dataset: str) -> DataFrame:
         F.col("finished_at").alias("last_sync"),
         "size_bytes",
         size_text(F.col("size_bytes")).alias("size_text"),
+        (F.col("every_byte") - F.col("size_bytes")).alias("superseded_bytes"),
         "schema_version",
         "contacts_resolved",
         warning.alias("warning"),

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from msgloom.plans.ingest import current_run, load_above
 from msgloom.schemas import MESSAGE, RawTables
+from msgloom.sources.stored import check_schema
 
 
 def start_ingest(
@@ -27,6 +28,9 @@ def start_ingest(
     state: a load is named after its batch, so a batch that is repeated after a
     failure replaces itself. Use either this or `sync` for a dataset, not both.
     """
+    run = current_run(spark, dataset)
+    if run is not None:
+        check_schema(spark, dataset, run)
     stream = (
         spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", files_per_batch).parquet(message_path)
     )

@@ -229,6 +229,20 @@ MESSAGE_COLUMNS = """message_id, is_from_me, text, inferred_text, text_combined,
 
 _FULL = _m(f"SELECT {MESSAGE_COLUMNS} FROM messages")
 
+
+def _needs_reply(day: str) -> str:
+    return _m(
+        f"""SELECT chat_id, counterparty_name AS name, message_id, CAST(date AS VARCHAR) AS last_date,
+          DATE '{day}' - date AS days_waiting
+        FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY moment DESC, message_id DESC) AS rn
+              FROM messages WHERE chat_size = 1 AND reaction = 'no-reaction' AND moment IS NOT NULL AND date <= '{day}')
+        WHERE rn = 1 AND is_from_me = 0"""
+    )
+
+
+_WITH_BLANKS = """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ' ' || chr(9) || text || ' ' || chr(10) ELSE text END AS text
+    FROM documents"""
+
 ORACLE = {
     "raw_since_watermark": _raw(
         """SELECT message_id, CAST(raw_date AS BIGINT) AS date, text FROM message
@@ -364,13 +378,11 @@ ORACLE = {
     "result_csv_roundtrip": _m("SELECT message_id, name, body_text, chat_members_contact_info FROM messages"),
     "contact_deep_dive": _compare("'Customer#000000017'"),
     "compare_contacts": _compare("'Customer#000000017', 'Customer#000000093', 'group-chat'"),
-    "needs_reply": _m(
-        """SELECT chat_id, counterparty_name AS name, message_id, CAST(date AS VARCHAR) AS last_date,
-          DATE '2024-02-01' - date AS days_waiting
-        FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY moment DESC, message_id DESC) AS rn
-              FROM messages WHERE chat_size = 1 AND reaction = 'no-reaction' AND moment IS NOT NULL)
-        WHERE rn = 1 AND is_from_me = 0"""
-    ),
+    "needs_reply": _needs_reply("2024-02-01"),
+    "needs_reply_past": _needs_reply("2024-01-15"),
+    "needs_reply_stored": _needs_reply("2024-02-01"),
+    "documents_csv_roundtrip": _WITH_BLANKS,
+    "documents_json_lines": _WITH_BLANKS,
     "period_in_review": _m(
         ", p AS (" + _period("2024-01-08", "2024-01-14") + ") SELECT '2024-01-08 to 2024-01-14' AS period, * FROM p"
     ),
@@ -391,3 +403,11 @@ ORACLE = {
         FROM sides JOIN others USING (metric)"""
     ),
 }
+
+ORACLE |= {
+    "contact_deep_dive_stored": ORACLE["contact_deep_dive"],
+    "raw_files_csv": ORACLE["messages_full"],
+    "raw_files_json": ORACLE["messages_full"],
+    "contact_overrides_file": ORACLE["contact_map"],
+    "ingest_forced": ORACLE["ingest_idempotent"],
+}

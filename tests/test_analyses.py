@@ -168,6 +168,25 @@ def test_conversations(messages, rows):
     assert [(r["chat_id"], r["messages"]) for r in K.group_chats(messages, 4).collect()] == ranked(groups, 4)
 
 
+def test_needs_reply_looks_no_further_than_its_day(messages, rows):
+    day = sorted(r["date"] for r in rows if r["date"])[len(rows) // 2]
+    last = {}
+    for r in sorted((r for r in rows if r["timestamp"]), key=lambda r: (r["timestamp"], r["message_id"])):
+        if r["chat_size"] == 1 and r["reaction"] == "no-reaction" and r["date"] <= day:
+            last[r["chat_id"]] = r
+    want = {c: (day - r["date"]).days for c, r in last.items() if not r["is_from_me"]}
+    got = {r["chat_id"]: r["days_waiting"] for r in K.needs_reply(messages, day).collect()}
+    assert got == want and min(got.values()) >= 0
+
+
+def test_a_stored_table_needs_no_further_column(messages):
+    names = [r["name"] for r in messages.where("is_from_me = 0").select("name").distinct().orderBy("name").limit(5).collect()]
+    plain = messages.drop("counterparty_name")
+    columns = ["name", "total_messages", "received_direct", "sent_direct"]
+    got = K.compare_contacts(plain, names).select(*columns).collect()
+    assert got == K.compare_contacts(messages, names).select(*columns).collect() and got
+
+
 def test_periods(messages, rows):
     first, second = (dt.date(2024, 1, 2), dt.date(2024, 1, 9)), (dt.date(2024, 1, 5), dt.date(2024, 1, 20))
     one, two = (K.period_in_review(messages, *p).first() for p in (first, second))

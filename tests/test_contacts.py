@@ -58,9 +58,12 @@ def test_override_files(spark, tmp_path):
         read_contacts(spark, str(tmp_path / "missing.csv"))
 
 
-@pytest.mark.parametrize("fmt, text", [("csv", "contact_key,name\n,Nobody\n"), ("json", '{"contact_key": {]\n')])
+@pytest.mark.parametrize("fmt, text", [
+    ("csv", "contact_key,name\n,Nobody\n"), ("json", '{"contact_key": {]\n'), ("csv", "contact_key,name\nk,\n"),
+    ("csv", "contact_key,name\nk,Ann\nk,Bob\n"),
+])
 def test_bad_override_files_are_errors(spark, tmp_path, fmt, text):
     path = tmp_path / f"bad.{fmt}"
     path.write_text(text)
-    with pytest.raises(Exception, match="NULL key|MALFORMED_RECORD"):
+    with pytest.raises(Exception, match="NULL contact_key|NULL name|2 times|MALFORMED_RECORD"):
         read_contacts(spark, str(path), fmt).collect()

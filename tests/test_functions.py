@@ -153,3 +153,12 @@ def test_contact_keys(spark):
     assert apply(spark, list(phones), phone_key("v")) == list(phones.values())
     assert apply(spark, ["Ann@X.Org"], email_key("v")) == ["ann@x.org"]
     assert apply(spark, ["Ann@X.Org", "+1 2"], contact_key("v")) == ["ann@x.org", "+12"]
+
+
+def test_later_strings_of_a_stream(spark):
+    back = b"\x86\x92\x84\x98\x98"  # a later string refers back to class and type of the first
+    firsts = [b"", b"__kIMMessagePart", b"xAttributeName", b" \n"]
+    blobs = [HEAD + STRING + bytes([len(f)]) + f + back + b"\x05Hello" + TAIL for f in firsts]
+    blobs.append(HEAD + STRING + b"\x02__" + back + b"\x03__b" + back + b"\x04Last" + TAIL)
+    blobs.append(HEAD + STRING + b"\x03Yes" + back + b"\x05Hello" + TAIL)
+    assert apply(spark, blobs, structured_text("v"), "binary") == ["Hello"] * 4 + ["Last", "Yes"]

@@ -125,7 +125,7 @@ def test_raw_files(spark, small_raw, small_contacts, expected, tmp_path, fmt):
     for name, table in small_raw._asdict().items():
         if fmt == "csv" and name == "message":
             table = table.withColumn("attributedBody", F.base64("attributedBody"))
-        table.write.format(fmt).save(str(tmp_path / name))
+        table.write.format(fmt).options(**({"header": True, "escape": '"'} if fmt == "csv" else {})).save(str(tmp_path / name))
     raw = read_raw(spark, str(tmp_path), fmt)
     assert content(build_messages(raw, small_contacts)) == expected
     assert content(build_messages(read_raw(spark, str(tmp_path), fmt, since=6), small_contacts)) == expected[6:]
@@ -206,3 +206,62 @@ def test_sync_from_files_in_steps(spark, small_raw, small_contacts, dataset, exp
     run = ingest.sync_files(spark, source, small_contacts, dataset).first()
     assert (run["mode"], run["rows_written"]) == ("incremental", 4)
     assert content(stored.read_messages(spark, dataset)) == expected
+
+
+def test_csv_keeps_blanks_and_line_breaks(spark, tmp_path):
+    odd = spark.createDataFrame([(1, "  lead"), (2, "trail \n"), (3, "\ttab\r\n x "), (4, ' "q" ')], "i int, t string")
+    sinks.write_csv(odd, str(tmp_path / "csv"))
+    back = spark.read.schema(odd.schema).csv(str(tmp_path / "csv"), header=True, escape='"', multiLine=True)
+    assert content(back) == content(odd)
+
+
+@pytest.mark.parametrize(
+    "fmt, row", [("csv", "ROWID,id\nx,+1415\n"), ("csv", "ROWID,id\n,+1415\n"), ("json", '{"ROWID": null, "id": "k"}\n')]
+)
+def test_bad_raw_rows_are_errors(spark, small_raw, tmp_path, fmt, row):
+    for name, table in small_raw._asdict().items():
+        table = table.withColumn("attributedBody", F.base64("attributedBody")) if name == "message" else table
+        (sinks.write_csv if fmt == "csv" else sinks.write_json)(table, str(tmp_path / name))
+    (tmp_path / "handle" / "bad.txt").write_text(row)
+    with pytest.raises(Exception, match="NULL in ROWID|MALFORMED_RECORD"):
+        read_raw(spark, str(tmp_path), fmt).handle.collect()
+
+
+def test_columnar_files_without_ids_are_errors(spark, small_raw, tmp_path):
+    for name, table in small_raw._asdict().items():
+        table.write.parquet(str(tmp_path / name))
+    spark.createDataFrame([(None, "k")], "ROWID long, id string").write.mode("append").parquet(str(tmp_path / "handle"))
+    with pytest.raises(ValueError, match="NULL"):
+        read_raw(spark, str(tmp_path))
+
+
+def test_an_older_schema_is_not_written_to(spark, small_raw, small_contacts, dataset, tmp_path):
+    ingest.sync(spark, upto(small_raw, 5), small_contacts, dataset)
+    older = stored.read_runs(spark, dataset).withColumn("schema_version", F.lit(1)).withColumn("last_message_id", F.lit(6).cast("long"))
+    older.write.mode("append").parquet(stored.runs_path(dataset))
+    before = stored.read_runs(spark, dataset).count()
+    with pytest.raises(SchemaMismatch):
+        ingest.refresh(spark, small_raw, small_contacts, dataset)
+    with pytest.raises(SchemaMismatch):
+        start_ingest(spark, str(tmp_path), small_raw, small_contacts, dataset, str(tmp_path / "c"))
+    assert stored.read_runs(spark, dataset).count() == before
+    ingest.sync(spark, small_raw, small_contacts, dataset, force=True)
+    assert stored.read_messages(spark, dataset).count() == 10
+
+
+def test_a_stream_logs_the_rows_of_each_batch(spark, small_raw, small_contacts, dataset, tmp_path):
+    landing = str(tmp_path / "landing")
+    for part in ("ROWID > 4", "ROWID <= 4"):  # older ids arrive second
+        small_raw.message.where(part).write.mode("append").parquet(landing)
+        start_ingest(spark, landing, small_raw, small_contacts, dataset, str(tmp_path / "c")).awaitTermination()
+    runs = stored.read_runs(spark, dataset).orderBy("finished_at").collect()
+    assert [(r["rows_written"], r["total_messages"]) for r in runs] == [(6, 6), (4, 10)]
+
+
+def test_status_counts_the_current_generation(spark, small_raw, small_contacts, dataset):
+    ingest.sync(spark, small_raw, small_contacts, dataset)
+    first = stored.status(spark, dataset).first()
+    ingest.sync(spark, small_raw, small_contacts, dataset, force=True)
+    second = stored.status(spark, dataset).first()
+    assert abs(second["size_bytes"] - first["size_bytes"]) < 0.1 * first["size_bytes"]
+    assert first["superseded_bytes"] == 0 < second["superseded_bytes"]

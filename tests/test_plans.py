@@ -66,7 +66,7 @@ def test_joins_nobody_needs_are_left_out(spark, files, small_contacts):
 def test_message_rows_are_shuffled_once_without_the_blob(spark, files, small_contacts):
     plan = plan_of(build_messages(read_raw(spark, files), small_contacts).sortWithinPartitions("message_id"), "simple")
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(message_id" in line]
-    assert len(exchanges) == 2  # messages, and chat links, whose small chats are joined in place
+    assert len(exchanges) == 3  # messages, their senders' ids, and chat links; small tables are joined in place
     # The join leaves rows in order, so the sort asked for costs nothing.
     assert plan.index("SortMergeJoin [message_id") < plan.index("Sort [message_id")
     assert "rangepartitioning" not in plan
