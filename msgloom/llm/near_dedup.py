@@ -253,7 +253,9 @@ def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     shared = pairs.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(SHARES)).cast("int"))
     partners = shared.selectExpr("b AS doc_id", "a", "share", "b")
     owners = shared.selectExpr("a AS doc_id", "a", "share").distinct().selectExpr("*", "CAST(NULL AS BIGINT) AS b")
-    texts = docs.select("doc_id", "text").join(partners.union(owners), "doc_id").select("a", "share", "b", "text")
+    # Sort-merge at every size: a plan that is right for few pairs is not for many.
+    wanted = partners.union(owners).hint("merge")
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("a", "share", "b", "text")
     sorted_texts = texts.repartition("a", "share").sortWithinPartitions("a", "share", "b")
     return sorted_texts.mapInArrow(_verified(width, percent), "u long, v long")
 
@@ -284,7 +286,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     bands = classes.where(F.col("n") >= least).select("cls", "registers").mapInArrow(_bands, "key long, cls long")
     met = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("rep")).where("size > 1")
     met = scratch.table(met, "met")
-    shared = scratch.table(bands.join(met, "key"), "shared")
+    shared = scratch.table(bands.join(met.hint("merge"), "key"), "shared")
 
     tried = shared.where("cls <> rep").selectExpr("rep AS a", "cls AS b").distinct()
     side = classes.select("cls", "n", "registers")
@@ -314,7 +316,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
             .selectExpr("cls AS doc_id", "clump", "least(block, other) AS low", "greatest(block, other) AS high",
                         "block", "cls", "comp")
         )
-        grouped = docs.join(scratch.table(dealt, "dealt"), "doc_id").drop("doc_id")
+        grouped = docs.join(scratch.table(dealt, "dealt").hint("merge"), "doc_id").drop("doc_id")
         grouped = grouped.repartition("clump", "low", "high").sortWithinPartitions("clump", "low", "high", "block", "cls")
         extra = scratch.table(grouped.mapInArrow(_compared(width, percent), "u long, v long"), "extra")
         if not extra.isEmpty():
