@@ -29,6 +29,7 @@ import zlib
 from collections.abc import Mapping
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +53,8 @@ class _Encoder:
     """Ids of texts whose words, ended by white space, are encoded one by one. Each
     different word is encoded once and remembered up to a bound."""
 
-    REMEMBERED = 400_000
+    REMEMBERED = 1_500_000
+    LEARNED_AT_ONCE = 10_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,27 +67,30 @@ class _Encoder:
         self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def learn(self, words: list[str], hashes: np.ndarray) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         ids = np.fromiter(itertools.chain.from_iterable(coded), np.uint32, sizes.sum())
         starts = np.cumsum(sizes) - sizes + len(self.ids)
-        hashes = np.concatenate((self.hashes, hashes))
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.sizes = np.concatenate((self.sizes, sizes))[order]
-        self.starts = np.concatenate((self.starts, starts))[order]
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.sizes = np.insert(self.sizes, at, sizes[order])
+        self.starts = np.insert(self.starts, at, starts[order])
         self.ids = np.concatenate((self.ids, ids))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text ended by END_ID, and n + 1 offsets."""
         words = words_of(texts)
-        once, first, each = np.unique(words.hashes, return_index=True, return_inverse=True)
+        each, once = pd.factorize(words.hashes)
+        first = np.empty(len(once), np.int64)
+        first[each[::-1]] = np.arange(len(each))[::-1]
         if len(self.hashes) > self.REMEMBERED:
             self.forget()
-        new = np.flatnonzero(~np.isin(once, self.hashes, assume_unique=True))
-        if len(new):
-            spans = zip(words.starts[first[new]], words.ends[first[new]])
-            self.learn([words.data[a:b].tobytes().decode("utf-8", "replace") for a, b in spans], once[new])
+        at = np.minimum(np.searchsorted(self.hashes, once), max(0, len(self.hashes) - 1))
+        new = np.flatnonzero(self.hashes[at] != once) if len(self.hashes) else np.arange(len(once))
+        for part in np.split(new, range(self.LEARNED_AT_ONCE, len(new), self.LEARNED_AT_ONCE)) if len(new) else ():
+            spans = zip(words.starts[first[part]], words.ends[first[part]])
+            self.learn([words.data[a:b].tobytes().decode("utf-8", "replace") for a, b in spans], once[part])
         at = np.searchsorted(self.hashes, once)
         sizes, starts = self.sizes[at][each], self.starts[at][each]
         n = len(texts)
