@@ -24,7 +24,9 @@ separate documents. NULL sources form one queue. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import os
 import zlib
 from collections.abc import Mapping
 
@@ -51,15 +53,19 @@ PIECES = (
 
 class _Encoder:
     """Ids of texts whose words, ended by white space, are encoded one by one. Each
-    different word is encoded once and remembered up to a bound."""
+    different word is encoded once and remembered up to a bound. New words are encoded in
+    groups, with a control character between them whose one id tells them apart."""
 
     REMEMBERED = 1_500_000
     LEARNED_AT_ONCE = 10_000
+    GROUP = 50
+    MARK = "\x01"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
@@ -67,9 +73,21 @@ class _Encoder:
         self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def learn(self, words: list[str], hashes: np.ndarray) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        ids = np.fromiter(itertools.chain.from_iterable(coded), np.uint32, sizes.sum())
+        # A word with the mark in it, or any if the mark has several ids, is encoded alone.
+        alone = [len(self.mark) > 1 or self.MARK in w for w in words]
+        together = [i for i, own in enumerate(alone) if not own]
+        order = np.array([*together, *(i for i, own in enumerate(alone) if own)], np.int64)
+        between = f" {self.MARK} "
+        spans = range(0, len(together), self.GROUP)
+        texts = [between.join([words[i] for i in together[at : at + self.GROUP]]) for at in spans]
+        coded = self._ids([f"{t} {self.MARK}" for t in texts])
+        ends = np.flatnonzero(coded == self.mark[0]) if texts else np.empty(0, np.int64)
+        sizes = np.diff(ends, prepend=-1) - 1
+        coded = np.delete(coded, ends)
+        singly = [self._ids([w]) for w, own in zip(words, alone) if own]
+        sizes = np.concatenate((sizes, np.array([len(x) for x in singly], np.int64)))
+        ids = np.concatenate((coded, *singly))
+        hashes = hashes[order]
         starts = np.cumsum(sizes) - sizes + len(self.ids)
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
@@ -78,6 +96,10 @@ class _Encoder:
         self.starts = np.insert(self.starts, at, starts[order])
         self.ids = np.concatenate((self.ids, ids))
 
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.fromiter(itertools.chain.from_iterable(e.ids for e in coded), np.uint32)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text ended by END_ID, and n + 1 offsets."""
         words = words_of(texts)
@@ -106,13 +128,21 @@ class _Encoder:
         return ids, before
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One for all tasks of a Python worker, so that words learned are kept from task to task.
+    A task has one core, so the tokenizer starts no threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return _Encoder(path)
+
+
 def _encoded(tokenizer: str):
     """Rows in the order of the partition: ids, and the source's tokens before them there."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = _Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         part = TaskContext.get().partitionId()
         sent: dict = {}
         for batch in text_slices(batches, "text"):
