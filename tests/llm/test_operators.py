@@ -165,6 +165,22 @@ def test_packing(spark, hard):
     assert texts and packing.pack(docs.limit(0), Scratch(spark, "t"), path).count() == 0
 
 
+def test_encoder():
+    """Ids of words encoded in groups are those of whole texts, also with the mark in a word."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    texts = ["a\x01b \x01 \x01\x01, The the", "\u0338a \u00a0b\u2003c \u001c x", None, "", " \x0b", "don't DON'T 1,234 \u03a3\u03b1\u03c2"]
+    texts += [" ".join(f"word{i}" for i in range(k, k + 70)) for k in (0, 50, 1)]
+    tokenizer, encoder = Tokenizer.from_file(path), packing._Encoder(path)
+    for mark in (encoder.mark, [1, 2]):  # a mark of several ids sends every word alone
+        encoder.mark = mark
+        encoder.forget()
+        ids, offsets = encoder.encode(pa.array(texts, pa.string()))
+        for text, a, b in zip(texts, offsets[:-1], offsets[1:]):
+            assert ids[a:b].tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+
+
 def test_mixture_targets():
     mixture = packing.Mixture({"a": 40_000, "b": 40_000, None: 500}, {"a": 3, "b": 1})
     seen = np.zeros(80_500, int)
