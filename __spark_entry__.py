@@ -196,6 +196,15 @@ def _ingest_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(stored.read_messages(spark, dataset))
 
 
+def _ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a first sync, a refresh, and one that found nothing new."""
+    dataset = _synced_twice(spark, sf_dir)
+    ingest.sync(spark, _raw(spark, sf_dir), _contacts(spark, sf_dir), dataset)
+    return stored.read_runs(spark, dataset).select(
+        "mode", "since", "last_message_id", "rows_written", "total_messages", "contacts_resolved"
+    )
+
+
 def _ingest_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
     dataset = _synced_twice(spark, sf_dir)
     ingest.sync(spark, _raw(spark, sf_dir), _contacts(spark, sf_dir), dataset, force=True)
@@ -391,6 +400,7 @@ _QUERIES: dict[str, Query] = {
     "documents_csv_roundtrip": _documents_roundtrip("csv"),
     "documents_json_lines": _documents_roundtrip("json"),
     "ingest_forced": _ingest_forced,
+    "ingest_runs": _ingest_runs,
     "period_in_review": _analysis(K.period_in_review, "name", "date", "is_from_me", start=_WEEK[0], end=_WEEK[1]),
     "group_chats": _analysis(K.group_chats, "chat_id", "chat_size", "handle_id", "is_from_me", "date"),
     "compare_periods": _analysis(K.compare_periods, "name", "date", "is_from_me", first=_WEEK, second=_NEXT),

@@ -41,6 +41,7 @@ def build_messages(
     since: int = 0,
     columns: Sequence[str] | None = None,
     normalize: bool = False,
+    block: int | None = None,
 ) -> DataFrame:
     """All messages above row id `since`, one row each, with the given columns.
 
@@ -48,22 +49,32 @@ def build_messages(
     left out. `counterparty_name` may be added: the name of the other party, also
     on messages sent in a direct chat. Contact keys are matched as written, or in
     normalised spelling with `normalize`.
+
+    `block` is for writers of the full table: the shuffle by id then keeps each block of so
+    many neighbouring ids in one partition, ordered by id, under `placement_by_block`.
     """
     wanted = list(columns or MESSAGES.fieldNames())
     raw = rows_above(raw, since)
-    rows = _own_columns(raw.message)
+    by = ["_block", "message_id"] if block else ["message_id"]
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.selectExpr("*", f"message_id div {block} AS _block").repartition("_block") if block else df
+
+    rows = placed(_own_columns(raw.message))
     if _SENDER & set(wanted):
         looked_up = senders(raw.handle, contacts, normalize)
         if _TEXTS & set(wanted) and _CHAT & set(wanted):
             # Texts are shuffled anyway, by message id: look senders up on narrow rows and
             # meet them there. Messages without a handle never enter the lookup.
             ids = raw.message.where("handle_id <> 0").selectExpr("ROWID AS message_id", "handle_id AS _handle")
-            rows = rows.join(ids.join(looked_up, "_handle").drop("_handle"), "message_id", "left")
+            rows = rows.join(placed(ids.join(looked_up, "_handle").drop("_handle")), by, "left")
         else:
             rows = rows.join(looked_up, "_handle", "left")
     if _CHAT & set(wanted):
         with_members = bool(_MEMBERS & set(wanted))
-        rows = rows.join(_placement(raw, contacts, normalize, with_members, since), "message_id", "left")
+        rows = rows.join(placed(_placement(raw, contacts, normalize, with_members, since)), by, "left")
+    if block:
+        rows = rows.sortWithinPartitions(*by)
     return rows.selectExpr(*[f"{_DERIVED.get(name, name)} AS {name}" for name in wanted])
 
 

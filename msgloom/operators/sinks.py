@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_load(messages: DataFrame, path: str, load: str, alone: bool = False) -> None:
+def write_load(messages: DataFrame, path: str, load: str, alone: bool = False, ordered: bool = False) -> None:
     """Write one load of messages as its own partition `load=<name>`.
 
     Only that partition is replaced, at job commit: repeating a load after a
     failure never duplicates rows and never touches other loads. `alone` drops
     whatever else lies at the path, such as the rest of an unfinished build. Rows are
-    sorted by id inside each file, so row groups have narrow id and date statistics.
+    sorted by id inside each file, unless they come `ordered`.
     """
+    named = messages.withColumn("load", F.lit(load))
     (
-        messages.withColumn("load", F.lit(load))
-        .sortWithinPartitions("message_id")
+        (named if ordered else named.sortWithinPartitions("message_id"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static" if alone else "dynamic")
         .option("compression", "snappy")

@@ -12,12 +12,16 @@ from msgloom.errors import DatasetNotFound
 from msgloom.operators.messages import build_messages
 from msgloom.operators.sinks import write_load
 from msgloom.schemas import INGEST_RUNS, SCHEMA_VERSION, RawTables
-from msgloom.session import one_row, path_bytes, size_shuffles
-from msgloom.sources.raw import high_watermark, read_raw
+from msgloom.session import one_row, path_bytes, placement_by_block, shuffle_partitions, size_shuffles
+from msgloom.sources.raw import high_watermark, read_raw, rows_above
 from msgloom.sources.stored import (
     check_schema, generation_path, latest_run, read_generation, read_load, read_runs, runs_path,
 )
 
+#: Enough blocks to even out the partitions that hashing gives them to.
+BLOCKS_PER_PARTITION = 4
+MAX_BLOCK = 1 << 17
+
 
 def full_build(
     spark: SparkSession, raw: RawTables, contacts: DataFrame, dataset: str, normalize: bool = False
@@ -98,13 +102,25 @@ def load_above(
     normalize: bool = False,
     load: str | None = None,
 ) -> DataFrame:
-    """Enrich and write the messages above `since` as one load, then log the run."""
+    """Enrich and write the messages above `since` as one load, then log the run.
+
+    Files hold whole blocks of neighbouring ids, and so of neighbouring days.
+    """
     path = generation_path(dataset, generation)
     name = load or f"above-{since:019d}"
-    write_load(build_messages(raw, contacts, since, normalize=normalize), path, name, alone=mode == "full")
+    with placement_by_block(spark):
+        rows = build_messages(raw, contacts, since, normalize=normalize, block=id_block(spark, raw, since))
+        write_load(rows, path, name, alone=mode == "full", ordered=True)
     return _log_run(spark, contacts, dataset, generation, since, mode, name)
 
 
+def id_block(spark: SparkSession, raw: RawTables, since: int) -> int:
+    """Ids in a block: a part of a shuffle partition's share of the span of ids, which one
+    row tells. Ids are unique, so the bound holds for rows wherever ids lie close."""
+    span = rows_above(raw, since).message.agg((F.max("ROWID") - F.min("ROWID")).alias("span")).first()["span"] or 0
+    return max(1, min(MAX_BLOCK, span // (BLOCKS_PER_PARTITION * shuffle_partitions(spark)) + 1))
+
+
 def _log_run(
     spark: SparkSession, contacts: DataFrame, dataset: str, generation: int, since: int, mode: str, load: str
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -44,13 +45,30 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
     terabytes the default number would leave partitions too large for memory.
     Only ever raises the setting.
     """
-    current = int(spark.conf.get(_INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    current = shuffle_partitions(spark)
     wanted = min(-(-input_bytes // _INPUT_BYTES_PER_PARTITION), _MAX_PARTITIONS)
     if wanted > current:
         spark.conf.set(_INITIAL_PARTITIONS, str(wanted))
     return max(wanted, current)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions that shuffles start with."""
+    return int(spark.conf.get(_INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextlib.contextmanager
+def placement_by_block(spark: SparkSession):
+    """While this holds, sides that are placed by one of their join keys are joined in place."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name for tables a job writes and reads back.
 

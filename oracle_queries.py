@@ -361,6 +361,17 @@ ORACLE = {
     "ingest_incremental": _FULL,
     "ingest_idempotent": _FULL,
     "ingest_stream": _FULL,
+    "ingest_runs": _m(
+        """, whole AS (SELECT MAX(message_id) AS high, COUNT(*) AS n FROM messages),
+        half AS (SELECT MAX(message_id) AS high, COUNT(*) AS n FROM messages
+          WHERE message_id <= (SELECT high // 2 FROM whole)),
+        runs AS (
+          SELECT 'full' AS mode, CAST(0 AS BIGINT) AS since, high AS last_message_id, n AS rows_written, n AS total_messages
+          FROM half
+          UNION ALL SELECT 'incremental', half.high, whole.high, whole.n - half.n, whole.n FROM whole, half
+          UNION ALL SELECT 'incremental', high, high, 0, n FROM whole)
+        SELECT *, (SELECT COUNT(*) FROM contacts) AS contacts_resolved FROM runs"""
+    ),
     "status": _m(
         """SELECT COUNT(*) AS total_messages, format('{:,}', COUNT(*)) AS messages_text,
         MAX(message_id) AS last_message_id, CAST(2 AS BIGINT) AS schema_version,

@@ -10,7 +10,7 @@ from msgloom.operators.messages import build_messages
 from msgloom.plans import analyses as A
 from msgloom.plans import conversations as K
 from msgloom.plans import ingest
-from msgloom.session import scratch_dir, size_shuffles
+from msgloom.session import placement_by_block, scratch_dir, size_shuffles
 from msgloom.sources import stored
 from msgloom.sources.raw import read_raw
 
@@ -75,6 +75,52 @@ def test_message_rows_are_shuffled_once_without_the_blob(spark, files, small_con
     assert before and all("attributedBody" not in block for block in before)
 
 
+def test_stored_files_hold_blocks_of_ids(spark, small_raw, small_contacts):
+    """Without broadcasts: one shuffle with texts, none for the write, and files cut by id."""
+    rows, parts = 16_000, 16
+    message = spark.range(1, rows + 1, 1, 6).select(
+        F.col("id").alias("ROWID"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+        F.lit(None).cast("binary").alias("attributedBody"), (F.col("id") % 3).alias("handle_id"),
+        F.lit(0).cast("long").alias("is_from_me"), (F.col("id") * 3600).alias("date"),
+        F.lit(0).cast("long").alias("associated_message_type"),
+        *[F.lit(None).cast("string").alias(c) for c in
+          ("expressive_send_style_id", "thread_originator_guid", "balloon_bundle_id")],
+        F.lit(0).cast("long").alias("is_audio_message"),
+    )
+    raw = small_raw._replace(message=message)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        block = ingest.id_block(spark, raw, 0)
+        assert block == rows // (4 * parts)
+        with placement_by_block(spark):
+            plan = plan_of(build_messages(raw, small_contacts, block=block), "simple")
+        # Messages, their senders' ids and chat links; by id alone only the first chats are found.
+        assert plan.count("Exchange hashpartitioning(_block") == 3
+        assert plan.count("hashpartitioning(message_id") == plan.count("partial_min(chat_id") == 1
+        assert "Sort [_block" in plan and plan.index("SortMergeJoin [_block") < plan.index("Sort [_block")
+        path = scratch_dir(spark, "blocks")
+        ingest.sync(spark, raw, small_contacts, path)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    table = stored.read_messages(spark, path)
+    files = table.select("message_id", "date", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    assert files.select(F.expr(f"message_id div {block}").alias("b"), "file").distinct().count() == rows // block + 1
+    held = files.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "message_id"))).alias("own")).collect()
+    assert len(held) > parts // 2
+    for row in held:
+        ids = [own["message_id"] for own in row["own"]]
+        assert ids == sorted(ids)
+    week = files.where("date BETWEEN '2001-06-04' AND '2001-06-10'")
+    assert week.count() == 7 * 24 and week.select("file").distinct().count() <= 2
+
+
 def test_no_python_and_no_cross_joins(spark, files, dataset, table, small_contacts):
     built = build_messages(read_raw(spark, files), small_contacts)
     for df in (
