@@ -8,9 +8,14 @@ A temperature fitted on further variants calibrates the probabilities. A family
 if its probability is `CERTAIN` or more and the paragraph holds enough words of one of its
 statements; a paragraph that is probably not `none` but names no family so is `unknown`.
 
-Scoring is SQL within the row: a paragraph without any cue word, a word that only weighted
-features have, can only be `none` and is left out before features are made. Paragraphs are
-neither joined nor gathered.
+All words of the statements and their pairs and triples may be features, also where the
+sample has them in ordinary sentences: the weights decide. A sampled paragraph weighs as
+much as a variant of a statement.
+
+Scoring is SQL within the row: a paragraph without any cue word has no feature that raises a
+family over `none`, so it can only be `none` and is left out before features are made.
+Where the bias alone names a family, no paragraph is left out. Paragraphs are neither joined
+nor gathered.
 
 NULL and empty texts have no statements. Rows that repeat a doc_id, or lack it, are
 reported each. Other columns are ignored.
@@ -129,13 +134,17 @@ class Model(NamedTuple):
     temperature: float
 
     @property
-    def cues(self) -> list[str]:
-        """Words one of which every weighted feature has."""
-        return sorted({w for table in self.weights for g in table for w in g.split(" ") if w in self.cue_set})
-
-    @property
-    def cue_set(self) -> set[str]:
-        return {g for table in self.weights for g in table if " " not in g}
+    def cues(self) -> list[str] | None:
+        """Words one of which every paragraph has that can be other than `none`; None if any can."""
+        if _softmax(np.array([self.bias]) / self.temperature)[0, 0] < 0.51:
+            return None
+        none, *others = self.weights
+        raising = {g for table in others for g in {**none, **table} if table.get(g, 0) > none.get(g, 0)}
+        cues: set[str] = set()
+        for words in sorted((g.split(" ") for g in raising), key=lambda words: (len(words), words)):
+            if not cues.intersection(words):
+                cues.add(max(words, key=lambda w: (len(w), w)))  # long words are rare
+        return sorted(cues)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -170,10 +179,7 @@ def train(paragraphs: list[str]) -> Model:
     told = {g for s in STATEMENTS.values() for t in s for g in grams(tokens(t)) if g.count(" ") == 2}
     background = [w for w in ([x for x in tokens(p) if x] for p in paragraphs) if not grams(w) & told]
     examples, labels = _variants(background, rng)
-    common = {w for words in background for w in words}
-    known = {w for s in STATEMENTS.values() for t in s for w in tokens(t) if w} - common
-    # Every feature has a word of its own that the sampled corpus lacks.
-    vocabulary = sorted({g for s in STATEMENTS.values() for t in s for g in grams(tokens(t)) if known & set(g.split(" "))})
+    vocabulary = sorted({g for s in STATEMENTS.values() for t in s for g in grams(tokens(t))})
     index = {g: i for i, g in enumerate(vocabulary)}
     names = (NONE, *STATEMENTS)
 
@@ -184,22 +190,26 @@ def train(paragraphs: list[str]) -> Model:
             x[i, [index[g] for g in s if g in index]] = 1
         return x
 
-    # Most examples of `none` have no feature at all: equal ones are one row with a weight.
+    # Many examples of `none` have the same features: equal ones are one row with a weight.
     rows, times = np.unique(np.column_stack([matrix(examples), labels]), axis=0, return_counts=True)
     x, y = rows[:, :-1], np.eye(len(names))[rows[:, -1].astype(int)]
-    w = np.zeros((x.shape[1], len(names)))
-    each = (times * (y @ (1 / np.maximum(times @ y, 1))))[:, None] / len(names)  # families weigh alike
-    rate = 4.0
-    for _ in range(STEPS):  # proximal gradient: the L1 penalty leaves few weights
-        w -= rate * (x.T @ (each * (_softmax(x @ w) - y)))
+    count = times @ y
+    # Families weigh alike, and `none` by its examples: what ordinary lines share names no family.
+    share = np.array([max(1.0, count[0] / count[1:].mean()), *np.ones(len(STATEMENTS))])
+    each = (times * (y @ (share / share.sum() / np.maximum(count, 1))))[:, None]
+    w = ahead = np.zeros((x.shape[1], len(names)))
+    rate, pace = 2 / np.linalg.eigvalsh((x * each).T @ x)[-1], 1.0
+    for _ in range(STEPS):  # accelerated proximal gradient: the L1 penalty leaves few weights
+        before, w = w, ahead - rate * (x.T @ (each * (_softmax(x @ ahead) - y)))
         w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - rate * PENALTY, 0)
+        last, pace = pace, (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead = w + (last - 1) / pace * (w - before)
     held, truth = _variants(background[: len(background) // 4], rng)
     z, truth = matrix(held) @ w, np.array(truth)
     cost = {t: -np.log(_softmax(z / t)[np.arange(len(z)), truth] + 1e-12).mean() for t in np.linspace(0.3, 3, 28)}
     temperature = float(min(cost, key=cost.get))
     tables = tuple({g: round(float(w[i, k]), 6) for g, i in index.items() if w[i, k]} for k in range(len(names)))
-    single = {g: 0.0 for g in known}  # cue words keep a place, also without weight of their own
-    return Model(names, tuple(round(float(b), 6) for b in w[-1]), ({**single, **tables[0]}, *tables[1:]), temperature)
+    return Model(names, tuple(round(float(b), 6) for b in w[-1]), tables, temperature)
 
 
 def sampled_paragraphs(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
@@ -219,7 +229,8 @@ def statements(docs: DataFrame, model: Model) -> DataFrame:
     (from 0), family, probability, similarity, confirmed."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     lines = rows.selectExpr("doc_id", "posexplode(split(text, '\\n')) AS (paragraph, body)")
-    cued = lines.where(f"arrays_overlap({words_sql('body')}, {_quoted(model.cues)})")
+    cues = model.cues
+    cued = lines if cues is None else lines.where(f"arrays_overlap({words_sql('body')}, {_quoted(cues)})")
 
     def scored(k: int) -> str:
         table = {g: v for g, v in model.weights[k].items() if v}
