@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgloom.llm import chat, decontaminate, licences, pu_quality, rules, shards, toxicity, warc
+from msgloom.llm import (
+    alignment, chat, clusters, decontaminate, licences, line_dedup, pu_quality, rules, shards, toxicity, warc,
+)
 from msgloom.llm.near_dedup import near_duplicates
 from msgloom.llm.packing import pack
 from msgloom.llm.tables import Scratch
@@ -23,10 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def held_out(folds: int, fold: int) -> Column:
@@ -121,6 +123,28 @@ def _sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    found = alignment.align(table(spark, sf_dir, "documents"), Scratch(spark, "op11"), *paths, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.cluster(table(spark, sf_dir, "embeddings"), Scratch(spark, "op12"))
+    # One row per cluster: 40 at most, which the scan of all vectors meets without a shuffle.
+    told = found.assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    told = told.selectExpr("*", "sum(cluster_inertia) OVER () AS inertia")
+    digest = found.described(spark).selectExpr("cluster", "sha2(array_join(centroid, ','), 256) AS centroid_sha256")
+    return found.assigned.join(told.join(digest, "cluster"), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def _line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op13"))
+    return kept.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(CAST(kept_text AS BINARY), 256) AS kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": _near_dedup,
     "op2_licences": _licences,
@@ -132,6 +156,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": _toxicity,
     "op9_quality": _quality,
     "op10_sharding": _sharding,
+    "op11_alignment": _alignment,
+    "op12_clusters": _clusters,
+    "op13_line_dedup": _line_dedup,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -153,6 +180,25 @@ _ESCAPED_LENGTH = " + ".join(
 )
 _FRAME = len(chat.OPEN) + len(chat.CLOSE) + len(chat.END)
 
+
+
+def _cluster_rounds(clusters: int = 40, rounds: int = 5) -> str:
+    """CTEs c0 .. c5 with (cluster, component, x) and a0 .. a5 with (row, cluster, distance)."""
+    steps = [f"""v AS (SELECT row_number() OVER () AS row, vec_id, CAST(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS BIGINT[]) AS v
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, v AS c FROM v
+        ORDER BY sha256('2:' || vec_id) LIMIT {clusters})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT row, min_by(cluster, [d, cluster]) AS cluster, min(d) AS distance FROM (
+        SELECT row, cluster, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{k})
+        GROUP BY row)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT c{k}.cluster, coalesce(n.c, c{k}.c) AS c FROM c{k} LEFT JOIN (
+        SELECT cluster, list(m ORDER BY i) AS c FROM (SELECT cluster, i, CAST(floor(sum(v[i])::DOUBLE / count(*)) AS BIGINT) AS m
+            FROM v JOIN a{k} USING (row), range(1, 65) t(i) GROUP BY cluster, i) GROUP BY cluster) n USING (cluster))""")
+    return ",\n    ".join(steps)
+
+
 ORACLE: dict[str, str] = {
     "op1_near_dedup": f"""
     WITH RECURSIVE {_shingles("documents", "doc_id", 2)},
@@ -208,4 +254,19 @@ ORACLE: dict[str, str] = {
     SELECT doc_id, item_id, n AS item_shingles, count(*) AS shared_shingles, count(*) / n AS containment
     FROM benchmark_s JOIN benchmark_n USING (item_id) JOIN documents_s USING (g)
     GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n""",
+    "op12_clusters": f"""
+    WITH {_cluster_rounds()}
+    SELECT vec_id, CAST(cluster AS INT) AS cluster, distance,
+        CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM v JOIN a5 USING (row) JOIN c5 USING (cluster)""",
+    "op13_line_dedup": """
+    WITH l AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line FROM (SELECT *,
+        unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+    k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    s AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+    m AS (SELECT k.*, coalesce(doc_id <> keeper, false) AS gone FROM k LEFT JOIN s USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
 }
