@@ -69,7 +69,8 @@ def drop_shared_lines(
     texts = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.expr("CAST(doc_id AS LONG) AS id"), F.expr(f"{_TEXT_KEY} AS key")
     )
-    matched = texts.join(gone, F.expr("id <=> doc_id AND key = text_key"), "left").select(
+    # A merge at every size, so that the disk it takes follows the input.
+    matched = texts.join(gone.hint("merge"), F.expr("id <=> doc_id AND key = text_key"), "left").select(
         "row", "gone", F.expr(LINES.format("row.text")).alias("lines")
     )
     # Dropping is by position: a set difference of numbers keeps their order.
