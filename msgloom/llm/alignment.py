@@ -69,7 +69,7 @@ class Aligner:
     """Aligned segments, remembered up to a bound, beyond which the more used half stays. Segment `i` has `numbers[i]` (tokens of A, of
     B, groups, links), its links at `starts[i]` of `links`, and its groups as text."""
 
-    REMEMBERED = 240_000
+    REMEMBERED = 450_000
     #: Code of a segment whose tokens do not give back its bytes.
     LOST = -1
 
@@ -91,6 +91,7 @@ class Aligner:
             for i in range(len(self.b))
         ]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
+        self.number = [*map(str, range(max(len(self.bytes_a), len(self.bytes_b))))]
         crossing = any(_BETWEEN_WORDS.search(x.decode("utf-8", "replace")) for x in self.bytes_a + self.bytes_b)
         self.segments = (lambda text: [text]) if crossing else _BETWEEN_WORDS.split
         self.code: dict[str, int] = {}
@@ -164,10 +165,12 @@ class Aligner:
         match = np.searchsorted(b, a)
         ends_a = np.flatnonzero(b[np.minimum(match, len(b) - 1)] == a)
         ends_b = match[ends_a]
-        text_a, text_b = ([*map(str, ids.tolist())] for ids in (ids_a, ids_b))
+        number = self.number
+        text_a, text_b = ([number[i] for i in ids.tolist()] for ids in (ids_a, ids_b))
         groups, i, j = [], 0, 0
         for k, m in zip((ends_a + 1).tolist(), (ends_b + 1).tolist()):
-            groups.append(f"{','.join(text_a[i:k])}|{','.join(text_b[j:m])}")
+            one = k - i == m - j == 1
+            groups.append(f"{text_a[i]}|{text_b[j]}" if one else f"{','.join(text_a[i:k])}|{','.join(text_b[j:m])}")
             i, j = k, m
         upto = np.stack([
             np.searchsorted(a, bounds, "right"), np.searchsorted(b, bounds, "right"),
