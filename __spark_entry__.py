@@ -27,10 +27,10 @@ from msgloom.operators.chats import chat_members, first_chat, participants  # no
 from msgloom.operators.messages import COUNTERPARTY, build_messages, with_counterparty  # noqa: E402
 from msgloom.plans import analyses as A  # noqa: E402
 from msgloom.plans import conversations as K  # noqa: E402
-from msgloom.plans import ingest, sqlview  # noqa: E402
+from msgloom.plans import ingest, sqlview, upkeep  # noqa: E402
 from msgloom.schemas import MESSAGES, RawTables  # noqa: E402
 from msgloom.session import configure, scratch_dir  # noqa: E402
-from msgloom.sources import derived, stored  # noqa: E402
+from msgloom.sources import commits, derived, stored  # noqa: E402
 from msgloom.sources.contacts import address_book_entries, read_contacts  # noqa: E402
 from msgloom.sources.raw import high_watermark, read_raw, rows_above  # noqa: E402
 from msgloom.streaming.ingest import start_ingest  # noqa: E402
@@ -76,6 +76,16 @@ def _comparable(messages: DataFrame) -> DataFrame:
     return messages.select(*[column(f) for f in messages.schema.fields])
 
 
+def _over_years(function: Callable[..., DataFrame], *columns: str, **arguments) -> Query:
+    """An analysis of messages of several years, made of `orders`."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        raw = derived.raw_from_orders(_table(spark, sf_dir, "orders"))
+        return _comparable(function(build_messages(raw, _contacts(spark, sf_dir), columns=columns), **arguments))
+
+    return run
+
+
 def _analysis(function: Callable[..., DataFrame], *columns: str, **arguments) -> Query:
     """An analysis over the columns it reads."""
     return lambda spark, sf_dir: _comparable(function(_messages(spark, sf_dir, *columns), **arguments))
@@ -188,6 +198,64 @@ def _ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(stored.read_messages(spark, _synced_twice(spark, sf_dir)))
 
 
+def _in_quarters(spark: SparkSession, sf_dir: str) -> str:
+    """A dataset of four loads."""
+    dataset = scratch_dir(configure(spark), "quarters")
+    raw, contacts = _raw(spark, sf_dir), _contacts(spark, sf_dir)
+    last = high_watermark(raw.message, id_column="ROWID").first()["watermark"]
+    for quarter in range(1, 5):
+        part = raw._replace(message=raw.message.where(F.col("ROWID") <= last * quarter // 4))
+        ingest.sync(spark, part, contacts, dataset)
+    return dataset
+
+
+def _ingest_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads merged into fewer files, and the old files removed."""
+    dataset = _in_quarters(spark, sf_dir)
+    upkeep.compact(spark, dataset)
+    upkeep.remove_superseded(spark, dataset, dt.timedelta(seconds=-60))
+    return _comparable(stored.read_messages(spark, dataset))
+
+
+def _ingest_migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset written before some columns were added, brought up to date."""
+    dataset = scratch_dir(configure(spark), "migrated")
+    run = ingest.sync(spark, _raw(spark, sf_dir), _contacts(spark, sf_dir), dataset).first()
+    older = stored.read_messages(spark, dataset).drop("body_text", "month", "year")
+    sinks.write_load(older, commits.load_path(dataset, 1, "older"))
+    commits.write_manifest(commits.described_files(spark, commits.load_path(dataset, 1, "older")), dataset, "older")
+    base = commits.current_commit(spark, dataset)
+    changes = {"run_id": "older", "schema_version": 1, "columns": [older.schema.simpleString()], "manifests": ["older"]}
+    fields = {k: v for k, v in base.items() if k not in ("version", "finished_at")}
+    commits.append_commit(spark, dataset, base, **{**fields, **changes})
+    assert run["total_messages"] == upkeep.migrate(spark, dataset).first()["total_messages"]
+    return _comparable(stored.read_messages(spark, dataset))
+
+
+def _messages_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few days of a stored table, from the files that can hold them."""
+    rows = stored.read_messages(spark, _in_quarters(spark, sf_dir), start=dt.date(2024, 1, 10), end=dt.date(2024, 1, 12))
+    return _comparable(rows.select("message_id", "date", "body_text", "name"))
+
+
+def _data_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifests say about all files, and how many ranges of ids overlap."""
+    files = stored.data_files(spark, _in_quarters(spark, sf_dir))
+    before = files.selectExpr("*", "max(max_id) OVER (ORDER BY min_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto")
+    return before.selectExpr(
+        "sum(rows) AS messages", "min(min_id) AS first_id", "max(max_id) AS last_id", "CAST(min(min_date) AS STRING) AS first_date",
+        "CAST(max(max_date) AS STRING) AS last_date", "count_if(min_id <= upto) AS overlapping",
+    )
+
+
+def _schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate's report on two loads."""
+    gate = stored.schema_gate(spark, _synced_twice(spark, sf_dir))
+    return gate.selectExpr(
+        "rows", "CAST(schema_version AS LONG) AS schema_version", "missing_columns", "extra_columns", "other_types", "accepted"
+    )
+
+
 def _ingest_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     dataset = _synced_twice(spark, sf_dir)
     raw, contacts = _raw(spark, sf_dir), _contacts(spark, sf_dir)
@@ -368,6 +436,12 @@ _QUERIES: dict[str, Query] = {
     "seasonality_month": _analysis(A.seasonality, "month", kind="month"),
     "seasonality_split": _analysis(A.seasonality, "timestamp", "date", "is_from_me", kind="dow", split=True),
     "seasonality_month_split": _analysis(A.seasonality, "month", "is_from_me", kind="month", split=True),
+    "seasonality_month_years": _over_years(A.seasonality_month, "month"),
+    "seasonality_month_years_split": _over_years(A.seasonality_month, "month", "is_from_me", split=True),
+    "seasonality_dow_years": _over_years(A.seasonality_dow, "timestamp", "date", way="received"),
+    "time_series_years": _over_years(A.time_series, "date", fill_gaps=True),
+    "time_series_display_years": _over_years(lambda m: A.display(A.time_series(m), "time_series"), "date"),
+    "top_contacts_years": _over_years(A.top_contacts, "name", "year", "chat_size", year=2005, direct_only=True, limit=50),
     "search_contacts": _analysis(A.search_contacts, "name", "contact_info", query="R#00000001"),
     "search_contacts_literal": _analysis(A.search_contacts, "name", "contact_info", query="_1"),
     "search_contacts_percent": _analysis(A.search_contacts, "name", "contact_info", query="%"),
@@ -379,6 +453,11 @@ _QUERIES: dict[str, Query] = {
     "ingest_incremental": _ingest_incremental,
     "ingest_idempotent": _ingest_idempotent,
     "ingest_stream": _ingest_stream,
+    "ingest_compacted": _ingest_compacted,
+    "ingest_migrated": _ingest_migrated,
+    "messages_of_days": _messages_of_days,
+    "data_files": _data_files,
+    "schema_gate": _schema_gate,
     "status": _status,
     "result_json": _result_json,
     "result_json_text": _result_json_text,
@@ -409,13 +488,11 @@ _QUERIES: dict[str, Query] = {
 
 def _llm():
     """The queries and SQL of the training-data subpackage, where it is installed."""
-    from importlib.util import find_spec
-
-    if find_spec("msgloom.llm") is None or find_spec("corpus_pipeline") is None:
+    try:
+        import corpus_pipeline
+        from msgloom.llm import queries as llm
+    except ImportError:
         return {}, {}
-    import corpus_pipeline
-    from msgloom.llm import queries as llm
-
     found, expected = {**llm.QUERIES, "pipeline": corpus_pipeline.run}, dict(llm.ORACLE)
     if corpus_pipeline.ORACLE_SQL:
         expected["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -10,4 +10,8 @@ class DatasetNotFound(FileNotFoundError):
 
 
 class SchemaMismatch(ValueError):
-    """The stored dataset was written with another schema: sync with force=True."""
+    """The stored dataset was written with another schema: migrate it, or sync with force=True."""
+
+
+class CommitConflict(RuntimeError):
+    """Another writer has committed to the dataset meanwhile; nothing of this one is seen."""

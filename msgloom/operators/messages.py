@@ -20,6 +20,7 @@ from msgloom.functions.keys import contact_key
 from msgloom.functions.labels import effect_label, reaction_label
 from msgloom.functions.links import link_domain
 from msgloom.functions.times import unix_seconds, utc_date
+from msgloom.operators.blocks import BLOCK, IdBlocks
 from msgloom.operators.chats import chat_members, first_chat, participants
 from msgloom.operators.contacts import one_name_per_key
 from msgloom.operators.salted import salted_left_join
@@ -41,7 +42,7 @@ def build_messages(
     since: int = 0,
     columns: Sequence[str] | None = None,
     normalize: bool = False,
-    block: int | None = None,
+    blocks: IdBlocks | None = None,
 ) -> DataFrame:
     """All messages above row id `since`, one row each, with the given columns.
 
@@ -50,15 +51,15 @@ def build_messages(
     on messages sent in a direct chat. Contact keys are matched as written, or in
     normalised spelling with `normalize`.
 
-    `block` is for writers of the full table: the shuffle by id then keeps each block of so
-    many neighbouring ids in one partition, ordered by id, under `placement_by_block`.
+    `blocks` is for writers of the full table: the shuffle then puts each block of ids into
+    one partition, ordered by id, under `placement_by_block`.
     """
     wanted = list(columns or MESSAGES.fieldNames())
     raw = rows_above(raw, since)
-    by = ["_block", "message_id"] if block else ["message_id"]
+    by = [BLOCK, "message_id"] if blocks else ["message_id"]
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.selectExpr("*", f"message_id div {block} AS _block").repartition("_block") if block else df
+        return blocks.place(df) if blocks else df
 
     rows = placed(_own_columns(raw.message))
     if _SENDER & set(wanted):
@@ -73,7 +74,7 @@ def build_messages(
     if _CHAT & set(wanted):
         with_members = bool(_MEMBERS & set(wanted))
         rows = rows.join(placed(_placement(raw, contacts, normalize, with_members, since)), by, "left")
-    if block:
+    if blocks:
         rows = rows.sortWithinPartitions(*by)
     return rows.selectExpr(*[f"{_DERIVED.get(name, name)} AS {name}" for name in wanted])
 

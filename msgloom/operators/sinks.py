@@ -7,23 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_load(messages: DataFrame, path: str, load: str, alone: bool = False, ordered: bool = False) -> None:
-    """Write one load of messages as its own partition `load=<name>`.
+def write_load(messages: DataFrame, path: str) -> None:
+    """Write one load of messages to a folder of its own, in the order in which rows come.
 
-    Only that partition is replaced, at job commit: repeating a load after a
-    failure never duplicates rows and never touches other loads. `alone` drops
-    whatever else lies at the path, such as the rest of an unfinished build. Rows are
-    sorted by id inside each file, unless they come `ordered`.
+    A load that fails leaves a folder that no commit names; a repeated one makes another.
     """
-    named = messages.withColumn("load", F.lit(load))
-    (
-        (named if ordered else named.sortWithinPartitions("message_id"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static" if alone else "dynamic")
-        .option("compression", "snappy")
-        .partitionBy("load")
-        .parquet(path)
-    )
+    messages.write.mode("errorifexists").option("compression", "snappy").parquet(path)
 
 
 def as_text(df: DataFrame) -> DataFrame:

@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgloom.errors import DatasetNotFound
+from msgloom.operators.blocks import IdBlocks, blocks_for, id_blocks
 from msgloom.operators.messages import build_messages
 from msgloom.operators.sinks import write_load
-from msgloom.schemas import INGEST_RUNS, SCHEMA_VERSION, RawTables
-from msgloom.session import one_row, path_bytes, placement_by_block, shuffle_partitions, size_shuffles
-from msgloom.sources.raw import high_watermark, read_raw, rows_above
-from msgloom.sources.stored import (
-    check_schema, generation_path, latest_run, read_generation, read_load, read_runs, runs_path,
+from msgloom.schemas import RawTables
+from msgloom.session import placement_by_block, shuffles_for
+from msgloom.sources.commits import (
+    append_commit, column_list, described_files, latest_commit, load_path, run_row, write_manifest,
 )
-
-#: Enough blocks to even out the partitions that hashing gives them to.
-BLOCKS_PER_PARTITION = 4
-MAX_BLOCK = 1 << 17
+from msgloom.sources.raw import read_raw
+from msgloom.sources.stored import check_schema
 
 
 def full_build(
     spark: SparkSession, raw: RawTables, contacts: DataFrame, dataset: str, normalize: bool = False
 ) -> DataFrame:
-    """Build a new generation from everything. The current one stays until the run is logged."""
-    run = current_run(spark, dataset)
-    generation = 1 if run is None else run["generation"] + 1
-    return load_above(spark, raw, contacts, dataset, generation, 0, "full", normalize)
+    """Build a new generation from everything. The current one stays until the commit."""
+    return load_above(spark, raw, contacts, dataset, latest_commit(spark, dataset), 0, "full", normalize)
 
 
 def refresh(
@@ -39,12 +33,11 @@ def refresh(
 
     Messages stored earlier keep their chat and names until a full build.
     """
-    run = current_run(spark, dataset)
-    if run is None:
+    commit = latest_commit(spark, dataset)
+    if commit is None:
         return full_build(spark, raw, contacts, dataset, normalize)
-    check_schema(spark, dataset, run)
-    since = stored_watermark(spark, dataset, run)
-    return load_above(spark, raw, contacts, dataset, run["generation"], since, "incremental", normalize)
+    check_schema(dataset, commit)
+    return load_above(spark, raw, contacts, dataset, commit, commit["last_message_id"], "incremental", normalize)
 
 
 def sync(
@@ -69,26 +62,8 @@ def sync_files(
     force: bool = False,
     normalize: bool = False,
 ) -> DataFrame:
-    """Sync from a folder of raw tables, with shuffles sized by what lies in it."""
-    raw = read_raw(spark, source, fmt)
-    size_shuffles(spark, path_bytes(spark, source).first()["size_bytes"])
-    return sync(spark, raw, contacts, dataset, force, normalize)
-
-
-def current_run(spark: SparkSession, dataset: str):
-    """The row of the run log readers follow, or None for a new dataset."""
-    try:
-        return latest_run(read_runs(spark, dataset)).first()
-    except DatasetNotFound:
-        return None
-
-
-def stored_watermark(spark: SparkSession, dataset: str, run) -> int:
-    """Largest stored row id. It is taken from the data, so a load that was written
-    but not logged counts; the logged one limits the scan to newer row groups."""
-    logged = run["last_message_id"]
-    newer = read_generation(spark, dataset, run["generation"]).where(F.col("message_id") > logged)
-    return high_watermark(newer, since=logged).first()["watermark"]
+    """Sync from a folder of raw tables."""
+    return sync(spark, read_raw(spark, source, fmt), contacts, dataset, force, normalize)
 
 
 def load_above(
@@ -96,55 +71,69 @@ def load_above(
     raw: RawTables,
     contacts: DataFrame,
     dataset: str,
-    generation: int,
+    base: dict | None,
     since: int,
     mode: str,
     normalize: bool = False,
-    load: str | None = None,
 ) -> DataFrame:
-    """Enrich and write the messages above `since` as one load, then log the run.
+    """Enrich and write the messages above `since` as one load, and commit it on top of `base`.
 
-    Files hold whole blocks of neighbouring ids, and so of neighbouring days.
+    Rows are placed by ranges of ids, one per file, as ids follow time: a filter on days or ids
+    then needs few files. A small load makes one file and is joined as Spark likes.
     """
-    path = generation_path(dataset, generation)
-    name = load or f"above-{since:019d}"
-    with placement_by_block(spark):
-        rows = build_messages(raw, contacts, since, normalize=normalize, block=id_block(spark, raw, since))
-        write_load(rows, path, name, alone=mode == "full", ordered=True)
-    return _log_run(spark, contacts, dataset, generation, since, mode, name)
+    new = raw.message.where(f"ROWID > {since} OR ROWID IS NULL").select("ROWID")
+    size = new.agg(F.count(F.lit(1)).alias("rows"), F.expr("count_if(ROWID IS NULL)").alias("nulls")).first()
+    if size["nulls"]:
+        raise ValueError(f"NULL in ROWID of {size['nulls']} messages: nothing was stored")
+    blocks = id_blocks(new, size["rows"], blocks_for(size["rows"], _parallelism(spark)))
+    run_id = uuid.uuid4().hex
+    generation = 1 if base is None else base["generation"] + (mode == "full")
+    if size["rows"]:
+        with placement_by_block(spark), shuffles_for(spark, size["rows"]):
+            if len(blocks) > 1:
+                rows = build_messages(raw, contacts, since, normalize=normalize, blocks=blocks)
+            else:
+                rows = build_messages(raw, contacts, since, normalize=normalize).repartition(1).sortWithinPartitions("message_id")
+            write_load(rows, load_path(dataset, generation, run_id))
+    known = contacts.agg(F.count_distinct("contact_key").alias("known")).first()["known"]
+    return commit_load(spark, dataset, base, generation, run_id, mode, since, size["rows"] > 0, contacts_resolved=known)
+
+
+def commit_load(
+    spark: SparkSession, dataset: str, base: dict | None, generation: int, run_id: str, mode: str, since: int,
+    written: bool, **fields,
+) -> DataFrame:
+    """Describe the files of a load and log it. Totals are the previous ones and those of the load."""
+    before = base if base is not None and mode not in _REPLACING else None
+    rows, last, manifests = 0, since, []
+    if written:
+        files = write_manifest(described_files(spark, load_path(dataset, generation, run_id)), dataset, run_id)
+        told = files.agg(F.sum("rows").alias("rows"), F.max("max_id").alias("last")).first()
+        rows, last, manifests = told["rows"], told["last"], [run_id]
+    commit = append_commit(
+        spark, dataset, base,
+        run_id=run_id,
+        generation=generation,
+        mode=mode,
+        since=since,
+        last_message_id=max(last, before["last_message_id"] if before else 0),
+        rows_written=rows,
+        total_messages=rows + (before["total_messages"] if before else 0),
+        columns=sorted({column_list(), *(before["columns"] if before else [])}),
+        manifests=(before["manifests"] if before else []) + manifests,
+        **fields,
+    )
+    return run_row(spark, commit)
 
 
-def id_block(spark: SparkSession, raw: RawTables, since: int) -> int:
-    """Ids in a block: a part of a shuffle partition's share of the span of ids, which one
-    row tells. Ids are unique, so the bound holds for rows wherever ids lie close."""
-    span = rows_above(raw, since).message.agg((F.max("ROWID") - F.min("ROWID")).alias("span")).first()["span"] or 0
-    return max(1, min(MAX_BLOCK, span // (BLOCKS_PER_PARTITION * shuffle_partitions(spark)) + 1))
+#: Loads that replace all that was there.
+_REPLACING = ("full", "migrated")
 
 
-def _log_run(
-    spark: SparkSession, contacts: DataFrame, dataset: str, generation: int, since: int, mode: str, load: str
-) -> DataFrame:
-    """Append the run to the log. Counts come from what is stored, not from the job; those of
-    the load from its own partition."""
-    stored = read_generation(spark, dataset, generation)
-    total = stored.agg(F.count(F.lit(1)).alias("total_messages"))
-    loaded = read_load(spark, dataset, generation, load).agg(
-        F.count(F.lit(1)).alias("rows_written"),
-        F.coalesce(F.max("message_id"), F.lit(since)).cast("long").alias("last_message_id"),
-    )
-    known = contacts.agg(F.count_distinct("contact_key").alias("contacts_resolved"))
-    run_id = uuid.uuid4().hex
-    row = one_row(total, loaded, known).select(
-        F.lit(run_id).alias("run_id"),
-        F.lit(generation).cast("long").alias("generation"),
-        F.lit(mode).alias("mode"),
-        F.lit(since).cast("long").alias("since"),
-        "last_message_id",
-        "rows_written",
-        "total_messages",
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
-        "contacts_resolved",
-        F.lit(dt.datetime.now(dt.timezone.utc)).alias("finished_at"),
-    )
-    row.select(*INGEST_RUNS.fieldNames()).write.mode("append").parquet(runs_path(dataset))
-    return read_runs(spark, dataset).where(F.col("run_id") == run_id)
+def _parallelism(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
+def placed_rows(rows: DataFrame, blocks: IdBlocks) -> DataFrame:
+    """Rows of the table in blocks of ids, in order."""
+    return blocks.place(rows).sortWithinPartitions("message_id").select(*rows.columns)

@@ -87,6 +87,17 @@ INGEST_RUNS = _struct(
     ("contacts_resolved", _LONG, False),
     ("finished_at", T.TimestampType(), False),
 )
+# One row per data file of the stored table: its path below the rows, and what lies in it.
+DATA_FILES = _struct(
+    ("path", _STR, False),
+    ("bytes", _LONG, False),
+    ("rows", _LONG, False),
+    ("min_id", _LONG, True),
+    ("max_id", _LONG, True),
+    ("min_date", T.DateType(), True),
+    ("max_date", T.DateType(), True),
+    ("max_timestamp", T.TimestampType(), True),
+)
 
 
 class RawTables(NamedTuple):

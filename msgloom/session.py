@@ -20,9 +20,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 _INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-# Compressed columns unfold about eightfold in a shuffle: some 128 MB per partition.
-_INPUT_BYTES_PER_PARTITION = 16 * 1024 * 1024
-_MAX_PARTITIONS = 200_000
+#: Message rows of a shuffle partition, some 100 to 200 MB.
+_ROWS_PER_PARTITION = 500_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -38,18 +37,24 @@ def path_bytes(spark: SparkSession, path: str) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("size_bytes"))
 
 
-def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
-    """Start shuffles with partitions that fit in memory, from the size of the input.
+@contextlib.contextmanager
+def shuffles_for(spark: SparkSession, rows: int):
+    """While this holds, shuffles start with partitions that fit in memory for so many messages.
 
-    Adaptive execution merges small partitions but never adds any, so at many
-    terabytes the default number would leave partitions too large for memory.
-    Only ever raises the setting.
+    Adaptive execution merges small partitions but never adds any, so at many terabytes the
+    default number would leave partitions too large for memory. Only ever raises the number.
     """
-    current = shuffle_partitions(spark)
-    wanted = min(-(-input_bytes // _INPUT_BYTES_PER_PARTITION), _MAX_PARTITIONS)
-    if wanted > current:
+    before = spark.conf.get(_INITIAL_PARTITIONS, None)
+    wanted = -(-rows // _ROWS_PER_PARTITION)
+    if wanted > shuffle_partitions(spark):
         spark.conf.set(_INITIAL_PARTITIONS, str(wanted))
-    return max(wanted, current)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_INITIAL_PARTITIONS)
+        else:
+            spark.conf.set(_INITIAL_PARTITIONS, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

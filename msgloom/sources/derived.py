@@ -136,3 +136,29 @@ def address_book_from_customers(customer: DataFrame) -> DataFrame:
              concat(' +1-800-', c_nationkey)) AS phones""",
         "array(concat('User_', c_custkey, '@Example.COM')) AS emails",
     )
+
+
+#: Days between an order and the message made of it, so that all are after 2001.
+ORDER_SHIFT = 3653
+
+
+def raw_from_orders(orders: DataFrame) -> RawTables:
+    """A message per order, over several years, in a direct chat with its customer; every fifth
+    answers the customer's order."""
+    base = orders.selectExpr(
+        "o_orderkey", "o_custkey + 1 AS handle", "o_orderpriority",
+        f"(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01', CAST(o_orderdate AS TIMESTAMP_NTZ)) + {ORDER_SHIFT * 86400} - {EPOCH_2001}) AS sec",
+    )
+    message = base.selectExpr(
+        "o_orderkey + 1 AS ROWID", "concat('order ', o_orderpriority) AS text", "CAST(NULL AS BINARY) AS attributedBody",
+        "handle AS handle_id", "if(o_orderkey % 5 = 0, 1L, 0L) AS is_from_me", "sec * 1000000000L AS date",
+        "0L AS associated_message_type", "CAST(NULL AS STRING) AS expressive_send_style_id",
+        "CAST(NULL AS STRING) AS thread_originator_guid", "CAST(NULL AS STRING) AS balloon_bundle_id", "0L AS is_audio_message",
+    )
+    handles = base.select("handle").distinct()
+    return RawTables(
+        message=message,
+        handle=handles.selectExpr("handle AS ROWID", f"{handle_key('(handle - 1)')} AS id"),
+        chat_message_join=base.selectExpr("handle AS chat_id", "o_orderkey + 1 AS message_id"),
+        chat_handle_join=handles.selectExpr("handle AS chat_id", "handle AS handle_id"),
+    )

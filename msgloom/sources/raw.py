@@ -74,7 +74,7 @@ def read_raw_jdbc(
     spark: SparkSession, url: str, lower: int, upper: int, partitions: int, since: int = 0, **options
 ) -> RawTables:
     """Read the same tables from a database, `message` and its chat links in parallel
-    slices of the row id. `options` name the driver class, user and so on."""
+    slices of the row id. NULL ids are an error as in files. `options` name the driver class, user and so on."""
     reader = spark.read.format("jdbc").option("url", url).options(**options)
     sliced = reader.options(lowerBound=lower, upperBound=upper, numPartitions=partitions)
     tables = {
@@ -87,7 +87,8 @@ def read_raw_jdbc(
         name: tables[name].select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
         for name, schema in RAW.items()
     }
-    return rows_above(RawTables(**typed), since)
+    checked = {name: _with_ids(table, RAW[name], "jdbc") for name, table in typed.items()}
+    return rows_above(RawTables(**checked), since)
 
 
 def rows_above(raw: RawTables, since: int) -> RawTables:

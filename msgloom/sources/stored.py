@@ -1,97 +1,100 @@
-"""The stored dataset: `messages/generation=<n>/load=<name>/` and `ingest_runs/`.
-
-A full build writes a new generation; later loads add partitions to it. The run
-log names the generation readers use, so a full rebuild that fails half way
-leaves the current one in place.
-"""
+"""Reading the stored dataset: its rows, its files, its columns and its status."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from msgloom.errors import DatasetNotFound, SchemaMismatch
-from msgloom.schemas import INGEST_RUNS, MESSAGES, SCHEMA_VERSION
-from msgloom.session import is_missing_path, one_row, path_bytes
+from msgloom.errors import SchemaMismatch
+from msgloom.schemas import MESSAGES, SCHEMA_VERSION
+from msgloom.session import one_row, path_bytes
+from msgloom.sources.commits import (
+    ROWS, column_list, current_commit, live_files, needed_files, read_files, read_runs, run_row, within,
+)
 
-_STORED = T.StructType([*MESSAGES.fields, T.StructField("load", T.StringType(), True)])
+__all__ = ["check_schema", "data_files", "read_messages", "read_runs", "schema_gate", "status"]
 
 # Units of the size text.
 KB, MB = 1024, 1024 * 1024
 
 
-def generation_path(dataset: str, generation: int) -> str:
-    return f"{dataset}/messages/generation={generation:05d}"
-
-
-def runs_path(dataset: str) -> str:
-    return f"{dataset}/ingest_runs"
-
-
-def read_runs(spark: SparkSession, dataset: str) -> DataFrame:
-    """The run log, one row per committed load."""
-    try:
-        return spark.read.schema(INGEST_RUNS).parquet(runs_path(dataset))
-    except AnalysisException as error:
-        if is_missing_path(error):
-            raise DatasetNotFound(f"no dataset at {dataset}: sync it first") from error
-        raise
-
+def read_messages(
+    spark: SparkSession, dataset: str, start: dt.date | None = None, end: dt.date | None = None,
+    first_id: int | None = None, last_id: int | None = None,
+) -> DataFrame:
+    """The current `messages` table, or its rows of some days or ids, all bounds included.
 
-def latest_run(runs: DataFrame) -> DataFrame:
-    """The one row readers follow."""
-    newest = F.struct("generation", "last_message_id", "finished_at")
-    return runs.agg(F.max_by(F.struct(*INGEST_RUNS.fieldNames()), newest).alias("run")).select("run.*")
+    Only files whose ranges meet the bounds are listed, and rows are filtered inside them.
+    A dataset of another schema is refused.
+    """
+    commit = current_commit(spark, dataset)
+    check_schema(dataset, commit)
+    rows = read_files(spark, needed_files(spark, dataset, commit, (start, end), (first_id, last_id)))
+    for test in (within("date", "date", start, end), within("message_id", "message_id", first_id, last_id)):
+        rows = rows if test is None else rows.where(test)
+    return rows
 
 
-def read_generation(spark: SparkSession, dataset: str, generation: int) -> DataFrame:
-    """Stored rows of one generation, with the fixed schema."""
-    stored = spark.read.schema(_STORED).parquet(generation_path(dataset, generation))
-    return stored.select(*MESSAGES.fieldNames())
+def data_files(spark: SparkSession, dataset: str) -> DataFrame:
+    """The files of the current table, with their rows, bytes, and ranges of ids and days."""
+    return live_files(spark, dataset, current_commit(spark, dataset))
 
 
-def read_load(spark: SparkSession, dataset: str, generation: int, load: str) -> DataFrame:
-    """Stored rows of one load: its partition alone is listed and read."""
-    stored = spark.read.schema(_STORED).parquet(generation_path(dataset, generation))
-    return stored.where(F.col("load") == load).select(*MESSAGES.fieldNames())
-
+def check_schema(dataset: str, commit: dict) -> None:
+    """Refuse a dataset of another schema, for readers and for writers that add to it. The commit
+    names the columns of every load in it, so no file is opened."""
+    if commit["schema_version"] != SCHEMA_VERSION:
+        raise SchemaMismatch(
+            f"{dataset} has schema version {commit['schema_version']}, expected {SCHEMA_VERSION}: "
+            "migrate it, or sync with force=True"
+        )
+    if any(columns != column_list() for columns in commit["columns"]):
+        raise SchemaMismatch(f"{dataset} holds other columns than expected: migrate it, or sync with force=True")
 
-def read_messages(spark: SparkSession, dataset: str) -> DataFrame:
-    """The current `messages` table. A dataset of another schema is refused."""
-    # One row of the run log: the generation to follow.
-    run = latest_run(read_runs(spark, dataset)).first()
-    check_schema(spark, dataset, run)
-    return read_generation(spark, dataset, run["generation"])
 
+def schema_gate(spark: SparkSession, dataset: str) -> DataFrame:
+    """What the gate looks at, from the files themselves: one row per load of the current table
+    with its files and rows, the columns it lacks or has beyond the expected ones, those of another
+    type, and whether readers accept it.
 
-def check_schema(spark: SparkSession, dataset: str, run) -> None:
-    """Refuse a dataset of another schema, for readers and for writers that add to it."""
-    if run["schema_version"] != SCHEMA_VERSION:
-        raise SchemaMismatch(
-            f"dataset has schema version {run['schema_version']}, expected {SCHEMA_VERSION}: sync with force=True"
-        )
-    if run["total_messages"] == 0:
-        return
-    written = spark.read.parquet(generation_path(dataset, run["generation"])).schema
-    found = {f.name: f.dataType for f in written.fields if f.name != "load"}
+    One footer per load is opened: a load is written by one job, so its files agree.
+    """
+    commit = current_commit(spark, dataset)
+    files = live_files(spark, dataset, commit).withColumn("load", F.regexp_extract("path", "load=([^/]*)", 1))
+    loads = files.groupBy("load").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.min("path").alias("path"))
     expected = {f.name: f.dataType for f in MESSAGES.fields}
-    if found != expected:
-        raise SchemaMismatch("stored columns differ from the expected ones: sync with force=True")
+    rows = []
+    for load in loads.collect():  # as many as there are loads, which `compact` keeps few
+        found = {f.name: f.dataType for f in spark.read.parquet(f"{dataset}/{ROWS}/{load['path']}").schema.fields}
+        missing, extra = sorted(expected.keys() - found.keys()), sorted(found.keys() - expected.keys())
+        other = sorted(c for c in expected.keys() & found.keys() if expected[c] != found[c])
+        version = commit["schema_version"]
+        accepted = not (missing or extra or other) and version == SCHEMA_VERSION
+        rows.append((load["load"], load["files"], load["rows"], version, ",".join(missing), ",".join(extra), ",".join(other), accepted))
+    return spark.createDataFrame(
+        rows,
+        "load string, files long, rows long, schema_version int, missing_columns string, extra_columns string, "
+        "other_types string, accepted boolean",
+    )
 
 
 def status(spark: SparkSession, dataset: str) -> DataFrame:
     """One row about the dataset: rows, last sync, size, schema, contacts. `size_bytes` is what
-    readers read, `superseded_bytes` what older generations still take."""
-    run = latest_run(read_runs(spark, dataset))
-    current = generation_path(dataset, run.first()["generation"])
-    stored = read_messages(spark, dataset).agg(
-        F.count(F.lit(1)).alias("total_messages"), F.max("timestamp").alias("last_message_at")
+    readers read, `superseded_bytes` what older or unfinished loads still take. The log and the
+    manifests answer; no data file is opened."""
+    commit = current_commit(spark, dataset)
+    check_schema(dataset, commit)
+    files = live_files(spark, dataset, commit).agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("size_bytes"), F.max("max_timestamp").alias("last_message_at")
     )
-    size = path_bytes(spark, current)
-    every = path_bytes(spark, f"{dataset}/messages").withColumnRenamed("size_bytes", "every_byte")
-    row = one_row(run.drop("total_messages"), stored, size, every)
+    row = run_row(spark, commit)
+    if commit["manifests"]:
+        every = path_bytes(spark, f"{dataset}/{ROWS}").withColumnRenamed("size_bytes", "every_byte")
+    else:
+        every = spark.createDataFrame([(0,)], "every_byte long")
+    row = one_row(row, files, every)
     warning = F.when(F.col("contacts_resolved") == 0, F.lit("contact names were not resolved"))
     return row.select(
         "total_messages",

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from msgloom.plans.ingest import current_run, load_above
+from msgloom.plans.ingest import load_above
 from msgloom.schemas import MESSAGE, RawTables
+from msgloom.sources.commits import latest_commit, needed_files, read_files
 from msgloom.sources.stored import check_schema
 
 
@@ -23,30 +24,35 @@ def start_ingest(
 ) -> StreamingQuery:
     """Process the message files that arrived since the last run, then stop.
 
-    Each micro-batch is enriched like a batch load. Handles, chats and contacts are
-    the static tables of `statics`, whose `message` is not used. Nothing is kept in
-    state: a load is named after its batch, so a batch that is repeated after a
-    failure replaces itself. Use either this or `sync` for a dataset, not both.
+    Each micro-batch is enriched like a batch load and committed as one. Handles, chats and
+    contacts are the static tables of `statics`, whose `message` is not used. Nothing is kept in
+    state: messages of a batch that are stored already, as when a batch is repeated after a failure
+    or another checkpoint, are left out by their ids, which are looked up in the files whose
+    ranges meet the batch, mostly none. A NULL id is an error that stores nothing of its batch.
     """
-    run = current_run(spark, dataset)
-    if run is not None:
-        check_schema(spark, dataset, run)
+    commit = latest_commit(spark, dataset)
+    if commit is not None:
+        check_schema(dataset, commit)
     stream = (
         spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", files_per_batch).parquet(message_path)
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        run = current_run(session, dataset)
-        generation = 1 if run is None else run["generation"]
+        commit = latest_commit(session, dataset)
         # Chat links are read from the smallest id of the batch on; one row.
-        lowest = batch.agg(F.min("ROWID").alias("low")).first()["low"]
-        if lowest is None:
+        ids = batch.agg(F.min("ROWID").alias("low"), F.max("ROWID").alias("high"), F.expr("count_if(ROWID IS NULL)").alias("nulls")).first()
+        if ids["nulls"]:
+            raise ValueError(f"NULL in ROWID of {ids['nulls']} messages of batch {batch_id}: nothing of it was stored")
+        if ids["low"] is None:
             return
-        load_above(
-            session, statics._replace(message=batch), contacts, dataset, generation, lowest - 1, "stream",
-            normalize, load=f"batch-{batch_id:019d}",
-        )
+        known = needed_files(session, dataset, commit, ids=(ids["low"], ids["high"])) if commit else []
+        if known:
+            stored = read_files(session, known).select("message_id").where(F.col("message_id").between(ids["low"], ids["high"]))
+            batch = batch.join(stored, F.col("ROWID") == F.col("message_id"), "left_anti")
+            if batch.isEmpty():
+                return
+        load_above(session, statics._replace(message=batch), contacts, dataset, commit, ids["low"] - 1, "stream", normalize)
 
     return (
         stream.writeStream.foreachBatch(load)

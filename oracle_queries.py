@@ -421,4 +421,44 @@ ORACLE |= {
     "raw_files_json": ORACLE["messages_full"],
     "contact_overrides_file": ORACLE["contact_map"],
     "ingest_forced": ORACLE["ingest_idempotent"],
+    "ingest_compacted": _FULL,
+    "ingest_migrated": _FULL,
+    "messages_of_days": _m(
+        """SELECT message_id, date, body_text, name FROM messages
+        WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'"""
+    ),
+    "data_files": _m(
+        """SELECT COUNT(*) AS messages, MIN(message_id) AS first_id, MAX(message_id) AS last_id,
+        CAST(MIN(date) AS VARCHAR) AS first_date, CAST(MAX(date) AS VARCHAR) AS last_date, CAST(0 AS BIGINT) AS overlapping
+        FROM messages"""
+    ),
+    "schema_gate": _m(
+        """, h AS (SELECT MAX(message_id) // 2 AS half FROM messages)
+        SELECT COUNT(*) AS rows, CAST(2 AS BIGINT) AS schema_version, '' AS missing_columns, '' AS extra_columns,
+          '' AS other_types, true AS accepted FROM messages, h GROUP BY message_id <= half"""
+    ),
+}
+
+# Messages made of orders, a few years later.
+_ORDERS = f"""WITH m AS (SELECT CAST(o_orderdate AS DATE) + 3653 AS date, o_orderkey % 5 = 0 AS sent,
+    coalesce(c.name, k) AS name FROM (SELECT *, {_KEY.format(u='o_custkey')} AS k FROM orders) LEFT JOIN
+    (SELECT {_KEY.format(u='c_custkey')} AS k, c_name AS name FROM customer WHERE c_mktsegment <> 'MACHINERY') c USING (k)),
+  d AS (SELECT date, COUNT(*) AS messages FROM m GROUP BY date)
+"""
+_MEAN = "AVG(messages) OVER (ORDER BY date ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS rolling_avg"
+
+ORACLE |= {
+    "seasonality_month_years": _ORDERS + "SELECT month(date) AS month, COUNT(*) AS messages FROM m GROUP BY ALL",
+    "seasonality_month_years_split": _ORDERS
+    + "SELECT month(date) AS month, COUNT(*) FILTER (sent) AS sent, COUNT(*) FILTER (NOT sent) AS received FROM m GROUP BY ALL",
+    "seasonality_dow_years": _ORDERS
+    + f"SELECT dayofweek(date) AS dow_number, {_DOW} AS day_of_week, COUNT(*) AS messages FROM m WHERE NOT sent GROUP BY ALL",
+    "time_series_years": _ORDERS
+    + f"""SELECT CAST(date AS VARCHAR) AS date, messages, {_MEAN} FROM (SELECT CAST(x.date AS DATE) AS date, coalesce(messages, 0) AS messages
+        FROM (SELECT unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS date FROM d) x
+        LEFT JOIN d ON d.date = CAST(x.date AS DATE))""",
+    "time_series_display_years": _ORDERS
+    + f"SELECT CAST(date AS VARCHAR) AS date, messages, {_MEAN} FROM d ORDER BY d.date LIMIT 200",
+    "top_contacts_years": _ORDERS
+    + "SELECT name, COUNT(*) AS message_count FROM m WHERE year(date) = 2005 GROUP BY name ORDER BY message_count DESC, name LIMIT 50",
 }

@@ -4,13 +4,13 @@ import pytest
 from conftest import contact_table, message, raw_tables
 from pyspark.sql import functions as F
 
-from msgloom.errors import DatasetNotFound, SchemaMismatch, SourceNotFound
+from msgloom.errors import CommitConflict, DatasetNotFound, SchemaMismatch, SourceNotFound
 from msgloom.operators import sinks
 from msgloom.operators.messages import build_messages
 from msgloom.plans import ingest
 from msgloom.schemas import MESSAGES
 from msgloom.session import scratch_dir
-from msgloom.sources import stored
+from msgloom.sources import commits, stored
 from msgloom.sources.raw import read_raw
 from msgloom.streaming.ingest import start_ingest
 
@@ -60,31 +60,76 @@ def test_force_rebuilds_with_new_names(spark, small_raw, small_contacts, dataset
     assert (run["generation"], run["total_messages"], run["contacts_resolved"]) == (2, 10, 1)
 
 
-def test_a_load_written_but_not_logged_is_not_repeated(spark, small_raw, small_contacts, dataset, expected):
+def write_load(spark, rows, dataset, base, **changes):
+    """A load committed as another version of the code would have left it."""
+    run_id = changes.get("run_id", f"load-{(base or {'version': 0})['version']}")
+    sinks.write_load(rows, commits.load_path(dataset, 1, run_id))
+    described = commits.described_files(spark, commits.load_path(dataset, 1, run_id))
+    commits.write_manifest(described, dataset, run_id)
+    fields = {
+        "run_id": run_id, "generation": 1, "mode": "full", "since": 0, "last_message_id": 10, "rows_written": rows.count(),
+        "total_messages": rows.count(), "columns": [commits.column_list()], "contacts_resolved": 1, "manifests": [run_id],
+    }
+    return commits.append_commit(spark, dataset, base, **{**fields, **changes})
+
+
+def test_a_load_written_but_not_committed_is_not_seen(spark, small_raw, small_contacts, dataset, expected):
     ingest.sync(spark, upto(small_raw, 4), small_contacts, dataset)
-    path = stored.generation_path(dataset, 1)
-    sinks.write_load(build_messages(upto(small_raw, 8), small_contacts, since=4), path, f"above-{4:019d}")
+    left = build_messages(upto(small_raw, 8), small_contacts, since=4)
+    sinks.write_load(left, commits.load_path(dataset, 1, "left-over"))
+    assert content(stored.read_messages(spark, dataset)) == expected[:4]
     run = ingest.sync(spark, small_raw, small_contacts, dataset).first()
-    assert (run["since"], run["rows_written"], run["total_messages"]) == (8, 2, 10)
+    assert (run["since"], run["rows_written"], run["total_messages"]) == (4, 6, 10)
+    assert content(stored.read_messages(spark, dataset)) == expected
+
+
+def test_of_two_writers_one_wins(spark, small_raw, small_contacts, dataset, expected):
+    ingest.sync(spark, upto(small_raw, 4), small_contacts, dataset)
+    base = commits.latest_commit(spark, dataset)
+    ingest.load_above(spark, small_raw, small_contacts, dataset, base, 4, "incremental")
+    with pytest.raises(CommitConflict):
+        ingest.load_above(spark, small_raw, small_contacts, dataset, base, 4, "stream")
     assert content(stored.read_messages(spark, dataset)) == expected
+    assert [r["total_messages"] for r in stored.read_runs(spark, dataset).orderBy("finished_at").collect()] == [4, 10]
+    # The loser runs again, on what the winner left.
+    assert ingest.sync(spark, small_raw, small_contacts, dataset).first()["rows_written"] == 0
 
 
-def test_a_repeated_load_replaces_itself(spark, small_raw, small_contacts, dataset, expected):
-    for _ in range(2):
-        ingest.load_above(spark, small_raw, small_contacts, dataset, 1, 0, "full")
+def test_two_first_writers(spark, small_raw, small_contacts, dataset, expected):
+    ingest.load_above(spark, small_raw, small_contacts, dataset, None, 0, "full")
+    with pytest.raises(CommitConflict):
+        ingest.load_above(spark, small_raw, small_contacts, dataset, None, 0, "full")
     assert content(stored.read_messages(spark, dataset)) == expected
 
 
+def test_no_load_lists_or_opens_the_others(spark, small_raw, small_contacts, dataset):
+    """Totals are carried: a load works though the rows of the one before cannot be read."""
+    ingest.sync(spark, upto(small_raw, 4), small_contacts, dataset)
+    first = commits.latest_commit(spark, dataset)
+    from msgloom.sources.paths import Folder
+
+    Folder(spark, commits.load_path(dataset, 1, first["run_id"])).delete()
+    run = ingest.sync(spark, small_raw, small_contacts, dataset).first()
+    assert (run["rows_written"], run["total_messages"]) == (6, 10)
+
+
 def test_an_unfinished_rebuild_is_not_seen(spark, small_raw, small_contacts, dataset, expected):
     ingest.sync(spark, small_raw, small_contacts, dataset)
-    half = build_messages(upto(small_raw, 5), small_contacts)
-    for load in (f"above-{0:019d}", "left-over"):
-        sinks.write_load(half, stored.generation_path(dataset, 2), load)
+    sinks.write_load(build_messages(upto(small_raw, 5), small_contacts), commits.load_path(dataset, 2, "left-over"))
     assert content(stored.read_messages(spark, dataset)) == expected
     ingest.sync(spark, small_raw, small_contacts, dataset, force=True)
     assert content(stored.read_messages(spark, dataset)) == expected
 
 
+def test_null_ids_store_nothing(spark, small_raw, small_contacts, dataset):
+    nameless = small_raw.message.where("ROWID > 8").withColumn("ROWID", F.lit(None).cast("long"))
+    raw = small_raw._replace(message=small_raw.message.unionByName(nameless))
+    with pytest.raises(ValueError, match="NULL in ROWID of 2"):
+        ingest.sync(spark, raw, small_contacts, dataset)
+    with pytest.raises(DatasetNotFound):
+        stored.read_messages(spark, dataset)
+
+
 def test_an_empty_source(spark, dataset, small_contacts):
     empty = raw_tables(spark, [], [], [], [])
     run = ingest.sync(spark, empty, small_contacts, dataset).first()
@@ -102,22 +147,25 @@ def test_missing_things_are_named(spark, tmp_path, dataset):
 
 
 def test_another_schema_is_refused(spark, small_raw, small_contacts, dataset):
-    ingest.sync(spark, small_raw, small_contacts, dataset)
-    runs = stored.read_runs(spark, dataset)
-    older = runs.withColumn("schema_version", F.lit(1)).withColumn("generation", F.lit(2).cast("long"))
-    older.write.mode("append").parquet(stored.runs_path(dataset))
+    write_load(spark, build_messages(small_raw, small_contacts), dataset, None, schema_version=1)
     with pytest.raises(SchemaMismatch):
         stored.read_messages(spark, dataset)
+    assert [r["accepted"] for r in stored.schema_gate(spark, dataset).collect()] == [False]
 
 
-def test_other_columns_are_refused(spark, small_raw, small_contacts, dataset):
-    ingest.sync(spark, small_raw, small_contacts, dataset)
-    run = stored.read_runs(spark, dataset).withColumn("generation", F.lit(2).cast("long"))
-    built = build_messages(small_raw, small_contacts).drop("name")
-    sinks.write_load(built, stored.generation_path(dataset, 2), "x")
-    run.write.mode("append").parquet(stored.runs_path(dataset))
+def test_mixed_columns_are_refused(spark, small_raw, small_contacts, dataset):
+    built = build_messages(small_raw, small_contacts)
+    base = write_load(spark, built, dataset, None)
+    fewer = built.drop("name").withColumn("chat_size", F.col("chat_size").cast("int")).withColumn("mood", F.lit(1))
+    told = sorted([commits.column_list(), fewer.schema.simpleString()])
+    write_load(spark, fewer, dataset, base, columns=told, manifests=["load-0", "load-1"])
     with pytest.raises(SchemaMismatch):
         stored.read_messages(spark, dataset)
+    with pytest.raises(SchemaMismatch):
+        ingest.refresh(spark, small_raw, small_contacts, dataset)
+    gate = {r["load"]: r for r in stored.schema_gate(spark, dataset).collect()}
+    assert gate["load-0"]["accepted"] and not gate["load-1"]["accepted"]
+    assert [gate["load-1"][c] for c in ("missing_columns", "extra_columns", "other_types")] == ["name", "mood", "chat_size"]
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
@@ -165,7 +213,7 @@ def test_stream(spark, small_raw, small_contacts, dataset, expected, tmp_path):
     assert [(r["mode"], r["total_messages"]) for r in modes] == [("stream", 6), ("stream", 10)]
 
 
-def test_a_repeated_stream_batch_replaces_itself(spark, small_raw, small_contacts, dataset, expected, tmp_path):
+def test_a_repeated_stream_batch_adds_nothing(spark, small_raw, small_contacts, dataset, expected, tmp_path):
     landing = str(tmp_path / "landing")
     small_raw.message.write.parquet(landing)
     # Two fresh checkpoints: batch 0 runs twice, as after a failure before the commit.
@@ -236,15 +284,12 @@ def test_columnar_files_without_ids_are_errors(spark, small_raw, tmp_path):
 
 
 def test_an_older_schema_is_not_written_to(spark, small_raw, small_contacts, dataset, tmp_path):
-    ingest.sync(spark, upto(small_raw, 5), small_contacts, dataset)
-    older = stored.read_runs(spark, dataset).withColumn("schema_version", F.lit(1)).withColumn("last_message_id", F.lit(6).cast("long"))
-    older.write.mode("append").parquet(stored.runs_path(dataset))
-    before = stored.read_runs(spark, dataset).count()
+    write_load(spark, build_messages(upto(small_raw, 5), small_contacts), dataset, None, schema_version=1)
     with pytest.raises(SchemaMismatch):
         ingest.refresh(spark, small_raw, small_contacts, dataset)
     with pytest.raises(SchemaMismatch):
         start_ingest(spark, str(tmp_path), small_raw, small_contacts, dataset, str(tmp_path / "c"))
-    assert stored.read_runs(spark, dataset).count() == before
+    assert stored.read_runs(spark, dataset).count() == 1
     ingest.sync(spark, small_raw, small_contacts, dataset, force=True)
     assert stored.read_messages(spark, dataset).count() == 10
 
@@ -265,3 +310,25 @@ def test_status_counts_the_current_generation(spark, small_raw, small_contacts,
     second = stored.status(spark, dataset).first()
     assert abs(second["size_bytes"] - first["size_bytes"]) < 0.1 * first["size_bytes"]
     assert first["superseded_bytes"] == 0 < second["superseded_bytes"]
+
+
+def test_a_stream_with_null_ids_stores_nothing_of_the_batch(spark, small_raw, small_contacts, dataset, tmp_path):
+    landing = str(tmp_path / "landing")
+    small_raw.message.where("ROWID <= 6").write.parquet(landing)
+    start_ingest(spark, landing, small_raw, small_contacts, dataset, str(tmp_path / "c")).awaitTermination()
+    rows = small_raw.message.where("ROWID > 6").withColumn("ROWID", F.expr("if(ROWID = 8, NULL, ROWID)"))
+    rows.write.mode("append").parquet(landing)
+    with pytest.raises(Exception, match="NULL in ROWID"):
+        start_ingest(spark, landing, small_raw, small_contacts, dataset, str(tmp_path / "c")).awaitTermination()
+    assert stored.read_messages(spark, dataset).count() == 6
+
+
+def test_a_stream_and_a_sync_share_a_dataset(spark, small_raw, small_contacts, dataset, expected, tmp_path):
+    ingest.sync(spark, upto(small_raw, 6), small_contacts, dataset)
+    small_raw.message.where("ROWID > 3").write.parquet(str(tmp_path / "landing"))
+    for checkpoint in ("a", "b"):
+        start_ingest(
+            spark, str(tmp_path / "landing"), small_raw, small_contacts, dataset, str(tmp_path / checkpoint)
+        ).awaitTermination()
+    assert content(stored.read_messages(spark, dataset)) == expected
+    assert [r["rows_written"] for r in stored.read_runs(spark, dataset).orderBy("finished_at").collect()] == [6, 4]

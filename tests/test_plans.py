@@ -10,8 +10,9 @@ from msgloom.operators.messages import build_messages
 from msgloom.plans import analyses as A
 from msgloom.plans import conversations as K
 from msgloom.plans import ingest
-from msgloom.session import placement_by_block, scratch_dir, size_shuffles
-from msgloom.sources import stored
+from msgloom.operators.blocks import IdBlocks, blocks_for, id_blocks
+from msgloom.session import placement_by_block, scratch_dir, shuffle_partitions, shuffles_for
+from msgloom.sources import commits, stored
 from msgloom.sources.raw import read_raw
 
 
@@ -75,11 +76,11 @@ def test_message_rows_are_shuffled_once_without_the_blob(spark, files, small_con
     assert before and all("attributedBody" not in block for block in before)
 
 
-def test_stored_files_hold_blocks_of_ids(spark, small_raw, small_contacts):
-    """Without broadcasts: one shuffle with texts, none for the write, and files cut by id."""
-    rows, parts = 16_000, 16
+def many_messages(spark, small_raw, rows):
+    """A message an hour, with a gap and an outlier in the ids."""
     message = spark.range(1, rows + 1, 1, 6).select(
-        F.col("id").alias("ROWID"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+        F.expr(f"CASE WHEN id = {rows} THEN 1L << 60 WHEN id > {rows // 2} THEN id + 5000000 ELSE id END").alias("ROWID"),
+        F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
         F.lit(None).cast("binary").alias("attributedBody"), (F.col("id") % 3).alias("handle_id"),
         F.lit(0).cast("long").alias("is_from_me"), (F.col("id") * 3600).alias("date"),
         F.lit(0).cast("long").alias("associated_message_type"),
@@ -87,38 +88,70 @@ def test_stored_files_hold_blocks_of_ids(spark, small_raw, small_contacts):
           ("expressive_send_style_id", "thread_originator_guid", "balloon_bundle_id")],
         F.lit(0).cast("long").alias("is_audio_message"),
     )
-    raw = small_raw._replace(message=message)
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.adaptive.coalescePartitions.enabled": "false",
-    }
+    return small_raw._replace(message=message)
+
+
+@pytest.fixture()
+def without_broadcasts(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {key: spark.conf.get(key) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
-    try:
-        block = ingest.id_block(spark, raw, 0)
-        assert block == rows // (4 * parts)
-        with placement_by_block(spark):
-            plan = plan_of(build_messages(raw, small_contacts, block=block), "simple")
-        # Messages, their senders' ids and chat links; by id alone only the first chats are found.
-        assert plan.count("Exchange hashpartitioning(_block") == 3
-        assert plan.count("hashpartitioning(message_id") == plan.count("partial_min(chat_id") == 1
-        assert "Sort [_block" in plan and plan.index("SortMergeJoin [_block") < plan.index("Sort [_block")
-        path = scratch_dir(spark, "blocks")
-        ingest.sync(spark, raw, small_contacts, path)
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
-    table = stored.read_messages(spark, path)
-    files = table.select("message_id", "date", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    assert files.select(F.expr(f"message_id div {block}").alias("b"), "file").distinct().count() == rows // block + 1
-    held = files.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "message_id"))).alias("own")).collect()
-    assert len(held) > parts // 2
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_stored_files_hold_ranges_of_ids(spark, small_raw, small_contacts, without_broadcasts, monkeypatch):
+    """One shuffle with texts, none for the write, files of disjoint ids, and few files for a week."""
+    rows, size = 33_000, 1_000
+    monkeypatch.setattr("msgloom.operators.blocks.ROWS_PER_FILE", size)
+    raw = many_messages(spark, small_raw, rows)
+    blocks = id_blocks(raw.message.select("ROWID"), rows, blocks_for(rows, 4))
+    assert len(blocks) == 33
+    with placement_by_block(spark):
+        plan = plan_of(build_messages(raw, small_contacts, blocks=blocks), "simple")
+    # Messages, their senders' ids and chat links; by id alone only the first chats are found.
+    assert plan.count("Exchange shufflepartitionidpassthrough") == 3
+    assert plan.count("hashpartitioning(message_id") == plan.count("partial_min(chat_id") == 1
+    assert "SortMergeJoin [_block" in plan and "Exchange rangepartitioning" not in plan
+    path = scratch_dir(spark, "blocks")
+    ingest.sync(spark, raw, small_contacts, path)
+    files = stored.data_files(spark, path).orderBy("min_id").collect()
+    assert len(files) == 33 and sum(f["rows"] for f in files) == rows and max(f["rows"] for f in files) < 2 * size
+    assert all(a["max_id"] < b["min_id"] and a["max_date"] <= b["min_date"] for a, b in zip(files, files[1:]))
+    week = stored.read_messages(spark, path, start=dt.date(2001, 6, 4), end=dt.date(2001, 6, 10))
+    assert week.count() == 7 * 24 and len(week.inputFiles()) <= 2
+    assert "GreaterThanOrEqual(date,2001-06-04)" in plan_of(week)
+    some = stored.read_messages(spark, path, first_id=100, last_id=1200)
+    assert some.count() == 1101 and len(some.inputFiles()) <= 3
+    assert stored.read_messages(spark, path, start=dt.date(1999, 1, 1), end=dt.date(1999, 2, 1)).count() == 0
+    ids = stored.read_messages(spark, path).select("message_id", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    held = ids.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "message_id"))).alias("own")).collect()
     for row in held:
-        ids = [own["message_id"] for own in row["own"]]
-        assert ids == sorted(ids)
-    week = files.where("date BETWEEN '2001-06-04' AND '2001-06-10'")
-    assert week.count() == 7 * 24 and week.select("file").distinct().count() <= 2
+        assert [o["message_id"] for o in row["own"]] == sorted(o["message_id"] for o in row["own"])
+
+
+def test_blocks_of_ids(spark):
+    assert [blocks_for(n, 8) for n in (0, 20_000, 20_001, 100_000, 10**9)] == [1, 1, 2, 8, 1000]
+    ids = spark.range(1000).selectExpr("(1L << 60) + id DIV 500 AS id")  # two ids, one double
+    blocks = id_blocks(ids, 1000, 7)
+    placed = blocks.place(ids, "id").select("id", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r["p"] for r in placed}) == 1
+    assert len(id_blocks(ids.limit(0), 1000, 7)) == len(id_blocks(ids, 1000, 1)) == 1
+    exact = IdBlocks([10.0, 20.0]).place(spark.range(30), "id").select("id", F.spark_partition_id().alias("p")).collect()
+    assert {r["id"]: r["p"] for r in exact} == {i: i // 10 for i in range(30)}
+
+
+def test_a_small_load_is_one_file_without_placement(spark, small_raw, small_contacts):
+    path = scratch_dir(spark, "small")
+    ingest.sync(spark, small_raw, small_contacts, path)
+    assert [f["rows"] for f in stored.data_files(spark, path).collect()] == [10]
+
+
+def test_status_opens_no_data_file(spark, dataset, table):
+    scans = [line for line in plan_of(stored.status(spark, dataset)).splitlines() if line.startswith("Location")]
+    assert scans and all("generation=" not in line for line in scans)
 
 
 def test_no_python_and_no_cross_joins(spark, files, dataset, table, small_contacts):
@@ -197,12 +230,9 @@ def test_a_hot_handle_and_a_hot_chat_are_split(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("chat_size = 1").count() == rows
 
 
-def test_shuffles_grow_with_the_input(spark):
+def test_shuffles_grow_with_the_rows_and_go_back(spark):
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    try:
-        assert size_shuffles(spark, 10) == 4
-        assert size_shuffles(spark, 16 * 2**20 * 1000) == 1000 and spark.conf.get(key) == "1000"
-        assert size_shuffles(spark, 10) == 1000
-        assert size_shuffles(spark, 10**14) == 200_000 or int(spark.conf.get(key)) > 100_000
-    finally:
-        spark.conf.unset(key)
+    for rows, partitions in ((10, 4), (5 * 10**8, 1000), (4 * 10**11, 800_000)):
+        with shuffles_for(spark, rows):
+            assert shuffle_partitions(spark) == partitions
+    assert spark.conf.get(key, None) is None
