@@ -28,12 +28,12 @@ from msgloom.operators.messages import COUNTERPARTY, build_messages, with_counte
 from msgloom.plans import analyses as A  # noqa: E402
 from msgloom.plans import conversations as K  # noqa: E402
 from msgloom.plans import ingest, sqlview, upkeep  # noqa: E402
-from msgloom.schemas import MESSAGES, RawTables  # noqa: E402
+from msgloom.schemas import CHAT_MESSAGE_JOIN, MESSAGES, RawTables  # noqa: E402
 from msgloom.session import configure, scratch_dir  # noqa: E402
 from msgloom.sources import commits, derived, stored  # noqa: E402
 from msgloom.sources.contacts import address_book_entries, read_contacts  # noqa: E402
 from msgloom.sources.raw import high_watermark, read_raw, rows_above  # noqa: E402
-from msgloom.streaming.ingest import start_ingest  # noqa: E402
+from msgloom.streaming.ingest import start_ingest, start_links  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -290,6 +290,27 @@ def _ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(stored.read_messages(spark, dataset))
 
 
+def _ingest_stream_late_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and chat links as two streams: a third of the links come with the messages, a third
+    after them, and a third before."""
+    folder = scratch_dir(configure(spark), "links")
+    landing, links, dataset = f"{folder}/landing", f"{folder}/links", f"{folder}/dataset"
+    raw, contacts = _raw(spark, sf_dir), _contacts(spark, sf_dir)
+    half = high_watermark(raw.message, id_column="ROWID").first()["watermark"] // 2
+    for number, part in enumerate(("ROWID <= {0}", "ROWID > {0}")):
+        raw.message.where(part.format(half)).write.mode("append").parquet(landing)
+        # First the links of every third message of either half, then all others.
+        some = "message_id % 3 = 0" if number == 0 else f"message_id % 3 = 1 AND message_id > {half}"
+        raw.chat_message_join.where(some).write.mode("append").parquet(links)
+        known = raw._replace(chat_message_join=spark.read.schema(CHAT_MESSAGE_JOIN).parquet(links))
+        start_ingest(spark, landing, known, contacts, dataset, f"{folder}/checkpoint").awaitTermination()
+        start_links(spark, links, raw, contacts, dataset, f"{folder}/links-checkpoint").awaitTermination()
+    late = f"NOT (message_id % 3 = 0 OR message_id % 3 = 1 AND message_id > {half})"
+    raw.chat_message_join.where(late).write.mode("append").parquet(links)
+    start_links(spark, links, raw, contacts, dataset, f"{folder}/links-checkpoint").awaitTermination()
+    return _comparable(stored.read_messages(spark, dataset))
+
+
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
     dataset = scratch_dir(configure(spark), "status")
     ingest.sync(spark, _raw(spark, sf_dir), _contacts(spark, sf_dir), dataset)
@@ -453,6 +474,7 @@ _QUERIES: dict[str, Query] = {
     "ingest_incremental": _ingest_incremental,
     "ingest_idempotent": _ingest_idempotent,
     "ingest_stream": _ingest_stream,
+    "ingest_stream_late_links": _ingest_stream_late_links,
     "ingest_compacted": _ingest_compacted,
     "ingest_migrated": _ingest_migrated,
     "messages_of_days": _messages_of_days,

@@ -34,17 +34,17 @@ from msgloom.plans.conversations import (
 )
 from msgloom.plans.ingest import full_build, refresh, sync, sync_files
 from msgloom.plans.sqlview import query, register
-from msgloom.plans.upkeep import compact, migrate, remove_superseded
+from msgloom.plans.upkeep import apply_links, compact, migrate, remove_superseded
 from msgloom.session import configure
 from msgloom.sources.contacts import address_book_entries, read_contacts
 from msgloom.sources.raw import read_raw, read_raw_jdbc
 from msgloom.sources.stored import data_files, read_messages, schema_gate, status
-from msgloom.streaming.ingest import start_ingest
+from msgloom.streaming.ingest import start_ingest, start_links
 
 __all__ = [
-    "CommitConflict", "DatasetNotFound", "SchemaMismatch", "SourceNotFound", "address_book_entries", "build_messages", "compact", "compare_contacts", "compare_periods",
+    "CommitConflict", "DatasetNotFound", "SchemaMismatch", "SourceNotFound", "address_book_entries", "apply_links", "build_messages", "compact", "compare_contacts", "compare_periods",
     "configure", "conflicts", "contact_deep_dive", "contact_stats", "data_files", "direction", "display", "effects", "first_per_key", "full_build", "group_chats", "group_message_count",
     "json_rows", "links", "migrate", "needs_reply", "period_in_review", "query", "reactions", "read_contacts", "read_messages",
-    "read_raw", "read_raw_jdbc", "refresh", "register", "remove_superseded", "resolve", "schema_gate", "search_contacts", "seasonality", "start_ingest", "status",
+    "read_raw", "read_raw_jdbc", "refresh", "register", "remove_superseded", "resolve", "schema_gate", "search_contacts", "seasonality", "start_ingest", "start_links", "status",
     "sync", "sync_files", "time_series", "top_contacts", "with_counterparty", "write_csv", "write_json",
 ]

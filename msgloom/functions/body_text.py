@@ -62,23 +62,22 @@ def structured_text(blob: str) -> str:
     are only looked at where the first will not do: one step per tag, each from the
     end of the string before, with a position and the text found as state.
     """
-    plain = "decode(blob, 'ISO-8859-1')"
-    tagged = f"if(startswith({plain}, {literal(STREAM_SIGNATURE)}), nullif(instr({plain}, {literal(STRING_TAG)}), 0), NULL)"
+    tagged = f"if(startswith(l, {literal(STREAM_SIGNATURE)}), nullif(instr(l, {literal(STRING_TAG)}), 0), NULL)"
     body = first_match(trim_unicode(f"try_validate_utf8(CAST({_CUT} AS STRING))"), _BODY)
-    first = f"transform(array({tagged} + {len(STRING_TAG)}), at -> transform(array({_SPAN}), span -> {body})[0])[0]"
+    first = f"transform(array(tag + {len(STRING_TAG)}), at -> transform(array({_SPAN}), span -> {body})[0])[0]"
     end = "if(span.start + span.size - 1 <= octet_length(blob), CAST(span.start + span.size AS INT), at)"
     step = f"""transform(array(nullif(regexp_instr(substr(l, s.at), {literal(ANY_STRING_TAG)}), 0) + s.at + {len(STRING_TAG) - 1}),
         at -> transform(array({_SPAN}), span -> struct(coalesce({end}, at) AS at, {body} AS found))[0])[0]"""
-    later = f"""transform(array({plain}), l -> transform(array({tagged}), first -> if(first IS NULL, NULL,
-        aggregate(sequence(1, regexp_count(l, {literal(ANY_STRING_TAG)})), struct(first AS at, CAST(NULL AS STRING) AS found),
-          (s, i) -> if(s.found IS NOT NULL OR s.at IS NULL, s, {step}), s -> s.found)))[0])[0]"""
-    return f"transform(array({blob}), blob -> coalesce({first}, {later}))[0]"
+    later = f"""aggregate(sequence(1, regexp_count(l, {literal(ANY_STRING_TAG)})), struct(tag AS at, CAST(NULL AS STRING) AS found),
+          (s, i) -> if(s.found IS NOT NULL OR s.at IS NULL, s, {step}), s -> s.found)"""
+    return f"""transform(array({blob}), blob -> transform(array(decode(blob, 'ISO-8859-1')), l ->
+        transform(array({tagged}), tag -> if(tag IS NULL, NULL, coalesce({first}, {later})))[0])[0])[0]"""
 
 
 def marked_text(blob: str) -> str:
     """Readable text between the two markers, without leading junk; NULL if empty."""
     readable = rf"regexp_replace(decode({blob}, 'ISO-8859-1'), r'[^\x20-\x7E\n\t]', ' ')"
-    between = f"btrim({first_match(readable, _MARKED, 1)}, ' \n\t')"
+    between = f"btrim(regexp_extract({readable}, {literal(_MARKED)}, 1), ' \n\t')"
     return first_match(f"regexp_replace({between}, {literal(_JUNK)}, '')", r"(?s)^.+\z")
 
 

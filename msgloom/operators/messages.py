@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from msgloom.functions.body_text import inferred_text
 from msgloom.functions.keys import contact_key
@@ -73,7 +74,7 @@ def build_messages(
             rows = rows.join(looked_up, "_handle", "left")
     if _CHAT & set(wanted):
         with_members = bool(_MEMBERS & set(wanted))
-        rows = rows.join(placed(_placement(raw, contacts, normalize, with_members, since)), by, "left")
+        rows = rows.join(placed(placement(raw, contacts, normalize, with_members, few=since > 0)), by, "left")
     if blocks:
         rows = rows.sortWithinPartitions(*by)
     return rows.selectExpr(*[f"{_DERIVED.get(name, name)} AS {name}" for name in wanted])
@@ -109,31 +110,35 @@ def with_counterparty(messages: DataFrame, contacts: DataFrame, normalize: bool
 
 def _own_columns(message: DataFrame) -> DataFrame:
     """Everything that needs no other table; the binary column ends here."""
-    inferred = inferred_text("attributedBody")
-    return message.selectExpr(
+    # The text found is bound once: the optimizer keeps a costly column that is used twice.
+    found = message.withColumn("_inferred", F.expr(inferred_text("attributedBody")))
+    return found.selectExpr(
         "ROWID AS message_id",
         "handle_id AS _handle",
         "CAST(coalesce(is_from_me, 0) AS BYTE) AS is_from_me",
         "CAST(coalesce(is_audio_message, 0) AS BYTE) AS is_audio_message",
         "text",
-        f"{inferred} AS inferred_text",
+        "_inferred AS inferred_text",
         "CAST(thread_originator_guid IS NOT NULL AS BYTE) AS is_thread_reply",
         f"{reaction_label('associated_message_type')} AS reaction",
         f"{effect_label('expressive_send_style_id')} AS message_effect",
         f"""CASE WHEN balloon_bundle_id IS NOT NULL
-              THEN {link_domain(f'coalesce(text, {inferred})')} END AS link_domain""",
+              THEN {link_domain('coalesce(text, _inferred)')} END AS link_domain""",
         f"{unix_seconds('date')} AS _unix",
     )
 
 
-def _placement(raw: RawTables, contacts: DataFrame, normalize: bool, with_members: bool, since: int) -> DataFrame:
-    """Message id to chat, with the chat's members joined while rows are narrow."""
+def placement(
+    raw: RawTables, contacts: DataFrame, normalize: bool = False, with_members: bool = True, few: bool = False
+) -> DataFrame:
+    """Message id to chat, with the chat's members joined while rows are narrow. With `few` links
+    only their chats get member lists."""
     pairs = first_chat(raw.chat_message_join)
     if not with_members:
         return pairs
     seats = raw.chat_handle_join
-    if since > 0:
-        # A small load needs few chats: leave the others out before lists are built.
+    if few:
+        # Leave the other chats out before lists are built.
         seats = seats.join(pairs.select("chat_id").distinct(), "chat_id", "left_semi")
     members = chat_members(participants(seats, raw.handle))
     named = _with_name(members, contacts, "only_member", "only_member_name", normalize)
@@ -142,9 +147,10 @@ def _placement(raw: RawTables, contacts: DataFrame, normalize: bool, with_member
     return salted_left_join(pairs, named, "chat_id", "message_id")
 
 
-def _by_direction(sent: str, received: str) -> str:
+def by_direction(sent: str, received: str, size: str = "chat_size") -> str:
+    """SQL for a value by direction: that of the sender, of a direct chat's other party, or of groups."""
     return f"""CASE WHEN is_from_me <> 1 THEN {received}
-        WHEN chat_size = 1 THEN {sent} WHEN chat_size > 1 THEN '{GROUP_CHAT}' END"""
+        WHEN {size} = 1 THEN {sent} WHEN {size} > 1 THEN '{GROUP_CHAT}' END"""
 
 
 _DERIVED = {
@@ -152,8 +158,8 @@ _DERIVED = {
     "text_combined": "coalesce(text, inferred_text)",
     "body_text": "coalesce(text, inferred_text)",
     "chat_size": "coalesce(chat_size, 0L)",
-    "updated_contact_info": _by_direction("only_member", "contact_info"),
-    COUNTERPARTY: _by_direction("only_member_name", "name"),
+    "updated_contact_info": by_direction("only_member", "contact_info"),
+    COUNTERPARTY: by_direction("only_member_name", "name"),
     "timestamp": "timestamp_seconds(_unix)",
     "date": utc_date("_unix"),
     "month": f"CAST(month({utc_date('_unix')}) AS BYTE)",

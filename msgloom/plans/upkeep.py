@@ -1,4 +1,4 @@
-"""Upkeep of a stored dataset: merging small files, migrating old columns, removing what is superseded.
+"""Upkeep of a stored dataset: late chat links, small files, older columns, and what is superseded.
 
 Each step reads what a commit names and makes a new commit. Readers of the old one go on undisturbed,
 since files are only removed by age.
@@ -8,21 +8,24 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from msgloom.errors import SchemaMismatch
 from msgloom.functions.times import utc_date
 from msgloom.operators.blocks import BLOCK, ROWS_PER_FILE, blocks_for, id_blocks
+from msgloom.operators.chats import first_chat
+from msgloom.operators.messages import by_direction, placement
 from msgloom.operators.sinks import write_load
 from msgloom.plans.ingest import commit_load, placed_rows
-from msgloom.schemas import DATA_FILES, MESSAGES
+from msgloom.schemas import DATA_FILES, MESSAGES, RawTables
 from msgloom.session import shuffles_for
 from msgloom.sources.commits import (
     COMMITS, MANIFESTS, ROWS, append_commit, current_commit, described_files, empty_messages, live_files, load_path,
-    read_files, run_row, write_manifest,
+    needed_files, read_files, run_row, write_manifest,
 )
 from msgloom.sources.paths import Folder
 from msgloom.sources.stored import check_schema, schema_gate
@@ -56,29 +59,85 @@ def compact(spark: SparkSession, dataset: str, rows_per_file: int = ROWS_PER_FIL
     without small files to merge nothing is written."""
     commit = current_commit(spark, dataset)
     check_schema(dataset, commit)
-    files = live_files(spark, dataset, commit)
     # One row per small file.
-    plan = merge_plan(files, rows_per_file).collect()
+    plan = merge_plan(live_files(spark, dataset, commit), rows_per_file).collect()
     if not plan:
         return run_row(spark, commit)
+    return _rewrite(spark, dataset, commit, plan, "compact", lambda rows: rows)
+
+
+def _rewrite(
+    spark: SparkSession, dataset: str, commit: dict, plan: list[Row], mode: str, change: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Replace the files of a plan (path, rows, bin) by one file per bin, with their rows changed but
+    none added or lost. The other files stay as they are; one manifest names them all."""
     run_id, bins, merged = uuid.uuid4().hex, 1 + max(r[BLOCK] for r in plan), sum(r["rows"] for r in plan)
     path = load_path(dataset, commit["generation"], run_id)
     chosen = spark.createDataFrame([(r["path"], r[BLOCK]) for r in plan], f"path string, {BLOCK} int")
     rows = read_files(spark, [f"{dataset}/{ROWS}/{r['path']}" for r in plan])
     with shuffles_for(spark, merged):
-        placed = rows.withColumn("path", F.expr(_PATH)).join(chosen, "path").repartitionById(bins, F.col(BLOCK))
+        placed = change(rows.withColumn("path", F.expr(_PATH)).join(chosen, "path")).repartitionById(bins, F.col(BLOCK))
         write_load(placed.sortWithinPartitions("message_id").select(*MESSAGES.fieldNames()), path)
     made = described_files(spark, path)
     written = made.agg(F.sum("rows").alias("n")).first()["n"]
     if written != merged:
-        raise RuntimeError(f"merged files hold {written} rows instead of {merged}: nothing was committed")
-    kept = files.join(chosen, "path", "left_anti")
+        raise RuntimeError(f"new files hold {written} rows instead of {merged}: nothing was committed")
+    kept = live_files(spark, dataset, commit).join(chosen, "path", "left_anti")
     write_manifest(kept.unionByName(made), dataset, run_id)
     return run_row(spark, append_commit(spark, dataset, commit, **{
-        **_carried(commit), "run_id": run_id, "mode": "compact", "rows_written": 0, "manifests": [run_id],
+        **_carried(commit), "run_id": run_id, "mode": mode, "rows_written": 0, "manifests": [run_id],
     }))
 
 
+def apply_links(
+    spark: SparkSession, dataset: str, links: DataFrame, statics: RawTables, contacts: DataFrame, normalize: bool = False
+) -> DataFrame:
+    """Give stored messages the chats of links that arrived after them, as a full build would: a
+    message is in its smallest chat. Returns the newest run, one row.
+
+    Only files that hold a changed message are rewritten, found by the ids of the links; of `statics`
+    the chats' members and the handles are used. Links of messages that are not stored yet change
+    nothing. There is a commit in any case, so that a load that has read the links before these
+    arrived conflicts and is run again.
+    """
+    commit = current_commit(spark, dataset)
+    check_schema(dataset, commit)
+    new = first_chat(links).selectExpr("message_id", "chat_id AS new_chat")
+    ids = links.agg(F.min("message_id").alias("low"), F.max("message_id").alias("high")).first()
+    paths = needed_files(spark, dataset, commit, ids=(ids["low"], ids["high"])) if ids["low"] is not None else []
+    changed = read_files(spark, paths).select("message_id", "chat_id", "_metadata.file_path") if paths else None
+    plan = []
+    if changed is not None:
+        changed = changed.join(new, "message_id").where("chat_id IS NULL OR new_chat < chat_id")
+        touched = changed.select(F.substring_index("file_path", f"/{ROWS}/", -1).alias("path")).distinct()
+        by_path = Window.orderBy("path")  # one row per file
+        plan = live_files(spark, dataset, commit).join(touched, "path").select(
+            "path", "rows", (F.row_number().over(by_path) - 1).alias(BLOCK)
+        ).collect()
+    if not plan:
+        return run_row(spark, append_commit(spark, dataset, commit, **{
+            **_carried(commit), "run_id": uuid.uuid4().hex, "mode": "links", "rows_written": 0,
+        }))
+    pairs = changed.selectExpr("new_chat AS chat_id", "message_id")
+    placed = placement(statics._replace(chat_message_join=pairs), contacts, normalize, few=True)
+    placed = placed.withColumnsRenamed({c: f"_new_{c}" for c in placed.columns if c != "message_id"})
+    return _rewrite(spark, dataset, commit, plan, "links", lambda rows: _with_chat(rows, placed))
+
+
+def _with_chat(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """Rows with the columns that follow from a message's chat replaced where there is a new one."""
+    columns = {
+        "chat_id": "_new_chat_id",
+        "chat_size": "coalesce(_new_chat_size, 0L)",
+        "chat_members_handles": "_new_chat_members_handles",
+        "chat_members_contact_info": "_new_chat_members_contact_info",
+        "updated_contact_info": by_direction("_new_only_member", "contact_info", "_new_chat_size"),
+    }
+    new = {c: F.expr(f"if(_new_chat_id IS NULL, {c}, {value})") for c, value in columns.items()}
+    joined = rows.join(placed, "message_id", "left")
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
+
+
 def _carried(commit: dict) -> dict:
     return {k: v for k, v in commit.items() if k not in ("version", "finished_at")}
 

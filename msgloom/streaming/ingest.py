@@ -1,4 +1,5 @@
-"""Micro-batch ingest: new message files become loads of the stored dataset."""
+"""Micro-batch ingest: new message files become loads of the stored dataset, and chat links that
+arrive after their messages are applied to what is stored."""
 
 from __future__ import annotations
 
@@ -6,11 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from msgloom.errors import CommitConflict
 from msgloom.plans.ingest import load_above
-from msgloom.schemas import MESSAGE, RawTables
+from msgloom.plans.upkeep import apply_links
+from msgloom.schemas import CHAT_MESSAGE_JOIN, MESSAGE, RawTables
 from msgloom.sources.commits import latest_commit, needed_files, read_files
 from msgloom.sources.stored import check_schema
 
+_ATTEMPTS = 5
+
 
 def start_ingest(
     spark: SparkSession,
@@ -60,3 +65,43 @@ def start_ingest(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def start_links(
+    spark: SparkSession,
+    link_path: str,
+    statics: RawTables,
+    contacts: DataFrame,
+    dataset: str,
+    checkpoint: str,
+    normalize: bool = False,
+    files_per_batch: int = 1000,
+) -> StreamingQuery:
+    """Process the files of chat links that arrived since the last run, then stop.
+
+    The second stream beside `start_ingest`, whose `statics` should read the same folder of links:
+    a link that is there before its message is found by the message's batch, a later one is applied
+    here. No state is held for either, and a repeated batch changes nothing. Whichever of the two
+    commits second on the same base conflicts; this one then tries again, the other is started again.
+    """
+    stream = (
+        spark.readStream.schema(CHAT_MESSAGE_JOIN).option("maxFilesPerTrigger", files_per_batch).parquet(link_path)
+    )
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if not batch.where("chat_id IS NULL OR message_id IS NULL").isEmpty():
+            raise ValueError(f"NULL in a chat link of batch {batch_id}: nothing of it was applied")
+        for attempt in range(_ATTEMPTS):
+            try:
+                apply_links(batch.sparkSession, dataset, batch, statics, contacts, normalize)
+                return
+            except CommitConflict:
+                if attempt == _ATTEMPTS - 1:
+                    raise
+
+    return (
+        stream.writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

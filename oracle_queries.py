@@ -421,6 +421,7 @@ ORACLE |= {
     "raw_files_json": ORACLE["messages_full"],
     "contact_overrides_file": ORACLE["contact_map"],
     "ingest_forced": ORACLE["ingest_idempotent"],
+    "ingest_stream_late_links": _FULL,
     "ingest_compacted": _FULL,
     "ingest_migrated": _FULL,
     "messages_of_days": _m(

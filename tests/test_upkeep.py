@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from test_ingest import content, dataset, expected, upto, write_load  # noqa: F401
 from test_plans import many_messages
 
-from msgloom.errors import DatasetNotFound, SchemaMismatch
+from msgloom.errors import CommitConflict, DatasetNotFound, SchemaMismatch
 from msgloom.operators.messages import build_messages
 from msgloom.plans import ingest, upkeep
 from msgloom.schemas import DATA_FILES
 from msgloom.session import path_bytes
 from msgloom.sources import commits, stored
+from msgloom.streaming.ingest import start_ingest, start_links
 
 NOW = dt.timedelta(seconds=-60)  # file times may have whole seconds
 
@@ -113,3 +114,66 @@ def test_an_empty_dataset(spark, small_raw, small_contacts, dataset):  # noqa: F
     assert upkeep.remove_superseded(spark, dataset, NOW).first()["files"] == 0
     assert stored.schema_gate(spark, dataset).count() == stored.data_files(spark, dataset).count() == 0
     assert stored.status(spark, dataset).first()["size_bytes"] == 0
+
+
+def without_links(raw, condition):
+    return raw._replace(chat_message_join=raw.chat_message_join.where(condition))
+
+
+def test_late_links_are_applied(spark, small_raw, small_contacts, dataset, expected):  # noqa: F811
+    for last in (5, 10):  # two files, of which the second is touched first
+        ingest.sync(spark, upto(without_links(small_raw, "message_id < 3"), last), small_contacts, dataset)
+    first = {f["path"] for f in stored.data_files(spark, dataset).where("max_id <= 5").collect()}
+    late = small_raw.chat_message_join.where("message_id > 5")
+    run = upkeep.apply_links(spark, dataset, late, small_raw, small_contacts).first()
+    assert (run["mode"], run["total_messages"], run["rows_written"]) == ("links", 10, 0)
+    assert first < {f["path"] for f in stored.data_files(spark, dataset).collect()}
+    # Repeated links, larger chats, and messages that are not stored change nothing.
+    more = spark.createDataFrame([(9, 7), (1, 6), (1, 99)], "chat_id long, message_id long")
+    paths = {f["path"] for f in stored.data_files(spark, dataset).collect()}
+    for links in (late, more, more.limit(0)):
+        upkeep.apply_links(spark, dataset, links, small_raw, small_contacts)
+    assert {f["path"] for f in stored.data_files(spark, dataset).collect()} == paths
+    upkeep.apply_links(spark, dataset, small_raw.chat_message_join, small_raw, small_contacts)
+    assert content(stored.read_messages(spark, dataset)) == expected
+
+
+def test_a_smaller_chat_takes_a_message(spark, small_raw, small_contacts, dataset):  # noqa: F811
+    ingest.sync(spark, small_raw, small_contacts, dataset)
+    links = spark.createDataFrame([(1, 9), (3, 1)], "chat_id long, message_id long")
+    upkeep.apply_links(spark, dataset, links, small_raw, small_contacts)
+    every = small_raw._replace(chat_message_join=small_raw.chat_message_join.union(links))
+    assert content(stored.read_messages(spark, dataset)) == content(build_messages(every, small_contacts))
+
+
+def test_a_load_that_missed_a_link_conflicts(spark, small_raw, small_contacts, dataset, expected):  # noqa: F811
+    ingest.sync(spark, upto(small_raw, 5), small_contacts, dataset)
+    base = commits.latest_commit(spark, dataset)
+    late = small_raw.chat_message_join.where("message_id = 7")
+    upkeep.apply_links(spark, dataset, late, small_raw, small_contacts)  # message 7 is not there yet
+    with pytest.raises(CommitConflict):
+        ingest.load_above(spark, without_links(small_raw, "message_id <> 7"), small_contacts, dataset, base, 5, "stream")
+    ingest.sync(spark, small_raw, small_contacts, dataset)
+    assert content(stored.read_messages(spark, dataset)) == expected
+
+
+def test_two_streams(spark, small_raw, small_contacts, dataset, expected, tmp_path):  # noqa: F811
+    landing, links = str(tmp_path / "landing"), str(tmp_path / "links")
+    small_raw.message.where("ROWID <= 6").write.parquet(landing)
+    small_raw.chat_message_join.where("message_id IN (1, 2, 8, 9)").write.parquet(links)
+
+    def run():
+        known = small_raw._replace(chat_message_join=spark.read.parquet(links))
+        start_ingest(spark, landing, known, small_contacts, dataset, str(tmp_path / "c1")).awaitTermination()
+        start_links(spark, links, small_raw, small_contacts, dataset, str(tmp_path / "c2")).awaitTermination()
+
+    run()
+    small_raw.message.where("ROWID > 6").write.mode("append").parquet(landing)
+    run()
+    small_raw.chat_message_join.where("message_id NOT IN (1, 2, 8, 9)").write.mode("append").parquet(links)
+    run()
+    assert content(stored.read_messages(spark, dataset)) == expected
+    spark.createDataFrame([(None, 3)], "chat_id long, message_id long").write.mode("append").parquet(links)
+    with pytest.raises(Exception, match="NULL in a chat link"):
+        start_links(spark, links, small_raw, small_contacts, dataset, str(tmp_path / "c2")).awaitTermination()
+    assert content(stored.read_messages(spark, dataset)) == expected
