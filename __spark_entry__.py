@@ -30,9 +30,9 @@ from msgloom.plans import conversations as K  # noqa: E402
 from msgloom.plans import ingest, sqlview, upkeep  # noqa: E402
 from msgloom.schemas import CHAT_MESSAGE_JOIN, MESSAGES, RawTables  # noqa: E402
 from msgloom.session import configure, scratch_dir  # noqa: E402
-from msgloom.sources import commits, derived, stored  # noqa: E402
+from msgloom.sources import commits, derived, stored, summaries  # noqa: E402
 from msgloom.sources.contacts import address_book_entries, read_contacts  # noqa: E402
-from msgloom.sources.raw import high_watermark, read_raw, rows_above  # noqa: E402
+from msgloom.sources.raw import high_watermark, read_raw, rows_above, watermark_of_files  # noqa: E402
 from msgloom.streaming.ingest import start_ingest, start_links  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,12 @@ def _high_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return high_watermark(_raw(spark, sf_dir).message, id_column="ROWID")
 
 
+def _high_watermark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(configure(spark), "watermark")
+    _raw(spark, sf_dir).message.write.parquet(f"{path}/message")
+    return watermark_of_files(spark, path)
+
+
 def _message_chat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_chat(_raw(spark, sf_dir).chat_message_join)
 
@@ -393,6 +399,29 @@ def _stored_analysis(function: Callable[[DataFrame], DataFrame]) -> Query:
     return run
 
 
+def _daily_analysis(function: Callable[..., DataFrame], **arguments) -> Query:
+    """An analysis over the daily counts of a dataset made of several loads, late links and a merge."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        dataset = scratch_dir(configure(spark), "daily")
+        raw, contacts = _raw(spark, sf_dir), _contacts(spark, sf_dir)
+        known = raw._replace(chat_message_join=raw.chat_message_join.where("message_id % 3 > 0"))
+        ingest.sync(spark, _older(known, spark), contacts, dataset)
+        upkeep.apply_links(spark, dataset, raw.chat_message_join.where("message_id % 3 = 0"), raw, contacts)
+        ingest.sync(spark, raw, contacts, dataset)
+        upkeep.compact(spark, dataset)
+        return _comparable(function(summaries.read_daily(spark, dataset), **arguments))
+
+    return run
+
+
+def _deep_dive_by_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts of a stored table, with their keys from its summaries."""
+    dataset = _synced_twice(spark, sf_dir)
+    names = summaries.contact_names(spark, dataset)
+    return _comparable(K.compare_contacts(stored.read_messages(spark, dataset), _SEVERAL, names=names))
+
+
 def _needs_reply(messages: DataFrame, as_of: dt.date = dt.date(2024, 2, 1)) -> DataFrame:
     return K.needs_reply(messages, as_of=as_of)
 
@@ -408,6 +437,7 @@ _PARTY = (
 _QUERIES: dict[str, Query] = {
     "raw_since_watermark": _raw_since_watermark,
     "high_watermark": _high_watermark,
+    "high_watermark_files": _high_watermark_files,
     "message_chat_dedup": _message_chat_dedup,
     "message_handle_join": _columns("message_id", "handle_id", "contact_info", "chat_id"),
     "chat_members": _chat_members,
@@ -495,6 +525,17 @@ _QUERIES: dict[str, Query] = {
     ),
     "needs_reply_stored": _stored_analysis(_needs_reply),
     "contact_deep_dive_stored": _stored_analysis(lambda m: K.contact_deep_dive(m, _ONE)),
+    "compare_contacts_stored": _deep_dive_by_names,
+    "top_contacts_daily": _daily_analysis(A.top_contacts, year=2024, direct_only=True, way="received", limit=30),
+    "time_series_daily": _daily_analysis(A.time_series),
+    "reactions_daily": _daily_analysis(A.reactions),
+    "effects_daily": _daily_analysis(A.effects, year=2024),
+    "links_daily": _daily_analysis(A.links),
+    "seasonality_dow_daily": _daily_analysis(A.seasonality_dow, split=True),
+    "seasonality_month_daily": _daily_analysis(A.seasonality_month),
+    "search_contacts_daily": _daily_analysis(A.search_contacts, query="R#00000001"),
+    "contact_stats_daily": _daily_analysis(A.contact_stats),
+    "group_message_count_daily": _daily_analysis(A.group_message_count),
     "raw_files_csv": _raw_files("csv"),
     "raw_files_json": _raw_files("json"),
     "contact_overrides_file": _contact_overrides_file,

@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+LOOKED_UP = ("name", "updated_contact_info")
+
 
 def write_load(messages: DataFrame, path: str) -> None:
-    """Write one load of messages to a folder of its own, in the order in which rows come.
+    """Write one load of messages to a folder of its own, in the order in which rows come, with
+    Bloom filters on the columns by which contacts are looked up.
 
     A load that fails leaves a folder that no commit names; a repeated one makes another.
     """
-    messages.write.mode("errorifexists").option("compression", "snappy").parquet(path)
+    filters = {f"parquet.bloom.filter.enabled#{column}": "true" for column in LOOKED_UP}
+    adaptive = {"parquet.bloom.filter.adaptive.enabled": "true"}  # as large as a row group's values need
+    messages.write.mode("errorifexists").options(compression="snappy", **filters, **adaptive).parquet(path)
 
 
 def as_text(df: DataFrame) -> DataFrame:

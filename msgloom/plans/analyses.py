@@ -1,6 +1,6 @@
 """The named analyses of the `messages` table.
 
-Each takes the table and returns a lazy DataFrame. Ties are ordered by the group
+Each takes the table, or its daily counts (`read_daily`), and returns a lazy DataFrame. Ties are ordered by the group
 key, so results are repeatable.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from msgloom.functions.labels import NO_EFFECT, NO_REACTION
+from msgloom.sources.summaries import COUNT
 
 # Filters on the direction of a message.
 DIRECTIONS = {"sent": 1, "received": 0}
@@ -50,10 +51,24 @@ def _where(
     return kept
 
 
+def _number(rows: DataFrame, condition: Column | None = None) -> Column:
+    """How many messages, of those that meet a condition: rows, or what the rows of daily counts stand for."""
+    if COUNT in rows.columns:
+        kept = F.col(COUNT) if condition is None else F.when(condition, F.col(COUNT)).otherwise(0)
+        return F.coalesce(F.sum(kept), F.lit(0))
+    return F.count(F.lit(1)) if condition is None else F.count_if(condition)
+
+
+def _counted(rows: DataFrame, *keys: str, count: str) -> DataFrame:
+    """Messages per key. Rows of daily counts may cancel out, and then the key has none."""
+    counts = rows.groupBy(*keys).agg(_number(rows).alias(count))
+    return counts.where(F.col(count) != 0) if COUNT in rows.columns else counts
+
+
 def _ranking(rows: DataFrame, *keys: str, count: str, limit: int | None = None) -> DataFrame:
     """Count per key, most frequent first."""
     order = [F.desc(count), *[F.asc_nulls_first(k) for k in keys]]
-    ranked = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(count)).orderBy(*order)
+    ranked = _counted(rows, *keys, count=count).orderBy(*order)
     return ranked if limit is None else ranked.limit(limit)
 
 
@@ -91,7 +106,7 @@ def time_series(
         rows = rows.where(F.col("date") >= F.lit(start))
     if end is not None:
         rows = rows.where(F.col("date") <= F.lit(end))
-    daily = rows.groupBy("date").agg(F.count(F.lit(1)).alias("messages"))
+    daily = _counted(rows, "date", count="messages")
     if fill_gaps:
         spine = daily.agg(F.min("date").alias("_from"), F.max("date").alias("_to")).where(F.col("_from").isNotNull())
         days = spine.select(F.explode(F.sequence("_from", "_to")).alias("date"))
@@ -119,16 +134,16 @@ def links(messages: DataFrame, limit: int = 20) -> DataFrame:
     return _ranking(messages.where(F.col("link_domain").isNotNull()), "link_domain", count="count", limit=limit)
 
 
-def _split_or_total(split: bool) -> list[Column]:
+def _split_or_total(rows: DataFrame, split: bool) -> list[Column]:
     if not split:
-        return [F.count(F.lit(1)).alias("messages")]
-    return [F.count_if(F.col("is_from_me") == value).alias(way) for way, value in DIRECTIONS.items()]
+        return [_number(rows).alias("messages")]
+    return [_number(rows, F.col("is_from_me") == value).alias(way) for way, value in DIRECTIONS.items()]
 
 
 def seasonality_dow(messages: DataFrame, way: str | None = None, split: bool = False) -> DataFrame:
     """Messages per day of the week, or sent and received ones with `split`."""
     rows = _where(messages, F.col("timestamp").isNotNull(), way=way)
-    per_day = rows.groupBy((F.dayofweek("date") - 1).alias("dow_number")).agg(*_split_or_total(split))
+    per_day = rows.groupBy((F.dayofweek("date") - 1).alias("dow_number")).agg(*_split_or_total(rows, split))
     names = F.array(*map(F.lit, DAY_NAMES))
     counts = [c for c in per_day.columns if c != "dow_number"]
     return per_day.orderBy("dow_number").select(
@@ -139,7 +154,7 @@ def seasonality_dow(messages: DataFrame, way: str | None = None, split: bool = F
 def seasonality_month(messages: DataFrame, way: str | None = None, split: bool = False) -> DataFrame:
     """Messages per month of the year, or sent and received ones with `split`."""
     rows = _where(messages, F.col("month").isNotNull(), way=way)
-    return rows.groupBy("month").agg(*_split_or_total(split)).orderBy("month")
+    return rows.groupBy("month").agg(*_split_or_total(rows, split)).orderBy("month")
 
 
 def seasonality(messages: DataFrame, kind: str = "dow", way: str | None = None, split: bool = False) -> DataFrame:
@@ -187,11 +202,11 @@ def contact_stats(messages: DataFrame, contact: str | None = None, limit: int =
     messages reaches the second aggregate as one row per day.
     """
     rows = _where(messages, F.col("name").isNotNull(), contact=contact)
-    days = rows.groupBy("name", "date").agg(F.count(F.lit(1)).alias("messages"))
+    days = _counted(rows, "name", "date", count="messages")
     return days.groupBy("name").agg(*contact_totals()).orderBy(F.desc("total_messages"), "name").limit(limit)
 
 
 def group_message_count(messages: DataFrame) -> DataFrame:
     """How many messages stand in group chats."""
-    return messages.where(F.col("chat_size") > 1).agg(F.count(F.lit(1)).alias("group_messages"))
+    return messages.where(F.col("chat_size") > 1).agg(_number(messages).alias("group_messages"))
 

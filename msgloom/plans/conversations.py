@@ -17,34 +17,57 @@ from pyspark.sql import functions as F
 
 from msgloom.functions.labels import NO_REACTION
 from msgloom.functions.times import utc_hour
-from msgloom.operators.messages import COUNTERPARTY, with_counterparty
+from msgloom.operators.messages import COUNTERPARTY, GROUP_CHAT, with_counterparty
 from msgloom.plans.analyses import DAY_NAMES, contact_totals
 from msgloom.session import one_row
 
+#: Keys of the contacts asked for that a filter takes; beyond them a join does.
+MAX_KEYS = 1_000
 _HOURS = range(24)
 _DAYS = range(7)
 
 
 def known_names(messages: DataFrame) -> DataFrame:
-    """Contact keys of received messages and the name shown with each, as a contact table."""
+    """Contact keys of received messages and the name on the newest one, as a contact table. A
+    stored table has it ready: `contact_names`."""
     received = messages.where("is_from_me <> 1 AND contact_info IS NOT NULL AND name IS NOT NULL")
-    return received.groupBy(F.col("contact_info").alias("contact_key")).agg(F.max("name").alias("name"))
+    return received.groupBy(F.col("contact_info").alias("contact_key")).agg(F.max_by("name", "message_id").alias("name"))
 
 
-def _with_party(
-    messages: DataFrame, party: str | None, wanted: Sequence[str] | None = None
-) -> tuple[DataFrame, str]:
-    """The table with a column of names to match. Where names are wanted, only their keys are
-    looked up, a table small enough for a join without a shuffle of the messages."""
-    if party or COUNTERPARTY in messages.columns:
-        return messages, party or COUNTERPARTY
-    names = known_names(messages)
-    return with_counterparty(messages, names if wanted is None else names.where(F.col("name").isin(list(wanted)))), COUNTERPARTY
+def _rows_of(messages: DataFrame, contacts: Sequence[str], names: DataFrame) -> DataFrame:
+    """The messages from or to some contacts, with the contact in `counterparty_name`.
 
-
-def compare_contacts(messages: DataFrame, contacts: Sequence[str], party: str | None = None) -> DataFrame:
+    The keys that stand for the contacts come first, from the contact table. The messages are then
+    read by one filter on direction, name and key, which reaches the scan and its Bloom filters. If
+    the contacts have more keys than a filter takes, sent messages look their names up in a join.
+    """
+    wanted = [c for c in contacts if c is not None]
+    # Keys that show a wanted name, and wanted texts that are keys of others.
+    told = names.where(F.col("name").isin(wanted) | F.col("contact_key").isin(wanted)).limit(MAX_KEYS + 1).collect()
+    if len(told) > MAX_KEYS:
+        return with_counterparty(messages, names).where(F.col(COUNTERPARTY).isin(wanted))
+    shown = {r["contact_key"]: r["name"] for r in told}
+    # A key without a name stands for itself, and groups for their common value.
+    sent = sorted({k for k, name in shown.items() if name in wanted} | {w for w in wanted if w not in shown})
+    sent = [k for k in sent if k != GROUP_CHAT] + [GROUP_CHAT] * (GROUP_CHAT in wanted)
+    received = (F.col("is_from_me") != 1) & F.col("name").isin(wanted)
+    mine = messages.where(received | ((F.col("is_from_me") == 1) & F.col("updated_contact_info").isin(sent)))
+    key = F.col("updated_contact_info")
+    named = {k: name for k, name in shown.items() if k in sent and k != GROUP_CHAT}
+    pairs = [F.lit(x) for pair in named.items() for x in pair]
+    party = F.coalesce(F.try_element_at(F.create_map(*pairs), key), key) if pairs else key
+    return mine.withColumn(COUNTERPARTY, F.when(F.col("is_from_me") != 1, F.col("name")).otherwise(party))
+
+
+def compare_contacts(
+    messages: DataFrame, contacts: Sequence[str], party: str | None = None, names: DataFrame | None = None
+) -> DataFrame:
     """One row per contact: totals, direction in direct chats, habits, kinds of message.
 
+    `party` names the column to match. Without it and without `counterparty_name`, as in a stored
+    table, names come from `names`, a contact table such as `contact_names` gives, or else from
+    the received messages.
+
     Counted per contact and day, then per contact. Both steps combine before their
     shuffle, and hours and week days are a fixed number of counters.
     """
@@ -57,8 +80,11 @@ def compare_contacts(messages: DataFrame, contacts: Sequence[str], party: str |
         "audio_messages": "is_audio_message = 1",
     }
     tests |= {f"_hour{h}": f"hour = {h}" for h in _HOURS}
-    messages, party = _with_party(messages, party, contacts)
-    mine = messages.where(F.col(party).isin(list(contacts)))
+    party = party or COUNTERPARTY
+    if party == COUNTERPARTY and party not in messages.columns:
+        mine = _rows_of(messages, contacts, known_names(messages) if names is None else names)
+    else:
+        mine = messages.where(F.col(party).isin(list(contacts)))
     kept = mine.selectExpr(
         f"{party} AS name", "date", "chat_size", "is_from_me", "reaction", "link_domain", "is_audio_message",
         f"{hour} AS hour",
@@ -87,9 +113,11 @@ def _busiest(prefix: str, numbers: range) -> str:
     return f"-array_max(array({ranked})).i"
 
 
-def contact_deep_dive(messages: DataFrame, contact: str, party: str | None = None) -> DataFrame:
+def contact_deep_dive(
+    messages: DataFrame, contact: str, party: str | None = None, names: DataFrame | None = None
+) -> DataFrame:
     """The comparison row of a single contact."""
-    return compare_contacts(messages, [contact], party)
+    return compare_contacts(messages, [contact], party, names)
 
 
 def needs_reply(messages: DataFrame, as_of: dt.date, party: str | None = None) -> DataFrame:

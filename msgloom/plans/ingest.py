@@ -13,10 +13,11 @@ from msgloom.operators.sinks import write_load
 from msgloom.schemas import RawTables
 from msgloom.session import placement_by_block, shuffles_for
 from msgloom.sources.commits import (
-    append_commit, column_list, described_files, latest_commit, load_path, run_row, write_manifest,
+    append_commit, column_list, described_files, latest_commit, load_path, read_files, run_row, write_manifest,
 )
 from msgloom.sources.raw import read_raw
 from msgloom.sources.stored import check_schema
+from msgloom.sources.summaries import summarised, write_summary
 
 
 def full_build(
@@ -105,11 +106,13 @@ def commit_load(
 ) -> DataFrame:
     """Describe the files of a load and log it. Totals are the previous ones and those of the load."""
     before = base if base is not None and mode not in _REPLACING else None
-    rows, last, manifests = 0, since, []
+    rows, last, own = 0, since, []
     if written:
-        files = write_manifest(described_files(spark, load_path(dataset, generation, run_id)), dataset, run_id)
+        path = load_path(dataset, generation, run_id)
+        files = write_manifest(described_files(spark, path), dataset, run_id)
+        write_summary(summarised(read_files(spark, [path])), dataset, run_id)
         told = files.agg(F.sum("rows").alias("rows"), F.max("max_id").alias("last")).first()
-        rows, last, manifests = told["rows"], told["last"], [run_id]
+        rows, last, own = told["rows"], told["last"], [run_id]
     commit = append_commit(
         spark, dataset, base,
         run_id=run_id,
@@ -120,7 +123,8 @@ def commit_load(
         rows_written=rows,
         total_messages=rows + (before["total_messages"] if before else 0),
         columns=sorted({column_list(), *(before["columns"] if before else [])}),
-        manifests=(before["manifests"] if before else []) + manifests,
+        manifests=(before["manifests"] if before else []) + own,
+        summaries=(before["summaries"] if before else []) + own,
         **fields,
     )
     return run_row(spark, commit)

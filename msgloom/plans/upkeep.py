@@ -29,6 +29,7 @@ from msgloom.sources.commits import (
 )
 from msgloom.sources.paths import Folder
 from msgloom.sources.stored import check_schema, schema_gate
+from msgloom.sources.summaries import SUMMARIES, change_of, merged_counts, write_summary
 
 #: Columns that follow from others of the table, so that a dataset written before them can be migrated.
 FOLLOWING = {
@@ -63,20 +64,22 @@ def compact(spark: SparkSession, dataset: str, rows_per_file: int = ROWS_PER_FIL
     plan = merge_plan(live_files(spark, dataset, commit), rows_per_file).collect()
     if not plan:
         return run_row(spark, commit)
-    return _rewrite(spark, dataset, commit, plan, "compact", lambda rows: rows)
+    return _rewrite(spark, dataset, commit, plan, "compact", None)
 
 
 def _rewrite(
-    spark: SparkSession, dataset: str, commit: dict, plan: list[Row], mode: str, change: Callable[[DataFrame], DataFrame]
+    spark: SparkSession, dataset: str, commit: dict, plan: list[Row], mode: str, change: Callable[[DataFrame], DataFrame] | None
 ) -> DataFrame:
     """Replace the files of a plan (path, rows, bin) by one file per bin, with their rows changed but
-    none added or lost. The other files stay as they are; one manifest names them all."""
+    none added or lost. The other files stay as they are; one manifest names them all, and one summary
+    counts all rows."""
     run_id, bins, merged = uuid.uuid4().hex, 1 + max(r[BLOCK] for r in plan), sum(r["rows"] for r in plan)
     path = load_path(dataset, commit["generation"], run_id)
     chosen = spark.createDataFrame([(r["path"], r[BLOCK]) for r in plan], f"path string, {BLOCK} int")
     rows = read_files(spark, [f"{dataset}/{ROWS}/{r['path']}" for r in plan])
     with shuffles_for(spark, merged):
-        placed = change(rows.withColumn("path", F.expr(_PATH)).join(chosen, "path")).repartitionById(bins, F.col(BLOCK))
+        placed = rows.withColumn("path", F.expr(_PATH)).join(chosen, "path")
+        placed = (placed if change is None else change(placed)).repartitionById(bins, F.col(BLOCK))
         write_load(placed.sortWithinPartitions("message_id").select(*MESSAGES.fieldNames()), path)
     made = described_files(spark, path)
     written = made.agg(F.sum("rows").alias("n")).first()["n"]
@@ -84,8 +87,14 @@ def _rewrite(
         raise RuntimeError(f"new files hold {written} rows instead of {merged}: nothing was committed")
     kept = live_files(spark, dataset, commit).join(chosen, "path", "left_anti")
     write_manifest(kept.unionByName(made), dataset, run_id)
+    if change is None:
+        write_summary(merged_counts(spark, dataset, commit), dataset, run_id)
+        summaries = [run_id]
+    else:
+        write_summary(change_of(rows, read_files(spark, [path])), dataset, run_id)
+        summaries = [*commit["summaries"], run_id]
     return run_row(spark, append_commit(spark, dataset, commit, **{
-        **_carried(commit), "run_id": run_id, "mode": mode, "rows_written": 0, "manifests": [run_id],
+        **_carried(commit), "run_id": run_id, "mode": mode, "rows_written": 0, "manifests": [run_id], "summaries": summaries,
     }))
 
 
@@ -181,7 +190,7 @@ def remove_superseded(spark: SparkSession, dataset: str, older_than: dt.timedelt
     """
     newest = current_commit(spark, dataset)
     cutoff = dt.datetime.now(dt.timezone.utc) - older_than
-    log = spark.read.schema("version long, finished_at timestamp, manifests array<string>").json(f"{dataset}/{COMMITS}/*.json")
+    log = spark.read.schema("version long, finished_at timestamp, manifests array<string>, summaries array<string>").json(f"{dataset}/{COMMITS}/*.json")
     # The log is narrow; a commit's time as the newest ends with the next one.
     ended = log.withColumn("ended", F.lead("finished_at").over(Window.orderBy("version")))
     held = ended.where(F.col("ended").isNull() | (F.col("ended") >= F.lit(cutoff)))
@@ -197,8 +206,10 @@ def remove_superseded(spark: SparkSession, dataset: str, older_than: dt.timedelt
     for r in old.select("path", "length").toLocalIterator():
         rows.delete(r["path"])
         files, size = files + 1, size + r["length"]
-    notes = Folder(spark, f"{dataset}/{MANIFESTS}")
-    for name in notes.names(before=cutoff):
-        if name not in manifests:
-            notes.delete(name)
+    summaries = {r["m"] for r in held.select(F.explode("summaries").alias("m")).distinct().collect()} | set(newest["summaries"])
+    for place, used in ((MANIFESTS, manifests), (SUMMARIES, summaries)):
+        notes = Folder(spark, f"{dataset}/{place}")
+        for name in notes.names(before=cutoff):
+            if name not in used:
+                notes.delete(name)
     return spark.createDataFrame([(files, size)], "files long, bytes long")

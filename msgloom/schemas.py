@@ -99,6 +99,20 @@ DATA_FILES = _struct(
     ("max_timestamp", T.TimestampType(), True),
 )
 
+# Daily counts of the stored table.
+DAILY = _struct(
+    ("name", _STR, True),
+    ("contact_info", _STR, True),
+    ("date", T.DateType(), True),
+    ("is_from_me", _BYTE, False),
+    ("chat_size", _LONG, False),
+    ("reaction", _STR, False),
+    ("message_effect", _STR, False),
+    ("link_domain", _STR, True),
+    ("n_messages", _LONG, False),
+    ("last_id", _LONG, True),
+)
+
 
 class RawTables(NamedTuple):
     """The four source tables, as DataFrames of the schemas above."""

@@ -37,24 +37,14 @@ def path_bytes(spark: SparkSession, path: str) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("size_bytes"))
 
 
-@contextlib.contextmanager
 def shuffles_for(spark: SparkSession, rows: int):
     """While this holds, shuffles start with partitions that fit in memory for so many messages.
 
     Adaptive execution merges small partitions but never adds any, so at many terabytes the
     default number would leave partitions too large for memory. Only ever raises the number.
     """
-    before = spark.conf.get(_INITIAL_PARTITIONS, None)
-    wanted = -(-rows // _ROWS_PER_PARTITION)
-    if wanted > shuffle_partitions(spark):
-        spark.conf.set(_INITIAL_PARTITIONS, str(wanted))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_INITIAL_PARTITIONS)
-        else:
-            spark.conf.set(_INITIAL_PARTITIONS, before)
+    wanted = max(-(-rows // _ROWS_PER_PARTITION), shuffle_partitions(spark))
+    return _setting(spark, {_INITIAL_PARTITIONS: str(wanted)})
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -63,15 +53,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 @contextlib.contextmanager
-def placement_by_block(spark: SparkSession):
-    """While this holds, sides that are placed by one of their join keys are joined in place."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+def _setting(spark: SparkSession, values: dict[str, str]):
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def placement_by_block(spark: SparkSession):
+    """While this holds, sides that are placed by one of their join keys are joined in place."""
+    return _setting(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"})
+
+
+def answers_from_footers(spark: SparkSession):
+    """While this holds, counts, minima and maxima of whole Parquet tables that are read and
+    answered within come from the files' footers."""
+    return _setting(spark, {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"})
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:

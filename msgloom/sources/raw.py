@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from msgloom.errors import SourceNotFound
-from msgloom.schemas import RAW, RawTables
-from msgloom.session import is_missing_path
+from msgloom.schemas import MESSAGE, RAW, RawTables
+from msgloom.session import answers_from_footers, is_missing_path
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", since: int = 0, **options) -> RawTables:
@@ -106,3 +106,11 @@ def rows_above(raw: RawTables, since: int) -> RawTables:
 def high_watermark(messages: DataFrame, since: int = 0, id_column: str = "message_id") -> DataFrame:
     """One row: the largest row id, or `since` if there are no rows."""
     return messages.agg(F.coalesce(F.max(id_column), F.lit(since)).cast("long").alias("watermark"))
+
+
+def watermark_of_files(spark: SparkSession, path: str, since: int = 0) -> DataFrame:
+    """The watermark of a folder of raw Parquet tables, from the footers of its message files: one
+    row, and no data page is read."""
+    with answers_from_footers(spark):
+        found = high_watermark(spark.read.schema(MESSAGE).parquet(f"{path}/message"), since, "ROWID").first()
+    return spark.createDataFrame([(found["watermark"],)], "watermark long")

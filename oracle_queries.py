@@ -440,6 +440,24 @@ ORACLE |= {
     ),
 }
 
+ORACLE |= {
+    "high_watermark_files": ORACLE["high_watermark"],
+    "compare_contacts_stored": ORACLE["compare_contacts"],
+    "top_contacts_daily": _m(
+        """SELECT name, COUNT(*) AS message_count FROM messages WHERE name IS NOT NULL AND year = 2024 AND chat_size = 1
+        AND is_from_me = 0 GROUP BY name ORDER BY message_count DESC, name LIMIT 30"""
+    ),
+    "time_series_daily": ORACLE["time_series"],
+    "reactions_daily": ORACLE["reactions"],
+    "effects_daily": ORACLE["effects_year"],
+    "links_daily": ORACLE["links"],
+    "seasonality_dow_daily": ORACLE["seasonality_split"],
+    "seasonality_month_daily": ORACLE["seasonality_month"],
+    "search_contacts_daily": ORACLE["search_contacts"],
+    "contact_stats_daily": ORACLE["contact_stats"],
+    "group_message_count_daily": ORACLE["group_message_count"],
+}
+
 # Messages made of orders, a few years later.
 _ORDERS = f"""WITH m AS (SELECT CAST(o_orderdate AS DATE) + 3653 AS date, o_orderkey % 5 = 0 AS sent,
     coalesce(c.name, k) AS name FROM (SELECT *, {_KEY.format(u='o_custkey')} AS k FROM orders) LEFT JOIN

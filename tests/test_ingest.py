@@ -10,7 +10,7 @@ from msgloom.operators.messages import build_messages
 from msgloom.plans import ingest
 from msgloom.schemas import MESSAGES
 from msgloom.session import scratch_dir
-from msgloom.sources import commits, stored
+from msgloom.sources import commits, stored, summaries
 from msgloom.sources.raw import read_raw
 from msgloom.streaming.ingest import start_ingest
 
@@ -66,9 +66,12 @@ def write_load(spark, rows, dataset, base, **changes):
     sinks.write_load(rows, commits.load_path(dataset, 1, run_id))
     described = commits.described_files(spark, commits.load_path(dataset, 1, run_id))
     commits.write_manifest(described, dataset, run_id)
+    whole = spark.read.schema(MESSAGES).parquet(commits.load_path(dataset, 1, run_id)) if base is None else rows
+    if {"name", "date"} <= set(whole.columns):
+        summaries.write_summary(summaries.summarised(whole), dataset, run_id)
     fields = {
         "run_id": run_id, "generation": 1, "mode": "full", "since": 0, "last_message_id": 10, "rows_written": rows.count(),
-        "total_messages": rows.count(), "columns": [commits.column_list()], "contacts_resolved": 1, "manifests": [run_id],
+        "total_messages": rows.count(), "columns": [commits.column_list()], "contacts_resolved": 1, "manifests": [run_id], "summaries": [run_id],
     }
     return commits.append_commit(spark, dataset, base, **{**fields, **changes})
 
