@@ -30,7 +30,7 @@ from msgloom.plans import conversations as K  # noqa: E402
 from msgloom.plans import ingest, sqlview, upkeep  # noqa: E402
 from msgloom.schemas import CHAT_MESSAGE_JOIN, MESSAGES, RawTables  # noqa: E402
 from msgloom.session import configure, scratch_dir  # noqa: E402
-from msgloom.sources import commits, derived, stored, summaries  # noqa: E402
+from msgloom.sources import commits, derived, search, stored, summaries  # noqa: E402
 from msgloom.sources.contacts import address_book_entries, read_contacts  # noqa: E402
 from msgloom.sources.raw import high_watermark, read_raw, rows_above, watermark_of_files  # noqa: E402
 from msgloom.streaming.ingest import start_ingest, start_links  # noqa: E402
@@ -415,6 +415,20 @@ def _daily_analysis(function: Callable[..., DataFrame], **arguments) -> Query:
     return run
 
 
+def _search_index(text: str) -> Query:
+    """A search by the index of a stored table that has grown since."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        dataset = scratch_dir(configure(spark), "search")
+        raw, contacts = _raw(spark, sf_dir), _contacts(spark, sf_dir)
+        ingest.sync(spark, _older(raw, spark), contacts, dataset)
+        search.index_contacts(spark, dataset)
+        ingest.sync(spark, raw, contacts, dataset)
+        return search.search_stored(spark, dataset, text)
+
+    return run
+
+
 def _deep_dive_by_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts of a stored table, with their keys from its summaries."""
     dataset = _synced_twice(spark, sf_dir)
@@ -536,6 +550,8 @@ _QUERIES: dict[str, Query] = {
     "search_contacts_daily": _daily_analysis(A.search_contacts, query="R#00000001"),
     "contact_stats_daily": _daily_analysis(A.contact_stats),
     "group_message_count_daily": _daily_analysis(A.group_message_count),
+    "search_contacts_index": _search_index("R#00000001"),
+    "search_contacts_index_short": _search_index("_1"),
     "raw_files_csv": _raw_files("csv"),
     "raw_files_json": _raw_files("json"),
     "contact_overrides_file": _contact_overrides_file,

@@ -38,14 +38,15 @@ from msgloom.plans.upkeep import apply_links, compact, migrate, remove_supersede
 from msgloom.session import configure
 from msgloom.sources.contacts import address_book_entries, read_contacts
 from msgloom.sources.raw import read_raw, read_raw_jdbc
+from msgloom.sources.search import index_contacts, search_stored
 from msgloom.sources.stored import data_files, read_messages, schema_gate, status
 from msgloom.sources.summaries import contact_names, read_daily
 from msgloom.streaming.ingest import start_ingest, start_links
 
 __all__ = [
     "CommitConflict", "DatasetNotFound", "SchemaMismatch", "SourceNotFound", "address_book_entries", "apply_links", "build_messages", "compact", "compare_contacts", "compare_periods",
-    "configure", "conflicts", "contact_names", "contact_deep_dive", "contact_stats", "data_files", "direction", "display", "effects", "first_per_key", "full_build", "group_chats", "group_message_count",
+    "configure", "conflicts", "contact_names", "contact_deep_dive", "contact_stats", "data_files", "direction", "display", "effects", "first_per_key", "full_build", "group_chats", "group_message_count", "index_contacts",
     "json_rows", "links", "migrate", "needs_reply", "period_in_review", "query", "reactions", "read_contacts", "read_daily", "read_messages",
-    "read_raw", "read_raw_jdbc", "refresh", "register", "remove_superseded", "resolve", "schema_gate", "search_contacts", "seasonality", "start_ingest", "start_links", "status",
+    "read_raw", "read_raw_jdbc", "refresh", "register", "remove_superseded", "resolve", "schema_gate", "search_contacts", "search_stored", "seasonality", "start_ingest", "start_links", "status",
     "sync", "sync_files", "time_series", "top_contacts", "with_counterparty", "write_csv", "write_json",
 ]

@@ -125,6 +125,7 @@ def commit_load(
         columns=sorted({column_list(), *(before["columns"] if before else [])}),
         manifests=(before["manifests"] if before else []) + own,
         summaries=(before["summaries"] if before else []) + own,
+        search=before.get("search") if before else None,
         **fields,
     )
     return run_row(spark, commit)

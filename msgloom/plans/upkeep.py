@@ -24,10 +24,11 @@ from msgloom.plans.ingest import commit_load, placed_rows
 from msgloom.schemas import DATA_FILES, MESSAGES, RawTables
 from msgloom.session import shuffles_for
 from msgloom.sources.commits import (
-    COMMITS, MANIFESTS, ROWS, append_commit, current_commit, described_files, empty_messages, live_files, load_path,
+    COMMITS, MANIFESTS, ROWS, append_commit, carried, current_commit, described_files, empty_messages, live_files, load_path,
     needed_files, read_files, run_row, write_manifest,
 )
 from msgloom.sources.paths import Folder
+from msgloom.sources.search import SEARCH
 from msgloom.sources.stored import check_schema, schema_gate
 from msgloom.sources.summaries import SUMMARIES, change_of, merged_counts, write_summary
 
@@ -89,12 +90,15 @@ def _rewrite(
     write_manifest(kept.unionByName(made), dataset, run_id)
     if change is None:
         write_summary(merged_counts(spark, dataset, commit), dataset, run_id)
-        summaries = [run_id]
+        summaries, search = [run_id], commit.get("search")
+        # The same contacts in one part: what the index covers in full it still does.
+        if search and set(commit["summaries"]) <= set(search["covers"]):
+            commit = {**commit, "search": {**search, "covers": [run_id]}}
     else:
         write_summary(change_of(rows, read_files(spark, [path])), dataset, run_id)
         summaries = [*commit["summaries"], run_id]
     return run_row(spark, append_commit(spark, dataset, commit, **{
-        **_carried(commit), "run_id": run_id, "mode": mode, "rows_written": 0, "manifests": [run_id], "summaries": summaries,
+        **carried(commit), "run_id": run_id, "mode": mode, "rows_written": 0, "manifests": [run_id], "summaries": summaries,
     }))
 
 
@@ -125,7 +129,7 @@ def apply_links(
         ).collect()
     if not plan:
         return run_row(spark, append_commit(spark, dataset, commit, **{
-            **_carried(commit), "run_id": uuid.uuid4().hex, "mode": "links", "rows_written": 0,
+            **carried(commit), "run_id": uuid.uuid4().hex, "mode": "links", "rows_written": 0,
         }))
     pairs = changed.selectExpr("new_chat AS chat_id", "message_id")
     placed = placement(statics._replace(chat_message_join=pairs), contacts, normalize, few=True)
@@ -147,10 +151,6 @@ def _with_chat(rows: DataFrame, placed: DataFrame) -> DataFrame:
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
 
 
-def _carried(commit: dict) -> dict:
-    return {k: v for k, v in commit.items() if k not in ("version", "finished_at")}
-
-
 def migrate(spark: SparkSession, dataset: str) -> DataFrame:
     """Rewrite a dataset of older columns as a new generation of the present ones. Missing columns
     that follow from stored ones are derived, columns no longer in the table are left out; any other
@@ -190,7 +190,9 @@ def remove_superseded(spark: SparkSession, dataset: str, older_than: dt.timedelt
     """
     newest = current_commit(spark, dataset)
     cutoff = dt.datetime.now(dt.timezone.utc) - older_than
-    log = spark.read.schema("version long, finished_at timestamp, manifests array<string>, summaries array<string>").json(f"{dataset}/{COMMITS}/*.json")
+    log = spark.read.schema(
+        "version long, finished_at timestamp, manifests array<string>, summaries array<string>, search struct<run: string>"
+    ).json(f"{dataset}/{COMMITS}/*.json")
     # The log is narrow; a commit's time as the newest ends with the next one.
     ended = log.withColumn("ended", F.lead("finished_at").over(Window.orderBy("version")))
     held = ended.where(F.col("ended").isNull() | (F.col("ended") >= F.lit(cutoff)))
@@ -207,7 +209,8 @@ def remove_superseded(spark: SparkSession, dataset: str, older_than: dt.timedelt
         rows.delete(r["path"])
         files, size = files + 1, size + r["length"]
     summaries = {r["m"] for r in held.select(F.explode("summaries").alias("m")).distinct().collect()} | set(newest["summaries"])
-    for place, used in ((MANIFESTS, manifests), (SUMMARIES, summaries)):
+    indexes = {r["run"] for r in held.select("search.run").distinct().collect()}
+    for place, used in ((MANIFESTS, manifests), (SUMMARIES, summaries), (SEARCH, indexes)):
         notes = Folder(spark, f"{dataset}/{place}")
         for name in notes.names(before=cutoff):
             if name not in used:

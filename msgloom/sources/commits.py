@@ -64,6 +64,11 @@ def append_commit(spark: SparkSession, dataset: str, base: dict | None, **fields
     return record
 
 
+def carried(commit: dict) -> dict:
+    """What a commit that adds nothing takes over from the one before."""
+    return {k: v for k, v in commit.items() if k not in ("version", "finished_at")}
+
+
 def run_row(spark: SparkSession, commit: dict) -> DataFrame:
     """A commit as one row of the run log."""
     values = {**commit, "finished_at": dt.datetime.fromisoformat(commit["finished_at"])}

@@ -454,6 +454,8 @@ ORACLE |= {
     "seasonality_dow_daily": ORACLE["seasonality_split"],
     "seasonality_month_daily": ORACLE["seasonality_month"],
     "search_contacts_daily": ORACLE["search_contacts"],
+    "search_contacts_index": ORACLE["search_contacts"],
+    "search_contacts_index_short": ORACLE["search_contacts_literal"],
     "contact_stats_daily": ORACLE["contact_stats"],
     "group_message_count_daily": ORACLE["group_message_count"],
 }

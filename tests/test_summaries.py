@@ -14,7 +14,7 @@ from msgloom.plans import analyses as A
 from msgloom.plans import conversations as K
 from msgloom.plans import ingest, upkeep
 from msgloom.session import answers_from_footers
-from msgloom.sources import stored, summaries
+from msgloom.sources import search, stored, summaries
 from msgloom.sources.raw import high_watermark, watermark_of_files
 
 ANALYSES = [
@@ -124,3 +124,33 @@ def test_daily_rows_are_built_like_the_table(spark, small_raw, small_contacts, n
     built = build_messages(small_raw, small_contacts)
     counted = summaries.summarised(built).where(F.col("name") == name)
     assert counted.agg(F.coalesce(F.sum(summaries.COUNT), F.lit(0))).first()[0] == built.where(F.col("name") == name).count()
+
+
+def test_search_by_index(spark, small_raw, small_contacts, dataset):  # noqa: F811
+    ingest.sync(spark, upto(small_raw, 8), small_contacts, dataset)
+    texts = ["ali", "LICE", "155", "friend@", "end@ex", "zzz", "a%c", "li", "", "alicex", "+14155550001"]
+
+    def check():
+        table = stored.read_messages(spark, dataset)
+        for text in texts:
+            assert search.search_stored(spark, dataset, text).collect() == A.search_contacts(table, text).collect(), text
+
+    check()  # no index yet
+    search.index_contacts(spark, dataset)
+    check()
+    plan = plan_of(search.search_stored(spark, dataset, "alice"))
+    assert "In(triple, [ali,ice,lic])" in plan and "/messages/" not in plan
+    ingest.sync(spark, small_raw, small_contacts, dataset)  # brings another contact
+    check()
+    upkeep.compact(spark, dataset)
+    check()
+    run = search.index_contacts(spark, dataset).first()
+    assert (run["mode"], run["total_messages"]) == ("index", 10)
+    upkeep.remove_superseded(spark, dataset, dt.timedelta(seconds=-60))
+    check()
+
+
+def test_triples(spark):
+    pairs = spark.createDataFrame([("Ann", "ann@x"), ("Ann", "ann@x"), (None, "ab"), ("ÉÉé", None)], "name string, contact_info string")
+    got = sorted((r["triple"], r["name"]) for r in search.contact_triples(pairs).collect())
+    assert got == [("ann", "Ann"), ("n@x", "Ann"), ("nn@", "Ann"), ("ééé", "ÉÉé")]
