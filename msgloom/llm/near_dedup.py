@@ -10,9 +10,10 @@
    registers, corrected for chance collisions.
 4. The texts of the remaining pairs are fetched and the link is confirmed on full sets.
 5. Where a band still holds several components, its members may have links that no
-   representative saw. Members that such bands connect are clumps; the texts of a clump are
-   compared in blocks, by registers and then on full sets, across components only, and only
-   links that join components come out. No link between components can then be missing
+   representative saw. Members that such bands connect are clumps; the registers of a clump are
+   compared in blocks, across components only. Texts are fetched for members with a likely
+   partner in a pair of blocks, and compared there on full sets; only links that join
+   components come out. No link between components can then be missing
    but one that shares no band (at the threshold of 0.8 a chance of 5e-8) or whose
    estimate is off by four standard deviations.
 6. Components are found by star steps.
@@ -188,10 +189,56 @@ def _verified(width: int, percent: int):
     return run
 
 
+def _partners(comp, n, regs, block, i: int, percent: int) -> np.ndarray:
+    """Later rows of a group that row i may be linked with, in other components, by size and estimate.
+    Groups are sorted by block; those of two blocks meet across them only."""
+    other = slice(i + 1, len(n))
+    wanted = (comp[other] != comp[i]) & (percent * np.maximum(n[other], n[i]) <= 100 * np.minimum(n[other], n[i]))
+    if block[0] != block[-1]:
+        wanted &= block[other] != block[i]
+    at = np.flatnonzero(wanted) + i + 1
+    if not len(at):
+        return at
+    mine = np.broadcast_to(regs[i], (len(at), REGISTERS))
+    return at[passes(*jaccard_estimate(mine, regs[at], np.broadcast_to(n[i], len(at)), n[at]), percent / 100)]
+
+
+def _likely(percent: int):
+    """Groups come sorted by clump and block pair, with registers; yields the members that have a
+    likely partner in the group."""
+    names = ["clump", "low", "high", "cls", "comp", "block"]
+
+    def members(rows: list[tuple]) -> pa.RecordBatch | None:
+        columns = [np.array([r[k] for r in rows], np.int64) for k in range(7)]
+        comp, block, n = columns[4:]
+        regs = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), REGISTERS)
+        close = np.zeros(len(rows), bool)
+        for i in range(len(rows) - 1):
+            at = _partners(comp, n, regs, block, i, percent)
+            close[at] = True
+            close[i] |= len(at) > 0
+        if close.any():
+            return pa.RecordBatch.from_arrays([pa.array(c[close]) for c in columns[:6]], names)
+        return None
+
+    def run(batches):
+        group, rows = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in [*names, "n", "registers"])):
+                if row[:3] != group:
+                    if len(rows) > 1 and (found := members(rows)):
+                        yield found
+                    group, rows = row[:3], []
+                rows.append(row)
+        if len(rows) > 1 and (found := members(rows)):
+            yield found
+
+    return run
+
+
 def _compared(width: int, percent: int):
     """Groups come sorted by clump and block pair; yields confirmed links that join
     components which nothing in the group has joined before."""
-    threshold = percent / 100
 
     def links_of(rows: list[tuple[int, int, int, np.ndarray]]) -> tuple[list[int], list[int]]:
         cls, comp, block = (np.array([r[k] for r in rows], np.int64) for k in range(3))
@@ -206,15 +253,7 @@ def _compared(width: int, percent: int):
 
         u, v = [], []
         for i in range(len(rows) - 1):
-            other = slice(i + 1, len(rows))
-            wanted = (comp[other] != comp[i]) & (percent * np.maximum(n[other], n[i]) <= 100 * np.minimum(n[other], n[i]))
-            if block[0] != block[-1]:  # blocks were sorted: meet across them only
-                wanted &= block[other] != block[i]
-            at = np.flatnonzero(wanted) + i + 1
-            if not len(at):
-                continue
-            mine = np.broadcast_to(regs[i], (len(at), REGISTERS))
-            for j in at[passes(*jaccard_estimate(mine, regs[at], np.broadcast_to(n[i], len(at)), n[at]), threshold)]:
+            for j in _partners(comp, n, regs, block, i, percent):
                 a, b = find(int(comp[i])), find(int(comp[j]))
                 if a != b:
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -304,19 +343,22 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     open_bands = scratch.table(open_bands.select("key"), "open")
     members = scratch.table(placed.join(open_bands, "key", "left_semi").select("cls", "rep", "comp").distinct(), "members")
     if not members.isEmpty():
-        # Members that such bands connect are a clump; each text goes there once per block pair.
+        # Members that such bands connect are a clump; registers go there once per block pair.
         clumps = components(members.selectExpr("cls AS u", "rep AS v"), scratch, "clump").toDF("cls", "clump")
         clumps = scratch.table(clumps.join(members.select("cls", "comp").distinct(), "cls"), "clumps")
         sizes = clumps.groupBy("clump").agg(F.count("*").alias("size"))
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         dealt = (
-            clumps.join(sizes, "clump")
+            clumps.join(sizes, "clump").join(side, "cls")
             .withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .selectExpr("cls AS doc_id", "clump", "least(block, other) AS low", "greatest(block, other) AS high",
-                        "block", "cls", "comp")
+            .selectExpr("clump", "CAST(least(block, other) AS LONG) AS low", "CAST(greatest(block, other) AS LONG) AS high", "cls",
+                        "comp", "CAST(block AS LONG) AS block", "n", "registers")
         )
-        grouped = docs.join(scratch.table(dealt, "dealt").hint("merge"), "doc_id").drop("doc_id")
+        dealt = dealt.repartition("clump", "low", "high").sortWithinPartitions("clump", "low", "high", "block", "cls")
+        close = dealt.mapInArrow(_likely(percent), "clump long, low long, high long, cls long, comp long, block long")
+        close = scratch.table(close, "close")
+        grouped = docs.join(close.withColumn("doc_id", F.col("cls")).hint("merge"), "doc_id").drop("doc_id")
         grouped = grouped.repartition("clump", "low", "high").sortWithinPartitions("clump", "low", "high", "block", "cls")
         extra = scratch.table(grouped.mapInArrow(_compared(width, percent), "u long, v long"), "extra")
         if not extra.isEmpty():

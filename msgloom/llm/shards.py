@@ -1,7 +1,7 @@
 """Sharding by a two-pass external shuffle.
 
 First every record is scattered into one of as many buckets as memory asks for, by a seeded
-hash of its key. Then each bucket is shuffled by Fisher-Yates, which Spark's `shuffle` is,
+hash of its key and its texts. Then each bucket is shuffled by Fisher-Yates, which Spark's `shuffle` is,
 and written. Buckets one after another are a uniform random order of all records; shards are
 equal ranges of it, so their counts differ by one at most (the law `rows`), a bucket lies
 within one shard or on one border, and every file is one bucket's part of a shard.
@@ -14,8 +14,8 @@ again; what is written is one draw, and readers read that. A bucket holds some
 thirty-second part of an executor's memory for one of two tasks, so it fits whatever the
 number of records; only a record of that size itself makes a larger one.
 
-Records with equal keys share a bucket: where keys may repeat for a large part of the
-rows, give more columns as key. NULL keys are a key, NULL texts are empty. Columns named
+Only records alike in key and texts share a bucket for sure; rows that repeat a key, or lack it,
+spread. NULL keys are a key, NULL texts are empty. Columns named
 like one of the results (shard, slot) are kept with `_in` behind their names.
 """
 
@@ -68,7 +68,9 @@ def external_shuffle(
     weight = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in docs.dtypes if kind == "string"), F.lit(32))
     rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
     buckets = max(1, -(-total // (size or bucket_bytes(spark))))
-    spot = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).alias("bucket")
+    # Texts too, so that rows which share a key, or lack it, do not share a bucket.
+    texts = [F.col(f"`{c}`") for c, kind in docs.dtypes if kind == "string"]
+    spot = F.pmod(F.xxhash64(F.lit(seed), *key, *texts), F.lit(buckets)).alias("bucket")
 
     counts = docs.select(spot).groupBy("bucket").agg(F.count("*").alias("n"))
     # One short row per bucket: their number is what the memory of executors makes it.
