@@ -1,9 +1,10 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source is a queue of tokens: its documents one after another. In each round a
-source earns its quantum, 4096 times its target share, and sends the whole tokens of its
-deficit; the fraction is carried to the next round. After r rounds a source with quantum
-q has therefore sent min(its tokens, floor(r q)), so that the place of every token in the
+source earns its quantum, 4096 times its target share, and sends the whole runs of 512 tokens
+that its deficit holds, so that a small source is served seldom and not token by token; the rest is
+carried to the next round. After r rounds a source with quantum q has therefore sent min(its
+tokens, 512 floor(r q / 512)): less than a run behind its share. The place of every token in the
 sequence of all rounds follows from r alone. Windows are cut from that sequence every 4096
 tokens; where a window ends within a round, the sources not yet served keep their deficit
 for the next window. All windows but the last are full. A queue that runs dry leaves its
@@ -41,13 +42,17 @@ from msgloom.llm.words import text_slices, words_of
 
 SEQUENCE = 4096
 END_ID = 2
+#: Tokens of a queue that are sent together.
+RUN = 512
+#: Numbers of a table of rounds by sources at a time.
+_CELLS = 1 << 20
 #: Sources are the components of the mixture, named in a small table each task holds.
 MAX_SOURCES = 10_000
 _FRACTION = 1 << 12
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-    "sequence_id long, offset long"
+    "sequence_id long, offset long, source string"
 )
 
 
@@ -186,24 +191,26 @@ class Mixture:
     def sent(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens that each source (columns) has sent after so many rounds (rows)."""
         # The product stays below 2^63: a round beyond a queue's last sends nothing more.
-        last = -(-self.tokens * _FRACTION // self.quanta)
-        return np.minimum(self.tokens, np.minimum(rounds[:, None], last) * self.quanta // _FRACTION)
+        step = RUN * _FRACTION
+        last = -(-(-(-self.tokens // RUN) * step) // self.quanta)
+        return np.minimum(self.tokens, np.minimum(rounds[:, None], last) * self.quanta // step * RUN)
 
     def pieces(self, source: int, begin: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Where tokens begin .. begin + size of a queue are cut, from 0, and where each
         piece starts in the sequence of all rounds."""
-        quantum = int(self.quanta[source])
-        # The round of token j is the first r with floor((r + 1) quantum) > j.
-        first, last = (-(-(j + 1) * _FRACTION // quantum) - 1 for j in (begin, begin + size - 1))
-        rounds = np.arange(first, last + 2, dtype=np.int64)
-        sent = self.sent(rounds)
-        own = sent[:, source]
-        # A round serves sources in order: those before this one have finished it already.
-        place = sent[1:, :source].sum(axis=1) + sent[:-1, source:].sum(axis=1)
-        low = np.maximum(own[:-1], begin)
-        place += low - own[:-1]
-        full = own[1:] > low  # a quantum below one token may send nothing
-        low, place = low[full] - begin, place[full]
+        # A run k is sent in the first round r with floor((r + 1) quantum / run) > k; only such rounds count.
+        runs = np.arange(begin // RUN, (begin + size - 1) // RUN + 1)
+        served = np.unique(-(-(runs + 1) * (RUN * _FRACTION) // int(self.quanta[source])) - 1)
+        lows, places = [], []
+        for at in range(0, len(served), max(1, _CELLS // len(self.names))):
+            rounds = served[at : at + max(1, _CELLS // len(self.names))]
+            before, after = self.sent(rounds), self.sent(rounds + 1)
+            own = before[:, source]
+            starts = np.maximum(own, begin)
+            # A round serves sources in order: those before this one have finished it already.
+            places.append(after[:, :source].sum(axis=1) + before[:, source:].sum(axis=1) + starts - own)
+            lows.append(starts - begin)
+        low, place = np.concatenate(lows), np.concatenate(places)
         lengths = np.diff(low, append=size)
         # Chunks that meet are one; then windows cut.
         joined = np.concatenate(([True], place[1:] != place[:-1] + lengths[:-1]))
@@ -226,7 +233,7 @@ def _cut(mixture: Mixture):
                 at, place = mixture.pieces(mixture.index[source], begin, size)
                 ends = np.append(at[1:], size)
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), ends.tolist())]
-                rows.append((np.full(len(at), -1 if doc_id is None else doc_id), at, ends - at, crc, size, place, doc_id is None))
+                rows.append((np.full(len(at), -1 if doc_id is None else doc_id), at, ends - at, crc, size, place, doc_id is None, source))
             if not rows:
                 continue
             counts = [len(r[1]) for r in rows]
@@ -242,6 +249,7 @@ def _cut(mixture: Mixture):
                     pa.array(np.repeat([r[4] for r in rows], counts)),
                     pa.array(place // SEQUENCE),
                     pa.array(place % SEQUENCE),
+                    pa.array([r[7] for r in rows], pa.string()).take(pa.array(np.repeat(np.arange(len(rows)), counts))),
                 ],
                 [f.split()[0] for f in PIECES.split(", ")],
             )

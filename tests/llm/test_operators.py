@@ -68,7 +68,7 @@ def plain_components(rows, width, percent=80):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("similar, groups, most", [(0.70, 1100, 0), (0.88, 1100, 3300), (0.92, 1, 0)])
+@pytest.mark.parametrize("similar, groups, most", [(0.70, 1100, 110), (0.88, 1100, 3300), (0.92, 1, 0)])
 def test_a_clump_reads_texts_only_of_likely_pairs(spark, similar, groups, most):
     """Documents that share most of their words with one another, of Jaccard similarity 0.54, 0.79
     and 0.85: no text of a clump is fetched but where estimates come near the threshold."""
@@ -185,9 +185,48 @@ def test_packing(spark, hard):
         mine = sorted((p.start, p.length, p.ids_crc32) for p in pieces if p.doc_id == doc_id)
         assert [(a, n, zlib.crc32(own[a : a + n].tobytes())) for a, n, _ in mine] == mine
         assert sum(n for _, n, _ in mine) == len(own)
+    sources = {(r.doc_id, r.source) for r in docs.collect()}
+    assert {(p.doc_id, p.source) for p in pieces} == sources
     assert texts and packing.pack(docs.limit(0), Scratch(spark, "t"), path).count() == 0
 
 
+def test_a_small_source_is_not_cut_into_tokens():
+    for total in (10**8, 10**9, 10**10):
+        mixture = packing.Mixture({f"s{i}": total // 20 for i in range(20)} | {"tiny": 500})
+        at, _ = mixture.pieces(mixture.index["tiny"], 0, 500)
+        assert len(at) <= 2
+    # A document that is all of a middling source beside many: in bounded memory, runs of 512.
+    mixture = packing.Mixture({f"s{i}": 10**8 for i in range(100)} | {"middling": 10**6})
+    at, place = mixture.pieces(mixture.index["middling"], 0, 10**6)
+    assert len(at) < 1.5 * 10**6 / packing.RUN and (np.diff(place) > 0).all()
+
+
+@pytest.mark.parametrize("targets", [None, {"a": 0.5, "b": 0.25, "c": 0.25}])
+def test_windows_hold_the_mixture(targets):
+    """Every place is taken once, and the tokens of a source never stray far from its share."""
+    rng = np.random.default_rng(0)
+    tokens = {"a": 100_000, "b": 30_000, "c": 20_000, None: 700, "e": 1}
+    mixture = packing.Mixture(tokens, targets)
+    owner = np.full(sum(tokens.values()), -1)
+    for name, total in tokens.items():
+        at = 0
+        while at < total:
+            size = min(total - at, int(rng.integers(1, 3000)))
+            low, place = mixture.pieces(mixture.index[name], at, size)
+            for begin, length in zip(place, np.diff(low, append=size)):
+                assert (owner[begin : begin + length] == -1).all() and begin // 4096 == (begin + length - 1) // 4096
+                owner[begin : begin + length] = mixture.index[name]
+            at += size
+    assert (owner >= 0).all()
+    windows = owner[: len(owner) // 4096 * 4096].reshape(-1, 4096)
+    shares = {s: t / sum(tokens.values()) for s, t in tokens.items()} if targets is None else targets
+    for name, share in shares.items():
+        sent = np.cumsum((windows == mixture.index[name]).sum(axis=1))
+        due = share * 4096 * np.arange(1, len(windows) + 1)
+        steady = due <= (tokens[name] if targets is None else 0.9 * min(tokens[s] / t for s, t in targets.items()) * share)
+        assert np.abs(sent - due)[steady].max() <= packing.RUN * (len(tokens) - 1)
+
+
 def test_encoder():
     """Ids of words encoded in groups are those of whole texts, also with the mark in a word."""
     from tokenizers import Tokenizer
