@@ -149,6 +149,84 @@ def test_licences(spark, hard):
     assert licences.statements(frame, model).first().probability == pytest.approx(p[1:].max(), abs=2e-6)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License."""
+
+
+def test_licences_of_other_names_and_wrapped_texts(spark):
+    """With the sample of a whole table: what the query learns from."""
+    docs = queries.table(spark, SF, "documents")
+    sample = licences.sampled_paragraphs(docs)
+    assert 0 < len(sample) <= licences.SAMPLE and licences.sampled_paragraphs(docs.limit(0)) == []
+    model = licences.train(sample)
+    others = [
+        "Licensed under the Sleepycat License, version 3.", "Released under the Zope Public License.",
+        "Distributed under the terms of the Ruby License 2.0.", "Licensed under the Eclipse Public License 2.0.",
+        "Licensed under the Boost Software License, Version 1.0.",
+    ]
+    ordinary = ["All rights of the tenants were reserved in the license of the hall.", "The software was free of charge for use.", ""]
+    wrapped = {"MIT": MIT, "BSD": BSD, "Apache-2.0": APACHE}
+    texts = [*others, *ordinary, *wrapped.values(), f"x\n\n{MIT}\n{BSD}\n\nReleased under the MIT License.\nend"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in licences.statements(frame, model).collect():
+        got[r.doc_id].append((r.paragraph, r.family, r.confirmed))
+    for i, text in enumerate(texts[: len(others)]):
+        assert [(f, c) for _, f, c in got[i]] == [("unknown", False)], text
+    assert not any(got[len(others) + i] for i in range(len(ordinary)))
+    for i, family in enumerate(wrapped, len(others) + len(ordinary)):
+        assert [(p, f) for p, f, c in got[i] if c] == [(0, family)]
+    assert sorted(p for p in got[len(texts) - 1] if p[2]) == [(2, "MIT", True), (8, "BSD", True), (11, "MIT", True)]
+    # Cues are exact: without them the same paragraphs come out.
+    every = model._replace(common=())
+    whole = sorted(licences.statements(docs, model).collect())
+    assert whole and whole == sorted(licences.statements(docs, every).collect())
+
+
+def plain_licences(model, text):
+    """Families of lines and pairs of lines, scored in NumPy."""
+    def judge(words):
+        g = licences.grams(words)
+        z = np.array([b + sum(t.get(x, 0) for x in g) for b, t in zip(model.bias, model.weights)]) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        k = int(p[1:].argmax()) if len(set(p[1:].round(12))) > 1 else len(p) - 2
+        if p[0] >= 0.5:
+            return None
+        family = [*licences.STATEMENTS, licences.UNKNOWN][k]
+        shared = {w for t in (*licences.OTHERS, *licences._others()) for w in licences.tokens(t)}
+        shared |= {w for f, ts in licences.STATEMENTS.items() if f != family for t in ts for w in licences.tokens(t)}
+        best = 0.0
+        for t in licences.STATEMENTS.get(family, ()):
+            row = [w for w in licences.tokens(t) if w]
+            pairs = {f"{a} {b}" for a, b in zip(row, row[1:])}
+            own = {w for w in row if w not in shared} or {row[0]}
+            best = max(best, len(pairs & g) / len(pairs) * bool(own & g))
+        return family, p[1:].max() >= licences.CERTAIN and best >= licences.CONFIRMED
+
+    lines = [[w for w in licences.tokens(x) if w] for x in text.split("\n")]
+    single = {i: j for i, w in enumerate(lines) if (j := judge(w))}
+    pairs = [i for i in range(len(lines) - 1) if lines[i] and lines[i + 1] and not any(single.get(k, (0, 0))[1] for k in (i, i + 1))
+             and (judge(lines[i] + lines[i + 1]) or (0, False))[1]]
+    out = [(i, f if c else licences.UNKNOWN) for i, (f, c) in single.items() if not {i, i - 1} & set(pairs)]
+    return out + [(i, judge(lines[i] + lines[i + 1])[0]) for i in pairs if i - 1 not in pairs]
+
+
+def test_licence_query_against_a_plain_version(spark):
+    docs = queries.table(spark, SF, "documents")
+    model = licences.train(licences.sampled_paragraphs(docs))
+    got = collections.Counter((r.doc_id, r.paragraph, r.family) for r in queries.QUERIES["op2_licences"](spark, SF).collect())
+    want = collections.Counter((d.doc_id, *hit) for d in docs.collect() if d.text for hit in plain_licences(model, d.text))
+    assert got == want and got
+
+
 def check_pieces(pieces, docs, path):
     from tokenizers import Tokenizer
 
