@@ -544,3 +544,17 @@ def test_pipeline(spark):
             assert right >= 0.8 * len(marks)
         docs = made
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name, column, accuracy, recall", [("op8_toxicity", "toxic", 0.95, 0.8), ("op9_quality", "quality", 0.9, 0.85)])
+def test_held_out_labels_of_a_whole_table(spark, name, column, accuracy, recall):
+    """The registered query, on labels that it has not learned from."""
+    folder = SF.replace("sf0.001", "sf0.01")
+    found = queries.QUERIES[name](spark, folder)
+    assert found.count() == queries.table(spark, folder, "documents").count()
+    labels = queries.table(spark, folder, "labels").where(f"{column} IS NOT NULL").select("doc_id", F.col(column).alias("truth"))
+    rows = found.where("held_out").join(labels, "doc_id").collect()
+    assert len(rows) > 50 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    right = [r.predicted == r.truth for r in rows]
+    caught = [r.predicted == 1 for r in rows if r.truth == 1]
+    assert sum(right) >= accuracy * len(right) and sum(caught) >= recall * len(caught)
