@@ -162,3 +162,81 @@ def test_later_strings_of_a_stream(spark):
     blobs.append(HEAD + STRING + b"\x02__" + back + b"\x03__b" + back + b"\x04Last" + TAIL)
     blobs.append(HEAD + STRING + b"\x03Yes" + back + b"\x05Hello" + TAIL)
     assert apply(spark, blobs, structured_text("v"), "binary") == ["Hello"] * 4 + ["Last", "Yes"]
+
+
+class Writer:
+    """Writes object streams, with the strings they share."""
+
+    def __init__(self):
+        self.out, self.strings = b"\x04\x0bstreamtyped\x81\xe8\x03", []
+
+    def size(self, n: int) -> bytes:
+        return bytes([n]) if n < 128 else b"\x81" + n.to_bytes(2, "little") if n < 65536 else b"\x82" + n.to_bytes(4, "little")
+
+    def shared(self, text: bytes) -> "Writer":
+        if text in self.strings:
+            self.out += bytes([0x92 + self.strings.index(text)])
+        else:
+            self.strings.append(text)
+            self.out += b"\x84" + self.size(len(text)) + text
+        return self
+
+    def raw(self, data: bytes) -> "Writer":
+        self.out += data
+        return self
+
+    def opened(self, *classes: bytes) -> "Writer":
+        self.out += b"\x84"
+        for name in classes:
+            self.raw(b"\x84").shared(name).raw(b"\x01")
+        return self.raw(b"\x85")
+
+    def string(self, text: bytes) -> "Writer":
+        return self.shared(b"+").raw(self.size(len(text)) + text)
+
+
+def test_streams_are_read_by_their_grammar(spark):
+    tag = b"\x84\x01+\x04fake"
+
+    def begun():
+        return Writer().shared(b"@").opened(b"Odd", b"NSObject")
+
+    cases = [
+        # Tags inside data of fixed size, a class name, a C string, and a string that is no body.
+        (begun().shared(b"[%dc]" % len(tag)).raw(tag).string(b"true").raw(b"\x86"), "true"),
+        (Writer().shared(b"@").opened(b"Odd" + tag, b"NSObject").string(b"true").raw(b"\x86"), "true"),
+        (begun().shared(b"*").raw(b"\x84").shared(tag).string(b"true").raw(b"\x86"), "true"),
+        (begun().string(b"__" + tag).string(b"true").raw(b"\x86"), "true"),
+        (begun().shared(b"[%dc]" % len(tag)).raw(tag).raw(b"\x86"), None),
+        # Numbers of all widths, reals, structures, nil, references, nested objects, types used again.
+        (begun().shared(b"isq").raw(b"\x81\xff\x7f\x82" + tag[:4] + b"\x05").string(b"true").raw(b"\x86"), "true"),
+        (begun().shared(b"fdc").raw(b"\x83" + tag[:4] + b"\x83" + tag + b"+").string(b"true").raw(b"\x86"), "true"),
+        (begun().shared(b"{P={Q=ii}f}").raw(b"\x01\x02\x03").string(b"true").raw(b"\x86"), "true"),
+        (begun().shared(b"@").raw(b"\x85").shared(b"@").raw(b"\x93").shared(b"#").raw(b"\x85").string(b"true").raw(b"\x86"), "true"),
+        (begun().shared(b"@").opened(b"In").shared(b"i").raw(b"\x07\x86").string(b"").string(b" true ").raw(b"\x86"), "true"),
+        # A grammar that breaks: strings are looked for by their tags.
+        (begun().shared(b"~").raw(b"\x01").string(b"by tag").raw(b"\x86"), "by tag"),
+        (begun().string(b"\xff" + tag).string("t\u00e9".encode() * 300).raw(b"\x86"), "t\u00e9" * 300),
+        (begun().shared(b"i").raw(b"\x01\x86").string(b"true"), "true"),
+    ]
+    found = apply(spark, [w.out for w, _ in cases], structured_text("v"), "binary")
+    assert found == [expected for _, expected in cases]
+
+
+def test_more_shared_strings_than_a_byte_can_name(spark):
+    w = Writer().shared(b"@").opened(b"Odd")
+    names = [b"C%d" % i for i in range(150)]
+    for name in names:
+        w.shared(b"@").raw(b"\x84\x84").shared(name).raw(b"\x00\x85\x86")
+    w.strings.append(b"+")
+    w.raw(b"\x84\x01+\x00")  # string 152 is the type of strings
+    w.raw(b"\x81" + (len(w.strings) - 1 - 110).to_bytes(2, "little", signed=True) + b"\x04true\x86")
+    assert apply(spark, [w.out], structured_text("v"), "binary") == ["true"]
+
+
+def test_a_long_stream_of_many_symbols(spark):
+    w = Writer().shared(b"@").opened(b"Odd").shared(b"i" * 100)
+    w.raw(b"\x07" * 100)
+    for _ in range(200):
+        w.shared(b"i" * 100).raw(b"\x07" * 100)
+    assert apply(spark, [w.string(b"x" * 70_000).out], structured_text("v"), "binary") == ["x" * 70_000]
