@@ -1,20 +1,23 @@
 """Quality by positive-unlabelled learning.
 
 A document is described by statistics of its whole text (length, word lengths, repeated
-words, shingles and lines, capitals, digits, signs), each cut at quantiles of the
-training rows into bins. On these a linear scorer is fitted by minimising the non-negative
+words, shingles and lines, capitals, digits, signs), each cut into bins at quantiles over all
+positive and unlabelled rows. On these a linear scorer is fitted by minimising the non-negative
 unbiased risk of Kiryo et al. (2017) with the sigmoid loss,
 
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)]),
 
-where the class prior is estimated from the rows themselves: on a held-out half, the
-smallest ratio, with its sampling error added, of the unlabelled to the positive share
-above any score of a scorer that tells the two apart. The risk is minimised by full
-gradient steps; while the bracket is negative, the step goes against it instead.
+where the class prior is estimated from the rows themselves: the smallest ratio, with its
+sampling error added, of the unlabelled to the positive share above any score of a scorer
+that tells the two apart. There are two such scorers, each fitted on one half of the sample and
+applied to all rows of the other half; the prior is the mean of what both give. The risk is
+minimised by full gradient steps; while the bracket is negative, the step goes against it.
 
 Only trusted positives and unlabelled rows are learned from; rows labelled 0 are not used.
-Unlabelled rows are web text without a label. Training takes at most `sample`
-rows of each kind, those of the smallest hash; scoring takes every document.
+Unlabelled rows are web text without a label. The statistics of all rows are written once; the
+quantiles and the shares behind the prior are aggregates over every row. Gradients are taken
+on a sample of about `sample` rows of each kind, those of the smallest hashes, one for
+each doc_id.
 
 NULL, empty and word-free texts have statistics of zero and are scored like others. Rows
 that repeat a doc_id are scored each. Without positives or unlabelled rows every score
@@ -34,7 +37,7 @@ from msgloom.llm.logistic import fit_logistic, sigmoid
 from msgloom.llm.tables import Scratch
 from msgloom.llm.words import combined, shingles, text_slices, words_of
 
-#: Most positive, and most unlabelled, rows that are used for training.
+#: Positive, and unlabelled, documents that gradients are taken on, about.
 SAMPLE = 8_000
 BINS = 10
 STEPS = 400
@@ -111,35 +114,14 @@ class Model(NamedTuple):
         return sigmoid(self.inputs(x) @ np.array(self.weights))
 
 
-def _bins(x: np.ndarray) -> list:
-    """Quantiles of each statistic, and finer ones at both ends, where junk lies."""
-    cuts = np.concatenate(([0.002, 0.01, 0.03], np.linspace(0, 1, BINS + 1)[1:-1], [0.97, 0.99, 0.998]))
-    return [np.unique(np.quantile(x[:, k], cuts)).tolist() for k in range(x.shape[1])]
+#: Quantiles at which statistics are cut: finer ones at both ends, where junk lies.
+CUTS = [0.002, 0.01, 0.03, *(k / BINS for k in range(1, BINS)), 0.97, 0.99, 0.998]
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among unlabelled rows, from scores of both."""
-    best = 1.0
-    for cut in np.quantile(positive, np.linspace(0, 0.9, 91)):
-        p, u = (positive >= cut).mean(), (unlabelled >= cut).mean()
-        error = np.sqrt(u * (1 - u) / len(unlabelled)) + np.sqrt(p * (1 - p) / len(positive))
-        best = min(best, (u + error) / p)
-    return float(np.clip(best, 0.05, 0.99))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, edges: list, prior: float) -> Model:
     """Model from the statistics of positive and of unlabelled rows."""
-    if not len(positive) or not len(unlabelled):
-        return Model([], [], 0.5)
-    model = Model(_bins(np.concatenate([positive, unlabelled])), [], 0.5)
+    model = Model(edges, [], prior)
     p, u = model.inputs(positive), model.inputs(unlabelled)
-    # A plain scorer of positive against unlabelled, on one half, for the prior on the other.
-    half = [np.concatenate([a[::2, 1:] for a in (p, u)]), np.repeat([1.0, 0.0], [len(p[::2]), len(u[::2])])]
-    plain = np.array(fit_logistic(*half, penalty=1e-3))
-    if len(p) > 1 and len(u) > 1:
-        prior = class_prior(p[1::2] @ plain, u[1::2] @ plain)
-    else:
-        prior = 0.5
     w, speed, size = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
     for step in range(1, STEPS + 1):
         sp, su = sigmoid(p @ w), sigmoid(u @ w)
@@ -150,34 +132,113 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
         speed = 0.9 * speed + 0.1 * gradient
         size = 0.999 * size + 0.001 * gradient**2
         w -= RATE * (speed / (1 - 0.9**step)) / (np.sqrt(size / (1 - 0.999**step)) + 1e-8)
-    return Model(model.edges, w.tolist(), prior)
+    return model._replace(weights=w.tolist())
+
+
+class Separator(NamedTuple):
+    """Tells positive from unlabelled rows; fitted on one half of the sample."""
+
+    model: Model
+    cuts: list  # scores of the sampled positives of the other half, at 91 quantiles
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """How many of the cuts each row's score reaches."""
+        return np.searchsorted(self.cuts, self.model.inputs(x) @ np.array(self.model.weights), "right")
+
+
+def separators(edges: list, x: np.ndarray, positive: np.ndarray, half: np.ndarray) -> dict[int, Separator]:
+    """For each half of the rows the separator learned from the other one, where it has both kinds."""
+    found = {}
+    for other in (0, 1):
+        own, trusted = half != other, x[positive & (half == other)]
+        if len(trusted) and len(set(positive[own].tolist())) == 2:
+            model = Model(edges, [], 0.5)
+            model = model._replace(weights=fit_logistic(model.inputs(x[own])[:, 1:], positive[own].astype(float), penalty=1e-3))
+            scores = model.inputs(trusted) @ np.array(model.weights)
+            found[other] = Separator(model, np.unique(np.quantile(scores, np.linspace(0, 0.9, 91), method="lower")).tolist())
+    return found
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among unlabelled rows, from how many rows of both reach no cut, the
+    first only, and so on to all."""
+    shares = [np.cumsum(n[::-1])[::-1][1:] / n.sum() for n in (positive, unlabelled)]
+    p, u = shares[0][shares[0] > 0], shares[1][shares[0] > 0]
+    error = np.sqrt(u * (1 - u) / unlabelled.sum()) + np.sqrt(p * (1 - p) / positive.sum())
+    return float(np.clip(min(((u + error) / p).min(initial=1.0), 1.0), 0.05, 0.99))
+
+
+def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([table.column(f).to_numpy() for f in FEATURES])
 
 
 def _measured(batches):
     for part in text_slices(batches, "text"):
         x = statistics(part.column("text"))
-        yield pa.RecordBatch.from_arrays([part.column("positive"), *[pa.array(c) for c in x.T]], ["positive", *FEATURES])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c) for c in x.T]], ["doc_id", *FEATURES])
+
+
+def _counted(found: dict[int, Separator]):
+    """Counts of a batch by half, kind and place."""
+
+    def run(batches):
+        for batch in batches:
+            half, positive = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("half", "positive"))
+            place, x = np.zeros(len(half), np.int64), _matrix(batch)
+            for own, separator in found.items():
+                place[half == own] = separator.places(x[half == own])
+            keys, n = np.unique(np.column_stack([half, positive, place]), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (*keys.T, n)], ["half", "positive", "place", "n"])
+
+    return run
+
+
+def _prior(rows: DataFrame, found: dict[int, Separator]) -> float:
+    """The class prior over all rows; even odds where no half can be told apart."""
+    counts = rows.mapInArrow(_counted(found), "half long, positive long, place long, n long")
+    # Bounded: two halves, two kinds, at most 92 places.
+    counts = counts.groupBy("half", "positive", "place").agg(F.sum("n").alias("n")).collect()
+    priors = []
+    for own, separator in found.items():
+        tally = np.zeros((2, len(separator.cuts) + 1))
+        for r in counts:
+            if r["half"] == own:
+                tally[r["positive"], r["place"]] += r["n"]
+        if tally.sum(axis=1).all():
+            priors.append(class_prior(tally[1], tally[0]))
+    return float(np.mean(priors)) if priors else 0.5
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE, known: DataFrame | None = None) -> Model:
     """Learn from documents (doc_id, text): positives are those with quality 1 in `labels`
     (doc_id, quality). Rows in `known` (doc_id), by default `labels`, are not unlabelled."""
-    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id")
-    free = ids.join((labels if known is None else known).select("doc_id"), "doc_id", "left_anti").distinct()
-    draw = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = (
-        ids.join(trusted, "doc_id", "left_semi").distinct().orderBy(*draw).limit(sample).withColumn("positive", F.lit(True))
-        .union(free.orderBy(*draw).limit(sample).withColumn("positive", F.lit(False)))
+    trusted = labels.where("quality = 1").select("doc_id").withColumn("positive", F.lit(True))
+    seen = (labels if known is None else known).select("doc_id").withColumn("positive", F.lit(False))
+    kinds = trusted.union(seen).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("positive").alias("positive"))
+    schema = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    measured = texts.mapInArrow(_measured, schema).join(kinds, "doc_id", "left").where("coalesce(positive, true)")
+    rows = scratch.table(
+        measured.selectExpr("doc_id", "coalesce(positive, false) AS positive", "CAST(xxhash64(1, doc_id) & 1 AS INT) AS half", *FEATURES),
+        "statistics",
     )
-    rows = docs.select("doc_id", "text").join(scratch.table(chosen, "chosen"), "doc_id").select("positive", "text")
-    schema = "positive boolean, " + ", ".join(f"{f} double" for f in FEATURES)
-    # Bounded by `sample`: a few numbers for each training row.
-    table = rows.mapInArrow(_measured, schema).toArrow()
-    x = np.column_stack([table.column(f).to_numpy() for f in FEATURES])
-    kind = table.column("positive").to_numpy().astype(bool)
-    rng = np.random.default_rng(7)  # sorted first: the order in which rows arrive does not matter
-    return fit(*(rng.permutation(a[np.lexsort(a.T)]) for a in (x[kind], x[~kind])))
+    quantiles = [F.percentile_approx(f, CUTS, 10_000).alias(f) for f in FEATURES]
+    totals = rows.agg(F.count_if("positive").alias("positive"), F.count_if(~F.col("positive")).alias("unlabelled"), *quantiles).first()
+    if not totals["positive"] or not totals["unlabelled"]:
+        return Model([], [], 0.5)
+    edges = [sorted(set(totals[f])) for f in FEATURES]
+    # Hashes are spread evenly, so those below a share of their range are that share of the documents.
+    share = {kind: min(1.0, sample / totals[kind]) for kind in ("positive", "unlabelled")}
+    drawn = rows.where(
+        f"xxhash64(doc_id) / pow(2D, 64) + 0.5D <= if(positive, {share['positive']!r}D, {share['unlabelled']!r}D)"
+    ).groupBy("doc_id", "positive", "half").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "positive", "half", "x.*")
+    # Bounded by `sample`: a few numbers for each training row, in an order of their own.
+    table = drawn.toArrow().sort_by("doc_id")
+    kind, x = table.column("positive").to_numpy().astype(bool), _matrix(table)
+    if kind.all() or not kind.any():
+        return Model([], [], 0.5)
+    prior = _prior(rows, separators(edges, x, kind, table.column("half").to_numpy()))
+    return fit(x[kind], x[~kind], edges, prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
