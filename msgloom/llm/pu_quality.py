@@ -7,11 +7,12 @@ unbiased risk of Kiryo et al. (2017) with the sigmoid loss,
 
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)]),
 
-where the class prior is estimated from the rows themselves: the smallest ratio, with its
-sampling error added, of the unlabelled to the positive share above any score of a scorer
+where the class prior is estimated from the rows themselves: the smallest ratio, with two
+standard errors added, of the unlabelled to the positive share above any score, reached by half the
+positives at least, of a scorer
 that tells the two apart. There are two such scorers, each fitted on one half of the sample and
-applied to all rows of the other half; the prior is the mean of what both give. The risk is
-minimised by full gradient steps; while the bracket is negative, the step goes against it.
+applied to all rows of the other half; their counts are added up by quantile of the score. The risk
+is minimised by full gradient steps; while the bracket is negative, the step goes against it.
 
 Only trusted positives and unlabelled rows are learned from; rows labelled 0 are not used.
 Unlabelled rows are web text without a label. The statistics of all rows are written once; the
@@ -139,7 +140,7 @@ class Separator(NamedTuple):
     """Tells positive from unlabelled rows; fitted on one half of the sample."""
 
     model: Model
-    cuts: list  # scores of the sampled positives of the other half, at 91 quantiles
+    cuts: list  # scores of the sampled positives of the other half, at 51 quantiles
 
     def places(self, x: np.ndarray) -> np.ndarray:
         """How many of the cuts each row's score reaches."""
@@ -155,7 +156,7 @@ def separators(edges: list, x: np.ndarray, positive: np.ndarray, half: np.ndarra
             model = Model(edges, [], 0.5)
             model = model._replace(weights=fit_logistic(model.inputs(x[own])[:, 1:], positive[own].astype(float), penalty=1e-3))
             scores = model.inputs(trusted) @ np.array(model.weights)
-            found[other] = Separator(model, np.unique(np.quantile(scores, np.linspace(0, 0.9, 91), method="lower")).tolist())
+            found[other] = Separator(model, np.quantile(scores, np.linspace(0, 0.5, 51), method="lower").tolist())
     return found
 
 
@@ -164,8 +165,11 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     first only, and so on to all."""
     shares = [np.cumsum(n[::-1])[::-1][1:] / n.sum() for n in (positive, unlabelled)]
     p, u = shares[0][shares[0] > 0], shares[1][shares[0] > 0]
-    error = np.sqrt(u * (1 - u) / unlabelled.sum()) + np.sqrt(p * (1 - p) / positive.sum())
-    return float(np.clip(min(((u + error) / p).min(initial=1.0), 1.0), 0.05, 0.99))
+    # Of the ratio, with shares that are not quite 0 or 1.
+    n, m = unlabelled.sum(), positive.sum()
+    a, b = (u * n + 1) / (n + 2), (p * m + 1) / (m + 2)
+    error = u / p * np.sqrt((1 - a) / (a * n) + (1 - b) / (b * m))
+    return float(np.clip((u / p + 2 * error).min(initial=1.0), 0.05, 0.99))
 
 
 def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
@@ -196,17 +200,13 @@ def _counted(found: dict[int, Separator]):
 def _prior(rows: DataFrame, found: dict[int, Separator]) -> float:
     """The class prior over all rows; even odds where no half can be told apart."""
     counts = rows.mapInArrow(_counted(found), "half long, positive long, place long, n long")
-    # Bounded: two halves, two kinds, at most 92 places.
+    # Bounded: two halves, two kinds, at most 52 places.
     counts = counts.groupBy("half", "positive", "place").agg(F.sum("n").alias("n")).collect()
-    priors = []
-    for own, separator in found.items():
-        tally = np.zeros((2, len(separator.cuts) + 1))
-        for r in counts:
-            if r["half"] == own:
-                tally[r["positive"], r["place"]] += r["n"]
-        if tally.sum(axis=1).all():
-            priors.append(class_prior(tally[1], tally[0]))
-    return float(np.mean(priors)) if priors else 0.5
+    tally = np.zeros((2, 52))
+    for r in counts:
+        if r["half"] in found:
+            tally[r["positive"], r["place"]] += r["n"]
+    return class_prior(tally[1], tally[0]) if tally.sum(axis=1).all() else 0.5
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE, known: DataFrame | None = None) -> Model:
