@@ -15,7 +15,14 @@ Turns are ordered by their number, ties by role and text; rows without conv_id a
 conversation each NULL id, NULL roles and texts are empty, turns without a number come
 first. Roles may be any text. Other columns are ignored. Conversations are spread by
 id and read in order, one at a time; only one conversation, whose output is one value in any
-case, is ever held. Rendering prefixes costs the square of its turns.
+case, is ever held.
+
+Rendering every prefix whole costs the square of the turns. Beyond `WINDOW` turns prefixes are
+therefore first rendered in windows, each beginning where the last one ended, which is exact for
+a template that only appends: if each output begins with the one before, and what the turns add
+gives, put together, the whole renderings of the first one, two, four ... windows and of all turns,
+the spans are taken. Otherwise all prefixes are rendered whole. A template that rewrites
+history must show it within a window or in one of those whole renderings.
 """
 
 from __future__ import annotations
@@ -40,6 +47,8 @@ TRAINED = ("assistant",)
 _ESCAPED = re.compile(r"\\|" + "|".join(re.escape(c[0]) + "(?=" + re.escape(c[1:]) + ")" for c in CONTROLS))
 _UNESCAPED = re.compile(r"\\(\\?)")
 _TURN = re.compile(re.escape(OPEN) + "(.*?)" + re.escape(CLOSE) + "(.*?)" + re.escape(END), re.DOTALL)
+#: Turns whose prefixes are rendered together.
+WINDOW = 64
 #: Stands for a text while its place is looked for; private characters.
 _MARKER = ""
 
@@ -88,10 +97,8 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def render(turns: list[Turn], render_with: Template = template, trained: Iterable[str] = TRAINED) -> Rendered:
-    """Render all prefixes and locate the turns. Positions count code points of the last
-    output; with a template that rewrites history, spans before the change may not hold."""
-    trained = set(trained)
+def _located(turns: list[Turn], render_with: Template, trained: set[str]) -> Rendered:
+    """Render all prefixes, each whole."""
     before = render_with([])
     spans, mask, rewritten = [], [], None
     for k, (role, text) in enumerate(turns):
@@ -111,6 +118,36 @@ def render(turns: list[Turn], render_with: Template = template, trained: Iterabl
     return Rendered(before, spans, mask, rewritten)
 
 
+def _in_windows(turns: list[Turn], render_with: Template, trained: set[str]) -> Rendered | None:
+    """The same from windows, or None where they do not prove it."""
+    opening = render_with([])
+    parts, spans, mask, length, checked = [opening], [], [], len(opening), WINDOW
+    for at in range(0, len(turns), WINDOW):
+        own = _located(turns[at : at + WINDOW], render_with, trained)
+        if own.rewritten is not None or not own.formatted.startswith(opening):
+            return None
+        shift = length - len(opening)
+        spans += [(a + shift, b + shift) for a, b in own.spans]
+        mask += [(a + shift, b + shift) for a, b in own.mask]
+        parts.append(own.formatted[len(opening) :])
+        length += len(parts[-1])
+        done = min(at + WINDOW, len(turns))
+        if done == checked or done == len(turns):
+            checked = 2 * done
+            formatted = "".join(parts)
+            if render_with(turns[:done]) != formatted:
+                return None
+    return Rendered(formatted, spans, mask, None)
+
+
+def render(turns: list[Turn], render_with: Template = template, trained: Iterable[str] = TRAINED) -> Rendered:
+    """Render prefixes and locate the turns. Positions count code points of the last
+    output; with a template that rewrites history, spans before the change may not hold."""
+    trained = set(trained)
+    found = _in_windows(turns, render_with, trained) if len(turns) > WINDOW else None
+    return found or _located(turns, render_with, trained)
+
+
 FORMATTED = (
     "conv_id long, formatted string, turn_spans array<struct<start:long,end:long>>, "
     "loss_mask array<struct<start:long,end:long>>, rewritten_at long"
