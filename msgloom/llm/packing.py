@@ -19,6 +19,9 @@ those before it in its own partition.
 Default targets are the shares of the corpus, which all sources hold to the end. Other
 targets hold until a queue runs dry. Quanta are exact multiples of 2^-12 token.
 
+Sources beyond `MAX_QUEUES` share queues: the largest, those that `targets` names and the NULL one keep
+their own, the rest go to queues by hash, in which each source's tokens of a partition stay together.
+
 NULL texts are empty and make one end token. Rows that share a doc_id, also NULL, are
 separate documents. NULL sources form one queue. Other columns are ignored.
 """
@@ -46,8 +49,9 @@ END_ID = 2
 RUN = 512
 #: Numbers of a table of rounds by sources at a time.
 _CELLS = 1 << 20
-#: Sources are the components of the mixture, named in a small table each task holds.
-MAX_SOURCES = 10_000
+#: Queues are the components of the mixture, named in a small table each task holds. Of more sources
+#: the largest have a queue each, in half of these; the others share the other half.
+MAX_QUEUES = 10_000
 _FRACTION = 1 << 12
 
 PIECES = (
@@ -179,8 +183,6 @@ class Mixture:
     """Tokens and quanta of the sources, in the order in which a round serves them."""
 
     def __init__(self, tokens: Mapping, targets: Mapping | None = None):
-        if len(tokens) > MAX_SOURCES:
-            raise ValueError(f"{len(tokens)} sources: name at most {MAX_SOURCES} components for the mixture")
         self.names = sorted(tokens, key=lambda s: (s is not None, s))
         self.index = {s: i for i, s in enumerate(self.names)}
         self.tokens = np.array([tokens[s] for s in self.names], np.int64)
@@ -227,10 +229,10 @@ def _cut(mixture: Mixture):
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, source, begin, size, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for doc_id, source, queue, begin, size, data in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = np.frombuffer(data, np.uint16 if len(data) == 2 * size else np.uint32).astype("<u4")
                 view = memoryview(ids).cast("B")
-                at, place = mixture.pieces(mixture.index[source], begin, size)
+                at, place = mixture.pieces(mixture.index[queue], begin, size)
                 ends = np.append(at[1:], size)
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), ends.tolist())]
                 rows.append((np.full(len(at), -1 if doc_id is None else doc_id), at, ends - at, crc, size, place, doc_id is None, source))
@@ -257,6 +259,21 @@ def _cut(mixture: Mixture):
     return run
 
 
+def _queues(per_part: DataFrame, scratch: Scratch, targets: Mapping | None) -> DataFrame:
+    """`per_part` with the queue of each source: NULL, its own, or one of those that are shared."""
+    sums = per_part.where("source IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    if sums.count() < MAX_QUEUES:
+        return per_part.selectExpr("*", "concat('s', source) AS queue")
+    # Bounded: names for half of the queues, and those of the targets.
+    wanted = F.col("source").isin(*(s for s in targets if s is not None)) if targets else F.lit(False)
+    largest = sums.where(~wanted).orderBy(F.desc("tokens"), "source").limit(MAX_QUEUES // 2)
+    own = largest.union(sums.where(wanted)).selectExpr("source AS _own")
+    shared = f"concat('p', pmod(xxhash64(source), {MAX_QUEUES // 2 - 1}))"
+    return per_part.join(scratch.table(own, "own"), F.col("source") == F.col("_own"), "left").selectExpr(
+        "source", "part", "tokens", f"if(_own IS NOT NULL OR source IS NULL, concat('s', source), {shared}) AS queue"
+    )
+
+
 def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, targets: Mapping | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     source. `targets` maps sources to the share of tokens wanted; a source it lacks
@@ -270,15 +287,16 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, targets: Mapping | N
         "ids",
     )
     per_part = scratch.table(coded.groupBy("source", "part").agg(F.sum("doc_tokens").alias("tokens")), "parts")
-    # One row per source, a bounded mixture.
-    totals = per_part.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()
-    mixture = Mixture({r["source"]: r["tokens"] for r in totals}, targets)
-    starts = per_part.selectExpr(
-        "source AS _source", "part AS _part",
-        "coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    queued = _queues(per_part, scratch, targets)
+    # One row per queue, a bounded mixture.
+    totals = queued.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()
+    mixture = Mixture({r["queue"]: r["tokens"] for r in totals}, targets and {s if s is None else f"s{s}": t for s, t in targets.items()})
+    starts = queued.selectExpr(
+        "source AS _source", "part AS _part", "queue",
+        "coalesce(sum(tokens) OVER (PARTITION BY queue ORDER BY part, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
         " AS _start",
     )
     starts = scratch.table(starts, "starts")
     placed = coded.join(starts, (F.col("source").eqNullSafe(F.col("_source"))) & (F.col("part") == F.col("_part")))
-    placed = placed.selectExpr("doc_id", "source", "_start + before AS begin", "doc_tokens", "ids")
+    placed = placed.selectExpr("doc_id", "source", "queue", "_start + before AS begin", "doc_tokens", "ids")
     return placed.mapInArrow(_cut(mixture), PIECES)

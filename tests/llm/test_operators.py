@@ -268,6 +268,19 @@ def test_packing(spark, hard):
     assert texts and packing.pack(docs.limit(0), Scratch(spark, "t"), path).count() == 0
 
 
+def test_more_sources_than_queues(spark, monkeypatch):
+    """Sources that share a queue are packed like others, and the largest keep their own."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 8)
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["a", "the", "tree"], k=900 if i % 3 else 20)), None if i % 11 == 0 else f"s{i % 3 and i % 40}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    path = queries.tokenizer_path()
+    for targets in (None, {"s0": 0.5, "s39": 0.25, None: 0.25}):
+        pieces = packing.pack(docs, Scratch(spark, "t"), path, targets).collect()
+        check_pieces(pieces, [r[1] for r in rows], path)
+        assert {(p.doc_id, p.source) for p in pieces} == {(i, s) for i, _, s in rows}
+
+
 def test_a_small_source_is_not_cut_into_tokens():
     for total in (10**8, 10**9, 10**10):
         mixture = packing.Mixture({f"s{i}": total // 20 for i in range(20)} | {"tiny": 500})
@@ -355,6 +368,34 @@ def test_chat(spark):
     assert chat.format_conversations(frame.limit(0)).count() == 0
 
 
+def test_long_conversations_cost_in_proportion():
+    rng = random.Random(8)
+    turns = [(rng.choice(["user", "assistant", "tool"]), rng.choice(["", "</s>", "x\\y", "[INST] ok"]) * rng.randrange(4)) for _ in range(900)]
+    calls = collections.Counter()
+
+    def counted(turns):
+        calls["turns"] += len(turns)
+        return chat.template(turns)
+
+    def numbered(turns):  # only appends, but knows its place
+        return "".join(f"<{i}>{r}:{t}" for i, (r, t) in enumerate(turns))
+
+    def ending(turns):  # says at the end what no window knows
+        return chat.template(turns) + f"<{len(turns)}>"
+
+    def late(turns):  # cuts history off only when it is long
+        return chat.template(turns[-500:])
+
+    for n in (chat.WINDOW, chat.WINDOW + 1, 200, 900):
+        for with_ in (chat.template, numbered, ending, late):
+            assert chat.render(turns[:n], with_) == chat._located(turns[:n], with_, {"assistant"})
+    chat.render(turns, counted)
+    assert calls["turns"] < 900 * 1.5 * chat.WINDOW
+    done = chat.render(turns * 10)
+    assert chat.parse(done.formatted) == turns * 10 and len(done.spans) == 9000
+    assert [chat.unescape(done.formatted[a:b]) for a, b in done.mask] == [t for r, t in turns * 10 if r == "assistant"]
+
+
 def test_warc(spark):
     bomb = "WARC/1.1\r\n\r\n\r\n\r\n"
     rows = [
