@@ -174,12 +174,14 @@ def _shingles(name: str, key: str, width: int) -> str:
     {name}_n AS (SELECT {key}, count(*) AS n FROM {name}_s GROUP BY ALL)"""
 
 
-_ESCAPED_LENGTH = " + ".join(
-    ["length({0})", "length({0}) - length(replace({0}, '\\', ''))"]
-    + [f"(length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in chat.CONTROLS]
-)
-_FRAME = len(chat.OPEN) + len(chat.CLOSE) + len(chat.END)
-
+# Written out, not taken from the operators, so that a wrong rule or control would show.
+_ESCAPED_LENGTH = """length({0}) + length({0}) - length(replace({0}, '\\', ''))
+    + (length({0}) - length(replace({0}, '<s>', ''))) // 3 + (length({0}) - length(replace({0}, '</s>', ''))) // 4
+    + (length({0}) - length(replace({0}, '[INST]', ''))) // 6 + (length({0}) - length(replace({0}, '[/INST]', ''))) // 7"""
+_FAILURES = """CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars > 10 * n_words OR word_chars < 3 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN 100 * n_capitals > 30 * word_chars THEN 32 ELSE 0 END"""
 
 
 def _cluster_rounds(clusters: int = 40, rounds: int = 5) -> str:
@@ -216,7 +218,7 @@ ORACLE: dict[str, str] = {
         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-        CAST({len(chat.BEGIN)} + sum({_FRAME} + {_ESCAPED_LENGTH.format("role")} + {_ESCAPED_LENGTH.format("text")}) AS BIGINT)
+        CAST(3 + sum(17 + {_ESCAPED_LENGTH.format("role")} + {_ESCAPED_LENGTH.format("text")}) AS BIGINT)
             AS formatted_chars
     FROM t GROUP BY conv_id""",
     "op5_warc": rf"""
@@ -240,11 +242,11 @@ ORACLE: dict[str, str] = {
         (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g), range(3) t(k) WHERE n > 1 GROUP BY doc_id),
     l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM w),
     m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
-        length(text) - length(translate(text, '{rules.SIGNS}', '')) AS n_symbols, len(l) AS n_lines,
+        length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(l) AS n_lines,
         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-        length(text) - length(translate(text, '{rules.CAPITALS}', '')) AS n_capitals
+        length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals
         FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
-    f AS (SELECT *, {" + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in rules.RULES)} AS bits FROM m)
+    f AS (SELECT *, {_FAILURES} AS bits FROM m)
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
         CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
         CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(bits AS BIGINT) AS failures,

@@ -447,6 +447,27 @@ def test_rules(spark, hard):
     assert rules.ledger(hard.limit(0)).count() == 0
 
 
+def test_ablation_of_a_whole_ledger(spark):
+    """Figures from bit patterns are those of applying each policy to every document."""
+    import duckdb
+
+    docs = queries.table(spark, SF, "documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    con.execute(f"CREATE TABLE f AS {queries.ORACLE['op6_quality_rules']}")
+    found = rules.ledger(docs)
+    for policy, bits in {"base": [1, 2], "v1": [1, 2, 4, 8], "v2": [1, 2, 4, 8, 16, 32]}.items():
+        got = sorted((r.failed, r.failed_alone, r.kept, r.kept_without) for r in rules.ablation(found, policy).collect())
+        mask = sum(bits)
+        assert got == sorted(
+            con.execute(f"""SELECT count(*) FILTER (failures & {b} > 0), count(*) FILTER (failures & {mask} = {b}),
+                count(*) FILTER (failures & {mask} = 0), count(*) FILTER (failures & {mask - b} = 0) FROM f""").fetchone()
+            for b in bits
+        )
+        kept = con.execute(f"SELECT count(*) FROM f WHERE failures & {mask} = 0").fetchone()[0]
+        assert rules.apply_policy(found, policy).where("kept").count() == kept > 0
+
+
 def test_decontamination(spark, hard):
     rng = random.Random(9)
     words = [f"b{i}" for i in range(3000)]
