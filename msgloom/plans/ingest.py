@@ -83,13 +83,17 @@ def load_above(
     then needs few files. A small load makes one file and is joined as Spark likes.
     """
     new = raw.message.where(f"ROWID > {since} OR ROWID IS NULL").select("ROWID")
-    size = new.agg(F.count(F.lit(1)).alias("rows"), F.expr("count_if(ROWID IS NULL)").alias("nulls")).first()
+    size = new.agg(
+        F.count(F.lit(1)).alias("rows"), F.expr("count_if(ROWID IS NULL)").alias("nulls"), F.max("ROWID").alias("last")
+    ).first()
     if size["nulls"]:
         raise ValueError(f"NULL in ROWID of {size['nulls']} messages: nothing was stored")
     blocks = id_blocks(new, size["rows"], blocks_for(size["rows"], _parallelism(spark)))
     run_id = uuid.uuid4().hex
     generation = 1 if base is None else base["generation"] + (mode == "full")
     if size["rows"]:
+        # Links of messages that come later would all fall into the last block.
+        raw = raw._replace(chat_message_join=raw.chat_message_join.where(F.col("message_id") <= size["last"]))
         with placement_by_block(spark), shuffles_for(spark, size["rows"]):
             if len(blocks) > 1:
                 rows = build_messages(raw, contacts, since, normalize=normalize, blocks=blocks)

@@ -236,3 +236,16 @@ def test_shuffles_grow_with_the_rows_and_go_back(spark):
         with shuffles_for(spark, rows):
             assert shuffle_partitions(spark) == partitions
     assert spark.conf.get(key, None) is None
+
+
+def test_links_of_later_messages_are_left_out_of_a_load(spark, small_raw, small_contacts, tmp_path, monkeypatch):
+    raw = many_messages(spark, small_raw, 300)
+    seen, build = [], ingest.build_messages
+
+    def kept(raw, *arguments, **named):
+        seen.append(raw.chat_message_join.agg({"message_id": "max"}).first()[0])
+        return build(raw, *arguments, **named)
+
+    monkeypatch.setattr(ingest, "build_messages", kept)
+    ingest.sync(spark, raw._replace(message=raw.message.where("ROWID <= 7")), small_contacts, str(tmp_path / "d"))
+    assert seen == [7]
