@@ -71,7 +71,8 @@ def build_messages(
             ids = raw.message.where("handle_id <> 0").selectExpr("ROWID AS message_id", "handle_id AS _handle")
             rows = rows.join(placed(ids.join(looked_up, "_handle").drop("_handle")), by, "left")
         else:
-            rows = rows.join(looked_up, "_handle", "left")
+            # Handle 0 is none and may be on half of all rows.
+            rows = salted_left_join(rows, looked_up, "_handle", "message_id", salts=1, common="0")
     if _CHAT & set(wanted):
         with_members = bool(_MEMBERS & set(wanted))
         rows = rows.join(placed(placement(raw, contacts, normalize, with_members, few=since > 0)), by, "left")
@@ -96,12 +97,13 @@ def _with_name(rows: DataFrame, contacts: DataFrame, key: str, out: str, normali
 def with_counterparty(messages: DataFrame, contacts: DataFrame, normalize: bool = False) -> DataFrame:
     """Add `counterparty_name` to a stored table, by a lookup of the recipient's name.
 
-    One recipient, or the common value of group chats, may stand on a third of all
-    rows; the lookup is salted.
+    One recipient may stand on a third of all rows; the lookup is salted.
     """
     names = one_name_per_key(contacts, normalize).selectExpr("contact_key AS _key", "name AS _name")
     lookup = contact_key("updated_contact_info") if normalize else "updated_contact_info"
-    keyed = messages.selectExpr("*", f"CASE WHEN is_from_me = 1 THEN {lookup} END AS _key")
+    # Group chats need no lookup.
+    wanted = f"is_from_me = 1 AND updated_contact_info <> '{GROUP_CHAT}'"
+    keyed = messages.selectExpr("*", f"CASE WHEN {wanted} THEN {lookup} END AS _key")
     joined = salted_left_join(keyed, names, "_key", "message_id")
     party = f"""CASE WHEN is_from_me <> 1 THEN name WHEN updated_contact_info = '{GROUP_CHAT}' THEN '{GROUP_CHAT}'
         ELSE coalesce(_name, updated_contact_info) END AS {COUNTERPARTY}"""
@@ -134,8 +136,11 @@ def placement(
     """Message id to chat, with the chat's members joined while rows are narrow. With `few` links
     only their chats get member lists."""
     pairs = first_chat(raw.chat_message_join)
-    if not with_members:
-        return pairs
+    return with_chat_members(pairs, raw, contacts, normalize, few) if with_members else pairs
+
+
+def with_chat_members(pairs: DataFrame, raw: RawTables, contacts: DataFrame, normalize: bool = False, few: bool = False) -> DataFrame:
+    """Rows with a message id and its chat, and the chat's members added."""
     seats = raw.chat_handle_join
     if few:
         # Leave the other chats out before lists are built.

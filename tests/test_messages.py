@@ -5,6 +5,7 @@ import datetime as dt
 from conftest import contact_table, message, raw_tables
 
 from msgloom.operators.messages import COUNTERPARTY, build_messages, with_counterparty
+from msgloom.operators.salted import salted_left_join
 from msgloom.schemas import MESSAGES, SCHEMA_VERSION
 from msgloom.sources.raw import high_watermark, rows_above
 
@@ -137,3 +138,14 @@ def test_counterparty_of_a_stored_table(spark, small_raw, small_contacts):
     rows = by_id(added)
     built = by_id(build_messages(small_raw, small_contacts, columns=["message_id", COUNTERPARTY]))
     assert {i: r[COUNTERPARTY] for i, r in rows.items()} == {i: r[COUNTERPARTY] for i, r in built.items()}
+
+
+def test_rows_without_a_key_are_spread_and_the_lookup_is_not_broadcast(spark):
+    rows = spark.range(4000).selectExpr("id AS message_id", "CASE WHEN id % 4 = 1 THEN 5L WHEN id % 4 = 2 THEN 0L END AS key")
+    lookup = spark.createDataFrame([(0, "zero"), (5, "five")], "key long, name string")
+    joined = salted_left_join(rows, lookup, "key", "message_id", common="0")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    found = {(r["key"], r["name"]): r["count"] for r in joined.groupBy("key", "name").count().collect()}
+    assert found == {(None, None): 2000, (5, "five"): 1000, (0, "zero"): 1000}
+    with_salt = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(key" in with_salt.lower()  # a NULL key has more shares than a real one
