@@ -18,11 +18,11 @@ from msgloom.errors import SchemaMismatch
 from msgloom.functions.times import utc_date
 from msgloom.operators.blocks import BLOCK, ROWS_PER_FILE, blocks_for, id_blocks
 from msgloom.operators.chats import first_chat
-from msgloom.operators.messages import by_direction, placement
+from msgloom.operators.messages import by_direction, with_chat_members
 from msgloom.operators.sinks import write_load
 from msgloom.plans.ingest import commit_load, placed_rows
 from msgloom.schemas import DATA_FILES, MESSAGES, RawTables
-from msgloom.session import shuffles_for
+from msgloom.session import placement_by_block, shuffles_for
 from msgloom.sources.commits import (
     COMMITS, MANIFESTS, ROWS, append_commit, carried, current_commit, described_files, empty_messages, live_files, load_path,
     needed_files, read_files, run_row, write_manifest,
@@ -65,29 +65,35 @@ def compact(spark: SparkSession, dataset: str, rows_per_file: int = ROWS_PER_FIL
     plan = merge_plan(live_files(spark, dataset, commit), rows_per_file).collect()
     if not plan:
         return run_row(spark, commit)
-    return _rewrite(spark, dataset, commit, plan, "compact", None)
+    return _rewrite(spark, dataset, commit, plan, "compact")
+
+
+def _bins(spark: SparkSession, plan: list[Row]) -> DataFrame:
+    """Path and bin of the files of a plan: one row per file, for broadcast."""
+    return F.broadcast(spark.createDataFrame([(r["path"], r[BLOCK]) for r in plan], f"path string, {BLOCK} int"))
 
 
 def _rewrite(
-    spark: SparkSession, dataset: str, commit: dict, plan: list[Row], mode: str, change: Callable[[DataFrame], DataFrame] | None
+    spark: SparkSession, dataset: str, commit: dict, plan: list[Row], mode: str,
+    change: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Replace the files of a plan (path, rows, bin) by one file per bin, with their rows changed but
     none added or lost. The other files stay as they are; one manifest names them all, and one summary
-    counts all rows."""
+    counts all rows.
+
+    Rows are shuffled once, each bin into one partition, where `change` may join what is placed alike."""
     run_id, bins, merged = uuid.uuid4().hex, 1 + max(r[BLOCK] for r in plan), sum(r["rows"] for r in plan)
-    path = load_path(dataset, commit["generation"], run_id)
-    chosen = spark.createDataFrame([(r["path"], r[BLOCK]) for r in plan], f"path string, {BLOCK} int")
+    path, chosen = load_path(dataset, commit["generation"], run_id), _bins(spark, plan)
     rows = read_files(spark, [f"{dataset}/{ROWS}/{r['path']}" for r in plan])
-    with shuffles_for(spark, merged):
-        placed = rows.withColumn("path", F.expr(_PATH)).join(chosen, "path")
-        placed = (placed if change is None else change(placed)).repartitionById(bins, F.col(BLOCK))
-        write_load(placed.sortWithinPartitions("message_id").select(*MESSAGES.fieldNames()), path)
-    made = described_files(spark, path)
-    written = made.agg(F.sum("rows").alias("n")).first()["n"]
+    with placement_by_block(spark), shuffles_for(spark, merged):
+        placed = rows.withColumn("path", F.expr(_PATH)).join(chosen, "path").drop("path").repartitionById(bins, F.col(BLOCK))
+        placed = placed if change is None else change(placed)
+        write_load(placed.sortWithinPartitions(BLOCK, "message_id").select(*MESSAGES.fieldNames()), path)
+    kept = live_files(spark, dataset, commit).join(chosen, "path", "left_anti")
+    files = write_manifest(kept.unionByName(described_files(spark, path)), dataset, run_id)
+    written = files.where(F.col("path").contains(f"load={run_id}/")).agg(F.sum("rows").alias("n")).first()["n"]
     if written != merged:
         raise RuntimeError(f"new files hold {written} rows instead of {merged}: nothing was committed")
-    kept = live_files(spark, dataset, commit).join(chosen, "path", "left_anti")
-    write_manifest(kept.unionByName(made), dataset, run_id)
     if change is None:
         write_summary(merged_counts(spark, dataset, commit), dataset, run_id)
         summaries, search = [run_id], commit.get("search")
@@ -118,27 +124,31 @@ def apply_links(
     new = first_chat(links).selectExpr("message_id", "chat_id AS new_chat")
     ids = links.agg(F.min("message_id").alias("low"), F.max("message_id").alias("high")).first()
     paths = needed_files(spark, dataset, commit, ids=(ids["low"], ids["high"])) if ids["low"] is not None else []
-    changed = read_files(spark, paths).select("message_id", "chat_id", "_metadata.file_path") if paths else None
-    plan = []
-    if changed is not None:
-        changed = changed.join(new, "message_id").where("chat_id IS NULL OR new_chat < chat_id")
-        touched = changed.select(F.substring_index("file_path", f"/{ROWS}/", -1).alias("path")).distinct()
+    changed, plan = None, []
+    if paths:
+        # Only messages in the range of the links: what else the files hold is not shuffled.
+        stored = read_files(spark, paths).where(F.col("message_id").between(ids["low"], ids["high"]))
+        changed = stored.select("message_id", "chat_id", F.expr(_PATH).alias("path")).join(new, "message_id")
+        changed = changed.where("chat_id IS NULL OR new_chat < chat_id")
         by_path = Window.orderBy("path")  # one row per file
-        plan = live_files(spark, dataset, commit).join(touched, "path").select(
+        plan = live_files(spark, dataset, commit).join(changed.select("path").distinct(), "path").select(
             "path", "rows", (F.row_number().over(by_path) - 1).alias(BLOCK)
         ).collect()
     if not plan:
         return run_row(spark, append_commit(spark, dataset, commit, **{
             **carried(commit), "run_id": uuid.uuid4().hex, "mode": "links", "rows_written": 0,
         }))
-    pairs = changed.selectExpr("new_chat AS chat_id", "message_id")
-    placed = placement(statics._replace(chat_message_join=pairs), contacts, normalize, few=True)
-    placed = placed.withColumnsRenamed({c: f"_new_{c}" for c in placed.columns if c != "message_id"})
+    # Each file is one bin, and so are its changed messages.
+    pairs = changed.groupBy("message_id", "path").agg(F.min("new_chat").alias("chat_id")).join(_bins(spark, plan), "path").drop("path")
+    placed = with_chat_members(pairs, statics, contacts, normalize, few=True)
+    placed = placed.withColumnsRenamed({c: f"_new_{c}" for c in placed.columns if c not in ("message_id", BLOCK)})
+    placed = placed.repartitionById(1 + max(r[BLOCK] for r in plan), F.col(BLOCK))
     return _rewrite(spark, dataset, commit, plan, "links", lambda rows: _with_chat(rows, placed))
 
 
 def _with_chat(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """Rows with the columns that follow from a message's chat replaced where there is a new one."""
+    """Rows with the columns that follow from a message's chat replaced where there is a new one. Both
+    sides are placed by block."""
     columns = {
         "chat_id": "_new_chat_id",
         "chat_size": "coalesce(_new_chat_size, 0L)",
@@ -147,7 +157,7 @@ def _with_chat(rows: DataFrame, placed: DataFrame) -> DataFrame:
         "updated_contact_info": by_direction("_new_only_member", "contact_info", "_new_chat_size"),
     }
     new = {c: F.expr(f"if(_new_chat_id IS NULL, {c}, {value})") for c, value in columns.items()}
-    joined = rows.join(placed, "message_id", "left")
+    joined = rows.join(placed, [BLOCK, "message_id"], "left")
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
 
 

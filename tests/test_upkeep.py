@@ -177,3 +177,24 @@ def test_two_streams(spark, small_raw, small_contacts, dataset, expected, tmp_pa
     with pytest.raises(Exception, match="NULL in a chat link"):
         start_links(spark, links, small_raw, small_contacts, dataset, str(tmp_path / "c2")).awaitTermination()
     assert content(stored.read_messages(spark, dataset)) == expected
+
+
+def test_a_rewrite_shuffles_whole_rows_once(spark, small_raw, small_contacts, dataset, monkeypatch):  # noqa: F811
+    late = small_raw.chat_message_join.where("message_id % 3 = 0")
+    known = small_raw._replace(chat_message_join=small_raw.chat_message_join.where("message_id % 3 > 0"))
+    for last in (4, 10):
+        ingest.sync(spark, upto(known, last), small_contacts, dataset)
+    plans, write = [], upkeep.write_load
+
+    def kept(rows, path):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(rows, path)
+
+    monkeypatch.setattr(upkeep, "write_load", kept)
+    upkeep.apply_links(spark, dataset, late, small_raw, small_contacts)
+    upkeep.compact(spark, dataset)
+    links, merge = ([line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line] for plan in plans)
+    assert len(merge) == 1 and "REPARTITION_BY_NUM" in merge[0]
+    # Rows and the new chats, both by block; then only narrow pairs are shuffled.
+    assert sum("REPARTITION_BY_NUM" in line for line in links) == 2
+    assert content(stored.read_messages(spark, dataset)) == content(build_messages(small_raw, small_contacts))
