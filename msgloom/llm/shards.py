@@ -1,18 +1,19 @@
 """Sharding by a two-pass external shuffle.
 
 First every record is scattered into one of as many buckets as memory asks for, by a seeded
-hash of its key and its texts. Then each bucket is shuffled by Fisher-Yates, which Spark's `shuffle` is,
-and written. Buckets one after another are a uniform random order of all records; shards are
+hash of its key and its texts. Then the places of each bucket are shuffled by Fisher-Yates, which Spark's
+`shuffle` is, its records take them, and are sorted by them and written. Buckets one after another are a uniform random order of all records; shards are
 equal ranges of it, so their counts differ by one at most (the law `rows`), a bucket lies
 within one shard or on one border, and every file is one bucket's part of a shard.
 
 Only one exchange moves whole records. Where a bucket starts comes from the counts of all
-buckets, and reaches the bucket as one more row.
+buckets, and reaches the bucket as one more row. A task has one bucket. It holds the places as one
+list of numbers; the records are in sorts and windows, which spill, and never in a list.
 
 The seed fixes the buckets. The order inside one is a fresh draw wherever a task runs
 again; what is written is one draw, and readers read that. A bucket holds some
-thirty-second part of an executor's memory for one of two tasks, so it fits whatever the
-number of records; only a record of that size itself makes a larger one.
+thirty-second part of an executor's memory for one of two tasks, whatever the
+number of records; only a record of that size itself, or many alike, make a larger one, which spills.
 
 Only records alike in key and texts share a bucket for sure; rows that repeat a key, or lack it,
 spread. NULL keys are a key, NULL texts are empty. Columns named
@@ -21,7 +22,7 @@ like one of the results (shard, slot) are kept with `_in` behind their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,21 +71,29 @@ def external_shuffle(
     buckets = max(1, -(-total // (size or bucket_bytes(spark))))
     # Texts too, so that rows which share a key, or lack it, do not share a bucket.
     texts = [F.col(f"`{c}`") for c, kind in docs.dtypes if kind == "string"]
-    spot = F.pmod(F.xxhash64(F.lit(seed), *key, *texts), F.lit(buckets)).alias("bucket")
+    spot = F.pmod(F.xxhash64(F.lit(seed), *key, *texts), F.lit(buckets)).cast("int").alias("bucket")
 
     counts = docs.select(spot).groupBy("bucket").agg(F.count("*").alias("n"))
     # One short row per bucket: their number is what the memory of executors makes it.
     starts = counts.selectExpr(
-        "bucket", "CAST(sum(n) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS BIGINT) AS start"
+        "bucket", "CAST(sum(n) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS BIGINT) AS start", "n"
     )
     record = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    records = docs.select(spot, F.lit(None).cast("long").alias("start"), record.alias("record"))
-    heads = starts.select("bucket", "start", F.lit(None).cast(records.schema["record"].dataType).alias("record"))
-    scattered = records.union(heads).repartition(max(buckets, 1), "bucket")
-    gathered = scattered.groupBy("bucket").agg(F.max("start").alias("start"), F.collect_list("record").alias("records"))
-    drawn = gathered.select("start", F.posexplode(F.shuffle("records", F.lit(seed))).alias("at", "record"))
+    none = F.lit(None).cast("long")
+    records = docs.select(spot, none.alias("start"), none.alias("n"), record.alias("record"))
+    heads = starts.select("bucket", "start", "n", F.lit(None).cast(records.schema["record"].dataType).alias("record"))
+    scattered = records.union(heads).repartitionById(buckets, "bucket")
+    # The head comes first, then the records, numbered from 0 as they come.
+    by = Window.partitionBy("bucket")
+    numbered = scattered.withColumn("at", F.row_number().over(by.orderBy(F.col("start").asc_nulls_last())) - 2)
+    # Fisher-Yates over the bucket's places; the head becomes a row for each of them.
+    drawn = F.when(F.col("start").isNotNull(), F.shuffle(F.sequence("start", F.expr("start + n - 1")), F.lit(seed)))
+    dealt = numbered.select("bucket", "at", "record", F.posexplode_outer(drawn).alias("turn", "place"))
+    dealt = dealt.select("bucket", F.coalesce("turn", "at").alias("at"), "place", "record")
+    # Record i of a bucket stands behind place i of its draw, and takes that.
+    met = dealt.withColumn("taken", F.lag("place").over(by.orderBy("at", F.col("place").asc_nulls_last())))
+    place = met.where("place IS NULL").select(F.col("taken").alias("place"), "record.*")
     # Shard k holds the places from ceil(k rows / shards) on.
-    place = drawn.select((F.col("start") + F.col("at")).alias("place"), "record.*")
     sharded = place.withColumn("shard", F.expr(f"CAST(place * {shards} DIV {max(rows, 1)} AS INT)"))
     sharded = sharded.withColumn("slot", F.expr(f"place - (shard * {rows}L + {shards - 1}) DIV {shards}")).drop("place")
     path = scratch.path("shards")

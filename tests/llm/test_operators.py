@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -573,6 +574,36 @@ def test_sharding(spark, hard):
     assert shards.read_shards(spark, none, shards.renamed(docs).schema).count() == 0
 
 
+def test_sharding_holds_no_list_of_records(spark, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+
+    def spy(writer, *args, **kwargs):
+        plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+        return write(writer, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    texts = spark.range(1200).selectExpr("id AS doc_id", "repeat(CAST(id % 10 AS STRING), 168) AS text")
+    # Rows alike share a bucket, which is larger then.
+    docs = texts.union(texts.where("doc_id = 7").withColumn("text", F.explode(F.array_repeat("text", 300))))
+    path = shards.external_shuffle(docs, Scratch(spark, "t"), size=10_000)
+    assert len(plans) == 1 and "collect_list" not in plans[0] and "ObjectHashAggregate" not in plans[0]
+    assert sum("Exchange" in line and "bucket" in line for line in plans[0].splitlines()) == 2  # counts, records
+    rows = shards.read_shards(spark, path, docs.schema).select("*", F.input_file_name().alias("file")).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in rows) == collections.Counter(tuple(r) for r in docs.collect())
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert sorted(by) == list(range(8)) and all(sorted(x) == list(range(len(x))) for x in by.values())
+    # 30 buckets of 40 rows or so, each in a task of its own.
+    tasks = collections.Counter(re.search(r"part-(\d+)", r.file)[1] for r in rows if r.doc_id != 7)
+    assert len(tasks) == 30 and max(tasks.values()) < 80
+    # Rows alike lie anywhere in their bucket, not together as they came.
+    place = sorted(rows, key=lambda r: (r.shard, r.slot))
+    hot = [r.doc_id == 7 for r in place]
+    first, last = hot.index(True), len(hot) - hot[::-1].index(True)
+    assert last - first > hot.count(True) and not all(hot[first : first + 250])
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query(spark, name):
     with oracle(SF) as connection:
