@@ -24,7 +24,7 @@ from msgloom.functions.times import unix_seconds, utc_date
 from msgloom.operators.blocks import BLOCK, IdBlocks
 from msgloom.operators.chats import chat_members, first_chat, participants
 from msgloom.operators.contacts import one_name_per_key
-from msgloom.operators.salted import salted_left_join
+from msgloom.operators.salted import known_small, salted_left_join
 from msgloom.schemas import MESSAGES, RawTables
 from msgloom.sources.raw import rows_above
 
@@ -148,8 +148,9 @@ def with_chat_members(pairs: DataFrame, raw: RawTables, contacts: DataFrame, nor
     members = chat_members(participants(seats, raw.handle))
     named = _with_name(members, contacts, "only_member", "only_member_name", normalize)
     # A chat may hold a third of all messages, and its member row comes straight from
-    # an aggregate, which keeps adaptive execution from splitting the chat; so salt.
-    return salted_left_join(pairs, named, "chat_id", "message_id")
+    # an aggregate, which keeps adaptive execution from splitting the chat; so salt. Spark's estimate
+    # of the members is a product of two tables' sizes; where that is small, so are all copies.
+    return salted_left_join(pairs, named, "chat_id", "message_id", few=not few and known_small(members))
 
 
 def by_direction(sent: str, received: str, size: str = "chat_size") -> str:

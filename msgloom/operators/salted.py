@@ -10,7 +10,8 @@ COMMON_SALTS = 512
 
 
 def salted_left_join(
-    rows: DataFrame, lookup: DataFrame, key: str, spread_by: str, salts: int = SALTS, common: str | None = None
+    rows: DataFrame, lookup: DataFrame, key: str, spread_by: str, salts: int = SALTS, common: str | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """Left join to a table with one row per key.
 
@@ -21,7 +22,8 @@ def salted_left_join(
     both sides, which also lets adaptive execution split what is still too large.
 
     A repeated lookup is never broadcast: adaptive execution would go by its size before it
-    is repeated, and every executor would hold it `salts` times. Otherwise no strategy is forced.
+    is repeated, and every executor would hold it `salts` times. With `few`, for a lookup known to
+    have few rows, and otherwise no strategy is forced.
     """
     spread = f"xxhash64({spread_by})"
     last = str(salts - 1)
@@ -31,4 +33,10 @@ def salted_left_join(
         share = f"if({key} = {common}, pmod({spread}, {COMMON_SALTS}), {share})"
     left = rows.selectExpr("*", f"if({key} IS NULL, {spread}, {share}) AS _salt")
     right = lookup.selectExpr("*", f"explode(sequence(0L, CAST({last} AS BIGINT))) AS _salt")
-    return left.join(right if salts == 1 else right.hint("merge"), [key, "_salt"], "left").drop("_salt")
+    return left.join(right if few or salts == 1 else right.hint("merge"), [key, "_salt"], "left").drop("_salt")
+
+
+def known_small(table: DataFrame) -> bool:
+    """Whether Spark's estimate, which comes from its input files alone, is below the size for a broadcast."""
+    most = int(table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    return most > 0 and not table.isStreaming and int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most
