@@ -1,14 +1,15 @@
 """Sharding by a two-pass external shuffle.
 
 First every record is scattered into one of as many buckets as memory asks for, by a seeded
-hash of its key and its texts. Then the places of each bucket are shuffled by Fisher-Yates, which Spark's
-`shuffle` is, its records take them, and are sorted by them and written. Buckets one after another are a uniform random order of all records; shards are
+hash of its key and its texts. Then the records' numbers in each bucket are shuffled by
+Fisher-Yates, which Spark's `shuffle` is, and the records are sorted by the places so drawn and
+written. Buckets one after another are a uniform random order of all records; shards are
 equal ranges of it, so their counts differ by one at most (the law `rows`), a bucket lies
 within one shard or on one border, and every file is one bucket's part of a shard.
 
 Only one exchange moves whole records. Where a bucket starts comes from the counts of all
-buckets, and reaches the bucket as one more row. A task has one bucket. It holds the places as one
-list of numbers; the records are in sorts and windows, which spill, and never in a list.
+buckets, and reaches the bucket as one more row. A task has one bucket. It holds the records' numbers
+as one list; the records themselves are in sorts and windows, which spill, and never in a list.
 
 The seed fixes the buckets. The order inside one is a fresh draw wherever a task runs
 again; what is written is one draw, and readers read that. A bucket holds some
@@ -86,11 +87,11 @@ def external_shuffle(
     # The head comes first, then the records, numbered from 0 as they come.
     by = Window.partitionBy("bucket")
     numbered = scattered.withColumn("at", F.row_number().over(by.orderBy(F.col("start").asc_nulls_last())) - 2)
-    # Fisher-Yates over the bucket's places; the head becomes a row for each of them.
-    drawn = F.when(F.col("start").isNotNull(), F.shuffle(F.sequence("start", F.expr("start + n - 1")), F.lit(seed)))
-    dealt = numbered.select("bucket", "at", "record", F.posexplode_outer(drawn).alias("turn", "place"))
-    dealt = dealt.select("bucket", F.coalesce("turn", "at").alias("at"), "place", "record")
-    # Record i of a bucket stands behind place i of its draw, and takes that.
+    # Fisher-Yates over the records' numbers; the head becomes a row for each place and the number drawn for it.
+    draw = F.when(F.col("start").isNotNull(), F.shuffle(F.expr("sequence(0L, n - 1)"), F.lit(seed)))
+    dealt = numbered.select("bucket", "start", "at", "record", F.posexplode_outer(draw).alias("turn", "drawn"))
+    dealt = dealt.selectExpr("bucket", "coalesce(drawn, at) AS at", "start + turn AS place", "record")
+    # A record stands behind the row that drew its number, and takes that place.
     met = dealt.withColumn("taken", F.lag("place").over(by.orderBy("at", F.col("place").asc_nulls_last())))
     place = met.where("place IS NULL").select(F.col("taken").alias("place"), "record.*")
     # Shard k holds the places from ceil(k rows / shards) on.
